@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from taxolens.llm import (
+    op1_substring_dedup,
     op2_quality_classifier,
     op3_toxicity,
     op4_url_filters,
     op5_decontaminate,
     op6_simhash,
+    op7_sentencepiece,
     op8_quality_rules,
     op9_chat_format,
     op10_secret_scan,
@@ -19,6 +21,14 @@ from taxolens.llm import (
 from taxolens.llm.common import table
 
 
+#: Vocabulary of the encoding query.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +49,10 @@ def op6_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_sentencepiece.encode(table(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op8_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op8_quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,11 +67,13 @@ def op10_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup_query,
     "op2_quality_classifier": op2_quality_classifier_query,
     "op3_toxicity": op3_toxicity_query,
     "op4_url_filters": op4_url_filters_query,
     "op5_decontaminate": op5_decontaminate_query,
     "op6_simhash": op6_simhash_query,
+    "op7_sentencepiece": op7_sentencepiece_query,
     "op8_quality_rules": op8_quality_rules_query,
     "op9_chat_format": op9_chat_format_query,
     "op10_secret_scan": op10_secret_scan_query,
