@@ -35,7 +35,8 @@ def knn_mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int =
         lo = np.clip(place[:, None] + np.arange(-kk, kk + 1)[None, :], 0, len(s) - 1)
         d = np.abs(s[lo] - x[at][:, None])
         d[(place[:, None] + np.arange(-kk, kk + 1)[None, :] < 0) | (place[:, None] + np.arange(-kk, kk + 1)[None, :] >= len(s))] = np.inf
-        radius[at] = np.nextafter(np.sort(d, 1)[:, kk], 0)
+        # a little inside the k-th neighbour, so that rounding of x +- radius can't take it in
+        radius[at] = np.maximum(np.sort(d, 1)[:, kk] - 1e-14 * (1 + np.abs(x[at])), 0)
         ks[at], sizes[at], kept[at] = kk, len(at), True
     if not kept.any():
         return 0.0

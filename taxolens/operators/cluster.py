@@ -107,27 +107,23 @@ def divisive(df: DataFrame, key: str, vector: str, k: int, min_size: int = 10, s
     from taxolens.functions.estimators import kmeans, silhouette_mean
 
     keys, x = matrix(df, key, vector)
-    parts: list[np.ndarray] = [np.arange(len(x))]
-    known: dict[int, tuple[float, np.ndarray | None]] = {}
-
-    def judge(rows: np.ndarray) -> tuple[float, np.ndarray | None]:
+    def judge(rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray | None]:
         if len(rows) < 2 * min_size:
-            return -1.0, None
+            return -1.0, rows, None
         label, _ = kmeans(x[rows], 2, seed, 3)
         if len(np.unique(label)) < 2:
-            return -1.0, None
-        return float(x[rows].var(0).mean() * (1 + silhouette_mean(x[rows], label)) * np.log(len(rows) + 1)), label
-
-    while len(parts) < k:
-        for p in parts:
-            if id(p) not in known:
-                known[id(p)] = judge(p)
-        score, at = max((known[id(p)][0], -i) for i, p in enumerate(parts))
+            return -1.0, rows, None
+        return float(x[rows].var(0).mean() * (1 + silhouette_mean(x[rows], label)) * np.log(len(rows) + 1)), rows, label
+
+    judged = [judge(np.arange(len(x)))]
+    while len(judged) < k:
+        at = max(range(len(judged)), key=lambda i: (judged[i][0], -i))
+        score, rows, label = judged[at]
         if score <= 0:
             break
-        rows = parts.pop(-at)
-        label = known[id(rows)][1]
-        parts += [rows[label == 0], rows[label == 1]]
+        judged[at : at + 1] = []
+        judged += [judge(rows[label == 0]), judge(rows[label == 1])]
+    parts = [rows for _, rows, _ in judged]
     cluster = np.zeros(len(x), int)
     for i, rows in enumerate(parts):
         cluster[rows] = i

@@ -24,7 +24,14 @@ def melt(df: DataFrame, key: str, columns: list[str], *keep: str) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(f1, p1, f2, p2, r) of each pair of columns, in one aggregate over the wide table: no join of rows with rows."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    row = df.agg(*[F.corr(clean(F.col(f"`{columns[i]}`")), clean(F.col(f"`{columns[j]}`"))).alias(f"r{i}_{j}") for i, j in pairs])
+
+    def r(i: int, j: int):
+        a, b = clean(F.col(f"`{columns[i]}`")), clean(F.col(f"`{columns[j]}`"))
+        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        spread = F.stddev_pop(x) * F.stddev_pop(y)  # null where either is constant
+        return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+    row = df.agg(*[r(i, j).alias(f"r{i}_{j}") for i, j in pairs])
     items = F.array(*[F.struct(F.lit(columns[i]).alias("f1"), F.lit(i).alias("p1"), F.lit(columns[j]).alias("f2"), F.lit(j).alias("p2"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs])
     return row.select(F.explode(items).alias("x")).select("x.*")
 
