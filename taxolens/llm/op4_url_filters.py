@@ -1,8 +1,8 @@
 """URL filters by a sorted array of digests.
 
-A rule list becomes two files: the rules' XXH64 digests in ascending order with
-their places in a heap of strings.  Executors get the files through Spark's file
-distribution and map them into memory, so a list of any size costs pages that are
+A rule list becomes one file: the rules' XXH64 digests in ascending order with
+their places in a heap of strings.  Executors get the file through Spark's file
+distribution and map it into memory, so a list of any size costs pages that are
 touched, not a copy for each worker, and a new executor fetches its own.  A url's
 candidates, every suffix of its host with every rule-path length that its path
 has, are probed by one vectorised binary search a batch; a hit counts only if the
@@ -19,7 +19,6 @@ columns of any name do no harm.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -59,8 +58,14 @@ def _digest(key: bytes) -> int:
     return xxhash.xxh64_intdigest(key)
 
 
-def build(rules: Iterable[tuple[str, str]], folder: str) -> None:
-    """Writes the digests and the heap of (verdict, host/path) rules; of equal rules the last counts."""
+ROW = np.dtype([("digest", "<u8"), ("start", "<i8"), ("stop", "<i8"), ("block", "<i8")])
+
+
+def build(rules: Iterable[tuple[str, str]], file: str) -> None:
+    """Writes one file: four sizes, the lengths of rule paths, the rows by digest, the heap of host/path rules.
+
+    rules: (verdict, rule); of equal rules the last counts.
+    """
     kept = {}
     for verdict, rule in rules:
         host, slash, path = rule.partition("/")
@@ -70,16 +75,16 @@ def build(rules: Iterable[tuple[str, str]], folder: str) -> None:
     rows = sorted((_digest(k), k, v) for k, v in kept.items())
     heap = b"".join(k for _, k, _ in rows)
     ends = np.cumsum([len(k) for _, k, _ in rows], dtype=np.int64)
-    index = np.zeros(len(rows), [("digest", "<u8"), ("start", "<i8"), ("stop", "<i8"), ("block", "u1")])
+    index = np.zeros(len(rows), ROW)
     if rows:
         index["digest"], index["stop"], index["block"] = [d for d, _, _ in rows], ends, [v == "block" for _, _, v in rows]
         index["start"][1:] = ends[:-1]
     lengths = sorted({len(k.decode().partition("/")[2]) + 1 for _, k, _ in rows})
-    np.save(f"{folder}/index.npy", index)
-    np.save(f"{folder}/lengths.npy", np.array(lengths, np.int64))
-    np.save(f"{folder}/labels.npy", np.int64(max((k.partition(b"/")[0].count(b".") + 1 for _, k, _ in rows), default=0)))
-    with open(f"{folder}/heap.bin", "wb") as f:
-        f.write(heap or b"\0")
+    labels = max((k.partition(b"/")[0].count(b".") + 1 for _, k, _ in rows), default=0)
+    with open(file, "wb") as f:
+        f.write(np.array([len(rows), len(lengths), labels, len(heap), *lengths], "<i8").tobytes())
+        f.write(index.tobytes())
+        f.write(heap)
 
 
 @dataclass
@@ -91,9 +96,13 @@ class RuleIndex:
     labels: int  # of the longest rule host; a longer suffix fits no rule
 
     @classmethod
-    def open(cls, folder: str) -> RuleIndex:
-        index = np.load(f"{folder}/index.npy", mmap_mode="r")
-        return cls(index, index["digest"], np.memmap(f"{folder}/heap.bin", np.uint8, "r"), np.load(f"{folder}/lengths.npy").tolist(), int(np.load(f"{folder}/labels.npy")))
+    def open(cls, file: str) -> RuleIndex:
+        whole = np.memmap(file, np.uint8, "r")
+        n, n_lengths, labels, _ = whole[:32].view("<i8").tolist()
+        rows = 32 + 8 * n_lengths
+        heap = rows + n * ROW.itemsize
+        index = whole[rows:heap].view(ROW)
+        return cls(index, index["digest"], whole[heap:], whole[32:rows].view("<i8").tolist(), labels)
 
     def candidates(self, host: str, path: str) -> Iterator[bytes]:
         labels = host.rsplit(".", self.labels)[-self.labels :] if self.labels else []
@@ -133,15 +142,14 @@ class RuleIndex:
 
 
 def distribute(spark, rules: Iterable[tuple[str, str]]) -> str:
-    """Builds the files and hands them to Spark, which brings them to every executor; returns their name.
+    """Builds the file and hands it to Spark, which brings it to every executor; returns its name.
 
-    The driver serves them from its temporary folder as long as it runs.
+    The driver serves it from its temporary folder as long as it runs.
     """
-    name = f"url-rules-{uuid.uuid4().hex}"
-    top = tempfile.mkdtemp()
-    os.mkdir(folder := f"{top}/{name}")
-    build(rules, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
+    name = f"url-rules-{uuid.uuid4().hex}.bin"
+    file = f"{tempfile.mkdtemp()}/{name}"
+    build(rules, file)
+    spark.sparkContext.addFile(file)
     return name
 
 
