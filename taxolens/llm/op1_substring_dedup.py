@@ -138,6 +138,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drop = repeats(docs, doc_id, text, min_span_bytes).where("doc_id != first_doc_id")
     drop = drop.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
 
+    names = list(docs.columns)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
@@ -149,8 +151,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         last = h["stop"]
                     body = "".join([*kept, raw[last:].decode(errors="ignore")])
                 texts.append(body)
-            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
