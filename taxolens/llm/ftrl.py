@@ -22,6 +22,7 @@ class Ftrl:
     l1: float = 0.0
     l2: float = 1.0
     epochs: int = 4
+    min_updates: int = 0  # few rows are gone through more often, up to so many updates in all
     seed: int = 7
 
     def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -36,7 +37,7 @@ class Ftrl:
         z, n = np.zeros(size), np.zeros(size)
         bias = size - 1
         turn = np.random.default_rng(self.seed)
-        for _ in range(self.epochs):
+        for _ in range(max(self.epochs, -(-self.min_updates // max(len(rows), 1)))):
             for i in turn.permutation(len(rows)):
                 idx, val = rows[i]
                 w = self.weights(z[idx], n[idx])

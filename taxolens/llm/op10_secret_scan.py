@@ -117,16 +117,16 @@ def update_ledger(versions: DataFrame, text: str, ledger: str, rules: tuple[Secr
 
 
 def findings(versions: DataFrame, text: str, carry: tuple[str, ...], ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
-    """carry and spans of every version; without a ledger, a new one in the shared folder is used.
+    """row (a struct of carry) and spans of every version; without a ledger, a new one in the shared folder is used.
 
     Only blobs with findings are joined; the rest get an empty list.
     """
     spark = versions.sparkSession
     held = update_ledger(versions, text, ledger or new_path(spark, "ledger"), rules, rules_version)
     found = held.where("size(spans) > 0").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), blob_of(text).alias("_key"))
+    rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), blob_of(text).alias("_key"))
     joined = rows.join(found, F.col("_key") == F.col("_blob"), "left")
-    return joined.select("_row.*", F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
+    return joined.select("row", F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -139,7 +139,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger:
     got = findings(rows, "text", ("doc_id",), ledger)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return got.select("doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return got.select("row.doc_id", *[count(r.kind) for r in BASE_RULES], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -157,7 +157,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, text: str = "text", ledger: str | None = None) -> DataFrame:
     """The rows with their own columns, the text without its secrets."""
     got = findings(docs, text, tuple(docs.columns), ledger)
-    return got.select(*[redacted(F.col(f"`{c}`"), F.col("spans")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return got.select(*[redacted(F.col("row")[c], F.col("spans")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def oracle_sql(rules: tuple[SecretRule, ...] = RULES) -> str:

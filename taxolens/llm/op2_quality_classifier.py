@@ -24,7 +24,7 @@ from taxolens.llm.textkit import LOWER, NOT_SPACE, byte_class, mix, ngrams, row_
 #: At most so many labelled rows are learnt from, chosen by hash of the id.
 MAX_TRAIN = 6_000
 THRESHOLD = 0.7
-FTRL = Ftrl(bits=18, alpha=0.3, l1=0.0, l2=1.0, epochs=4)
+FTRL = Ftrl(bits=18, alpha=1.0, l1=0.0, l2=0.1, epochs=4, min_updates=12_000)
 SCALE = 10.0
 
 _WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])

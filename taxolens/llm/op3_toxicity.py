@@ -23,7 +23,7 @@ from taxolens.llm.textkit import ALNUM, LOWER, ngrams, row_of, runs, span_hashes
 #: At most so many labelled rows are learnt from, chosen by hash of the id.
 MAX_TRAIN = 12_000
 THRESHOLD = 0.3
-FTRL = Ftrl(bits=20, alpha=0.5, l1=10.0, l2=0.1, epochs=6)
+FTRL = Ftrl(bits=20, alpha=0.5, l1=10.0, l2=0.1, epochs=6, min_updates=12_000)
 
 
 def raw_features(data: np.ndarray, offsets: np.ndarray, bits: int = FTRL.bits) -> list[tuple[np.ndarray, np.ndarray]]:

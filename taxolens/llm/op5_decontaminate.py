@@ -239,12 +239,12 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterat
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """carry, n_words, n_hit, spans (of hit words, from 0, end exclusive) and items of every document.
+    """row (a struct of carry), n_words, n_hit, spans (of hit words, from 0, end exclusive) and items of every document.
 
     With more than one block, rows of equal (carry, text) are merged by a hash of their text and
     counted, then given back as many times.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("_body"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).alias("_body"))
     parts = []
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
         windows = item_windows(items, window, shingle)
@@ -254,12 +254,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
         parts = [((w := item_windows([], window, shingle)), Prefixes.choose(w, {}))]
     if len(parts) == 1:
         return _scan(rows, *parts[0])
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.sha2(F.coalesce("_body", F.lit("")), 256).alias("_key"), F.lit(0).alias("_block"), "_body")
+    keyed = rows.select("row", F.sha2(F.coalesce("_body", F.lit("")), 256).alias("_key"), F.lit(0).alias("_block"), "_body")
     every = None
     for i, (windows, prefixes) in enumerate(parts):
         one = _scan(keyed.withColumn("_block", F.lit(i)), windows, prefixes)
         every = one if every is None else every.unionByName(one)
-    merged = every.groupBy("_row", "_key").agg(
+    merged = every.groupBy("row", "_key").agg(
         F.sum(F.when(F.col("_block") == 0, 1).otherwise(0)).alias("_times"),
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
@@ -274,14 +274,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
 
     flat = F.aggregate(F.array_sort("spans"), zero, join_spans, lambda s: F.when(s["stop"] >= 0, F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))).otherwise(s["done"]))
     merged = merged.withColumn("spans", flat).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"]))
-    return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*", "n_words", "n_hit", "spans", "items")
+    return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("row", "n_words", "n_hit", "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", **kw) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     found = hits(docs, benchmark, (doc_id,), text, item_id, item_text, **kw)
     return found.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col("row")[doc_id].alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
@@ -292,7 +292,7 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows that hold no window of the benchmark, with their own columns."""
-    return hits(docs, benchmark, tuple(docs.columns), text, item_id, item_text).where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return hits(docs, benchmark, tuple(docs.columns), text, item_id, item_text).where("n_hit = 0").select("row.*")
 
 
 #: What items_sha256 is for a document without items.
