@@ -16,8 +16,18 @@ from taxolens.functions.numeric import EPS, clean, percent_band, ratio, signed_r
 
 #: Columns that identify a track and are no feature.
 IDENTITY = ("genre", "song", "track_name", "artist_name", "meta.Key")
-#: Columns that get a square and a root, and the words that pair rhythm with energy.
-KEY_FEATURES = ("69-BPM", "77-danceability", "80-onset_rate", "2-Energym", "sub_bass_ratio", "beat_regularity")
+#: Columns that get a square and a root, ratios by name, and the words that pair rhythm with energy.
+KEY_FEATURES = ("meta.Bpm", "77-danceability", "80-onset_rate", "2-Energym", "7-SpectralFluxm", "sub_bass_ratio")
+RATIOS = {"bpm_onset_ratio": ("meta.Bpm", "80-onset_rate"), "energy_sub_ratio": ("2-Energym", "sub_bass_ratio"), "groove_pump_ratio": ("77-danceability", "sidechain_mod_depth")}
+TEMPO_WORDS = ("fourier_peak", "auto_peak", "cyclic_")
+#: The same for the second variant.
+ANCHORS = ("meta.Bpm", "77-danceability", "80-onset_rate", "2-Energym")
+INTERACTIONS = {
+    "bpm_onset_ratio": ("meta.Bpm", "80-onset_rate"),
+    "energy_sub_interaction": ("2-Energym", "sub_bass_ratio"),
+    "groove_pump_interaction": ("77-danceability", "sidechain_mod_depth"),
+    "flux_onset_interaction": ("7-SpectralFluxm", "80-onset_rate"),
+}
 RHYTHM_WORDS, ENERGY_WORDS = ("bpm", "beat", "tempo", "rhythm"), ("energy", "power", "strength")
 FAST_BPM, SLOW_BPM = 130.0, 100.0
 
@@ -80,24 +90,23 @@ def fast_slow(bpm: list[str], mean: list[str]) -> dict[str, Column]:
     fast = reduce(lambda s, x: s + x, [F.when(_q(b) > FAST_BPM, _q(m)).otherwise(0.0) for b, m in zip(bpm, mean, strict=True)], zero)
     slow = reduce(lambda s, x: s + x, [F.when(_q(b) <= SLOW_BPM, _q(m)).otherwise(0.0) for b, m in zip(bpm, mean, strict=True)], zero)
     total = reduce(lambda s, x: s + x, [_q(m) for m in mean], zero)
-    return {"tempogram_fast_slow_ratio": fast / (slow + EPS), "tempogram_peak_concentration": (_q(mean[0]) if mean else zero) / (total + EPS)}
+    return {"tempogram_fast_slow_ratio": fast / (slow + EPS), "fourier_peak_concentration": (_q(mean[0]) if mean else zero) / (total + EPS)}
 
 
-def engineer(df: DataFrame, columns: list[str], key_features: tuple[str, ...] = KEY_FEATURES, ratios: dict[str, tuple[str, str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def engineer(df: DataFrame, columns: list[str], key_features: tuple[str, ...] = KEY_FEATURES, ratios: dict[str, tuple[str, str]] = RATIOS, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, the columns and all derived ones; nulls, NaN and infinities are 0, columns with one value are gone."""
     least = facts(df, columns)
-    made = log_columns(df, columns, least) | power_columns([c for c in key_features if c in columns]) | product_columns(columns) | ratio_columns(ratios or {}, columns)
-    peaks = [(f"{k}_peak{i}_bpm", f"{k}_peak{i}_mean") for k in ("fourier", "auto") for i in range(1, 6)]
-    tempogram = [c for c in columns if c.startswith(("cyclic_", "fourier_peak", "auto_peak"))]
-    if tempogram:
-        made |= row_stats(tempogram, "tempogram")
-        some = [(b, m) for b, m in peaks if b in columns and m in columns]
-        made |= fast_slow([b for b, _ in some], [m for _, m in some])
+    made = log_columns(df, columns, least) | power_columns([c for c in key_features if c in columns]) | product_columns(columns) | ratio_columns(ratios, columns)
+    tempo = [c for c in columns if any(w in c.lower() for w in TEMPO_WORDS)]
+    if tempo:
+        made |= row_stats(tempo, "tempo_features")
+    peaks = [i for i in range(1, 6) if f"fourier_peak{i}_bpm" in columns and f"fourier_peak{i}_mean" in columns]
+    made |= fast_slow([f"fourier_peak{i}_bpm" for i in peaks], [f"fourier_peak{i}_mean" for i in peaks])
     wide = df.select(*[_q(c) for c in keep], *[F.coalesce(clean(_q(c)), F.lit(0.0)).alias(c) for c in columns], *[F.coalesce(clean(x), F.lit(0.0)).alias(n) for n, x in made.items()])
     return drop_constant(wide, [c for c in wide.columns if c not in keep])
 
 
-def engineer_alternate(df: DataFrame, columns: list[str], anchors: tuple[str, ...], interactions: dict[str, tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+def engineer_alternate(df: DataFrame, columns: list[str], anchors: tuple[str, ...] = ANCHORS, interactions: dict[str, tuple[str, str]] = INTERACTIONS, keep: tuple[str, ...] = ()) -> DataFrame:
     """The second variant: logs from a minimum of 0 on, named interactions (a name with ratio divides), nulls become the column's mean."""
     made = log_columns(df, columns, strict=False) | power_columns([c for c in anchors if c in columns])
     made |= {n: ratio(_q(a), _q(b)) if "ratio" in n else _q(a) * _q(b) for n, (a, b) in interactions.items() if a in columns and b in columns}

@@ -12,9 +12,9 @@ def row_scores(df: DataFrame, key: str, group: str, vector: str, dimensions: dic
     """(key, group, dim, score): mean of a row's sample z-scores over each dimension's components."""
     values = df.select(key, group, F.posexplode(vector).alias("pos", "x"))
     stats = values.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_samp(F.col("x").cast("double")).alias("s"))
-    names = F.create_map(*[F.lit(v) for d, places in dimensions.items() for p in places for v in (p, d)])
+    dim_of = F.create_map(*[F.lit(v) for d, places in dimensions.items() for p in places for v in (p, d)])
     z = (F.col("x").cast("double") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    placed = values.join(F.broadcast(stats), "pos").select(key, group, names[F.col("pos")].alias("dim"), z.alias("z")).where("dim is not null")
+    placed = values.join(F.broadcast(stats), "pos").select(key, group, dim_of[F.col("pos")].alias("dim"), z.alias("z")).where("dim is not null")
     return placed.groupBy(key, group, "dim").agg(F.avg("z").alias("score"))
 
 

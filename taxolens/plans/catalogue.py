@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taxolens.functions import names
 from taxolens.functions import numeric as N
 from taxolens.operators import audio, cluster, contingency, curves, engineer, frames, geometry, profile, select
 from taxolens.sources import readers
@@ -34,9 +35,9 @@ def query(key: str, sql: str | None = None, doubles: str = ""):
     def add(f: Query) -> Query:
         QUERIES[key] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            names = doubles.split()
-            swap = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in names)
-            ORACLES[key] = f"SELECT * {f'REPLACE ({swap})' if names else ''} FROM ({sql})"
+            columns = doubles.split()
+            swap = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in columns)
+            ORACLES[key] = f"SELECT * {f'REPLACE ({swap})' if columns else ''} FROM ({sql})"
         return f
 
     return add
@@ -322,8 +323,8 @@ def _(s, d):
 def _(s, d):
     f = part_features(s, d)
     made = engineer.product_columns(["69-BPM", "2-Energym", "beat_strength"])
-    names = {"69-BPM_x_2-Energym": "bpm_energy", "69-BPM_x_beat_strength": "bpm_beat", "beat_strength_x_2-Energym": "beat_energy"}
-    return f.select("p_partkey", *[c.alias(names[n]) for n, c in made.items()])
+    plain = {"69-BPM_x_2-Energym": "bpm_energy", "69-BPM_x_beat_strength": "bpm_beat", "beat_strength_x_2-Energym": "beat_energy"}
+    return f.select("p_partkey", *[c.alias(plain[n]) for n, c in made.items()])
 
 
 @query("engineer_ratio", f"SELECT p_partkey, energy / (beat + 1e-6) AS energy_beat FROM ({PF})", "energy_beat")
@@ -347,14 +348,14 @@ def _(s, d):
     e = embeddings(s, d)
     wide = e.select("track_id", *[(60 + 400 * F.abs(F.col("v")[i])).alias(f"b{i}") for i in range(5)], *[F.abs(F.col("v")[5 + i]).alias(f"m{i}") for i in range(5)])
     made = engineer.fast_slow([f"b{i}" for i in range(5)], [f"m{i}" for i in range(5)])
-    return wide.select("track_id", made["tempogram_fast_slow_ratio"].alias("ratio"), made["tempogram_peak_concentration"].alias("concentration"))
+    return wide.select("track_id", made["tempogram_fast_slow_ratio"].alias("ratio"), made["fourier_peak_concentration"].alias("concentration"))
 
 
 @query("engineer_full", f"SELECT p_partkey, bpm, energy, beat, ln(1 + bpm) AS bpm_log, ln(1 + energy) AS energy_log, bpm * bpm AS bpm_squared, sqrt(bpm) AS bpm_sqrt, bpm * energy AS bpm_energy FROM ({PF})", "bpm energy beat bpm_log energy_log bpm_squared bpm_sqrt bpm_energy")
 def _(s, d):
-    out = engineer.engineer(part_features(s, d), ["69-BPM", "2-Energym", "beat_strength", "constant"], keep=("p_partkey",))
-    names = {"69-BPM": "bpm", "2-Energym": "energy", "beat_strength": "beat", "69-BPM_log": "bpm_log", "2-Energym_log": "energy_log", "69-BPM_squared": "bpm_squared", "69-BPM_sqrt": "bpm_sqrt", "69-BPM_x_2-Energym": "bpm_energy"}
-    return out.select("p_partkey", *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+    out = engineer.engineer(part_features(s, d), ["69-BPM", "2-Energym", "beat_strength", "constant"], ("69-BPM",), keep=("p_partkey",))
+    plain = {"69-BPM": "bpm", "2-Energym": "energy", "beat_strength": "beat", "69-BPM_log": "bpm_log", "2-Energym_log": "energy_log", "69-BPM_squared": "bpm_squared", "69-BPM_sqrt": "bpm_sqrt", "69-BPM_x_2-Energym": "bpm_energy"}
+    return out.select("p_partkey", *[F.col(f"`{k}`").alias(v) for k, v in plain.items()])
 
 
 @query("engineer_alternate", f"SELECT p_partkey, bpm, energy, ln(1 + beat) AS beat_log, bpm * energy AS drive, energy / (bpm + 1e-6) AS energy_ratio FROM ({PF})", "bpm energy beat_log drive energy_ratio")
@@ -635,16 +636,32 @@ def _(s, d):
     return readers.genre_ids(p, "folder").select("genre", "genre_id").distinct()
 
 
-@query("category_classify", "SELECT p_partkey, CASE WHEN p_name LIKE 'red%' THEN 'Red' WHEN p_name LIKE '%bolt%' THEN 'Bolt' ELSE 'Other' END AS category FROM part")
+NAMED = "SELECT p_partkey, p_size, CASE p_size % 5 WHEN 0 THEN 'sub_bass_ratio' WHEN 1 THEN '71-bpm' WHEN 2 THEN 'meta.Bpm' WHEN 3 THEN 'auto_peak1_std' ELSE p_size || '-spectral_' || p_type END AS name FROM part"
+
+
+def named(s, d):
+    p, k = read(s, d, "part"), F.col("p_size") % 5
+    name = F.when(k == 0, "sub_bass_ratio").when(k == 1, "71-bpm").when(k == 2, "meta.Bpm").when(k == 3, "auto_peak1_std").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("-spectral_"), "p_type"))
+    return p.select("p_partkey", name.alias("name"))
+
+
+@query("category_classify", f"SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'EDM Production & Texture' WHEN 1 THEN 'Tempogram-Based' WHEN 2 THEN 'Metadata' WHEN 3 THEN 'Tempogram-Based' ELSE 'Conventional MIR' END AS category FROM ({NAMED})")
 def _(s, d):
-    n = F.col("p_name")
-    return read(s, d, "part").select("p_partkey", F.when(n.startswith("red"), "Red").when(n.contains("bolt"), "Bolt").otherwise("Other").alias("category"))
+    return named(s, d).select("p_partkey", names.category(F.col("name")).alias("category"))
+
+
+@query("readable_name", f"SELECT p_partkey, list_aggregate(list_transform(string_split(replace(regexp_replace(name, '^[0-9]+-', ''), '_', ' '), ' '), lambda x: upper(x[1:1]) || lower(x[2:])), 'string_agg', ' ') AS reading FROM ({NAMED})")
+def _(s, d):
+    return named(s, d).select("p_partkey", names.readable(F.col("name")).alias("reading"))
+
+
+GENRES = ("House", "Dubstep", "Mainstage", "Drum & Bass", "Nowhere")
 
 
-@query("readable_name", "SELECT p_partkey, upper(substr(p_brand, 1, 1)) || lower(substr(p_brand, 2)) AS name FROM part")
+@query("family_map", "SELECT p_partkey, ['Groove & Breaks Cluster', 'High-Energy Bass & Hardcore', 'Commercial & Mainstage', 'High-Energy Bass & Hardcore', 'Unaffiliated'][p_size % 5 + 1] AS family, ['House', 'Dubstep', 'Mainstage', 'D&B', 'Nowhere'][p_size % 5 + 1] AS short FROM part")
 def _(s, d):
-    raw = F.concat(F.col("p_size").cast("string"), F.lit("-"), F.lower("p_brand"))
-    return read(s, d, "part").select("p_partkey", F.initcap(F.replace(F.regexp_replace(raw, r"^\d+-", ""), F.lit("_"), F.lit(" "))).alias("name"))
+    g = F.element_at(F.array(*[F.lit(x) for x in GENRES]), F.col("p_size") % 5 + 1)
+    return read(s, d, "part").withColumn("g", g).select("p_partkey", names.family(F.col("g")).alias("family"), names.short(F.col("g")).alias("short"))
 
 
 @query("dimension_map", "SELECT n_nationkey, n_name, coalesce(r_name, 'Unaffiliated') AS family FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n_regionkey = r_regionkey")

@@ -273,3 +273,23 @@ def test_whole_analysis(spark, tmp_path):
     got = run_analysis(spark.createDataFrame(data), "track_id", "genre", str(tmp_path), 5, 6, 2, 6)
     assert got["selected_features"] == 5 and 2 <= got["natural_k"] <= 6 and 0 <= got["nmi_natural_label"] <= 1
     assert spark.read.parquet(str(tmp_path / "tables/clusters")).count() == n
+
+
+def test_names_cover_all_features(spark):
+    from collections import Counter
+
+    from taxolens.functions import names, signal
+
+    every = list(signal.extract(np.zeros(3000)))
+    assert len(set(every)) == 194
+    got = Counter(names.dimension(n) for n in [*every, "meta.Bpm"])
+    assert got == {"energy": 16, "danceability": 4, "tempo": 19, "harmonic": 28, "rhythmic": 69, "texture": 59}
+    assert sum(map(len, names.FAMILIES.values())) == 32
+
+
+def test_engineering_adds_tempogram_summaries(spark):
+    row = {"fourier_peak1_bpm": 140.0, "fourier_peak1_mean": 3.0, "fourier_peak2_bpm": 90.0, "fourier_peak2_mean": 1.5, "cyclic_auto_entropy": 2.0}
+    df = spark.createDataFrame([{"k": 1, **row}, {"k": 2, **{n: v / 2 for n, v in row.items()}}])
+    out = engineer.engineer(df, sorted(row), keep=("k",)).where("k = 1").first()
+    assert out.tempogram_fast_slow_ratio == pytest.approx(3 / (1.5 + 1e-6)) and out.fourier_peak_concentration == pytest.approx(3 / (4.5 + 1e-6))
+    assert out.tempo_features_max == 140.0 and out.tempo_features_std == pytest.approx(np.std(list(row.values()), ddof=1))
