@@ -293,3 +293,17 @@ def test_engineering_adds_tempogram_summaries(spark):
     out = engineer.engineer(df, sorted(row), keep=("k",)).where("k = 1").first()
     assert out.tempogram_fast_slow_ratio == pytest.approx(3 / (1.5 + 1e-6)) and out.fourier_peak_concentration == pytest.approx(3 / (4.5 + 1e-6))
     assert out.tempo_features_max == 140.0 and out.tempo_features_std == pytest.approx(np.std(list(row.values()), ddof=1))
+
+
+def test_fitted_steps(spark):
+    from taxolens.plans.models import FeatureEngineer, FeatureSelector, NotFitted
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, f"g{i % 3}", float(i % 3 + rng.normal(0, 0.1)), float(rng.normal()), float(rng.normal())) for i in range(90)], "k int, genre string, good double, noise double, more double")
+    with pytest.raises(NotFitted):
+        FeatureSelector("k", "genre").transform(df)
+    s = FeatureSelector("k", "genre", 2).fit(df)
+    assert s.selected[-1] == "good" and s.transform(df.drop("genre")).columns == ["k", *s.selected] and s.info()["n_selected"] == 2
+    e = FeatureEngineer(("k", "genre"))
+    e.fit_transform(df)
+    assert e.info()["n_original"] == 3 and e.info()["n_total"] == len(e.made)
