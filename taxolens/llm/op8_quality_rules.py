@@ -125,9 +125,13 @@ def judge(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
 
 
 def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with their own columns; measures ride along in a struct that is dropped."""
+    """The rows that pass, with their own columns, which ride along in a struct.
+
+    The running number keeps the filter above the projection; below it, every bound would count words anew.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_body"))
-    return judge(row, "_body", ("_row",), rules).where("kept").select("_row.*")
+    judged = judge(row, "_body", ("_row",), rules).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where("kept AND _n >= 0").select("_row.*")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
