@@ -37,8 +37,8 @@ SEED = 17
 VARIANTS = 3
 #: Units with more characters than this are worked off with a heap.
 LONG_UNIT = 48
-CACHE_UNITS = 400_000
-CHUNK = 4 << 20
+CACHE_UNITS = 200_000
+CHUNK = 1 << 20
 SPACE = "▁"
 
 _U = np.uint64
