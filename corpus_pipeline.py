@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolens.llm import op5_decontaminate, op6_simhash, op7_sentencepiece, op8_quality_rules, op10_secret_scan
+from taxolens.llm import jaccard, op5_decontaminate, op6_simhash, op7_sentencepiece, op8_quality_rules, op10_secret_scan
 from taxolens.llm.common import stored, table
 
 #: Vocabulary of the last stage.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-#: The near-duplicate stage takes shingles of five words.
+#: The near-duplicate stage takes shingles of five words; texts link at a Jaccard similarity of 0.8 or RADIUS bits.
 SHINGLE, RADIUS = 5, op6_simhash.RADIUS
 
 
@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least id stays; rows with a null id stay, equal rows become one."""
-    grouped = op6_simhash.group(op6_simhash.fingerprints(docs, shingle=SHINGLE), RADIUS)
+    grouped = jaccard.group(docs, SHINGLE, RADIUS)
     drop = grouped.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
