@@ -10,7 +10,8 @@ digest of their bytes.
 A chunk is a repeat if documents with different ids hold it.  Neighbouring repeats
 form a span; spans of MIN_SPAN_BYTES or more are reported (MIN_SPAN_BYTES lies
 below any passage of over 50 words, less the chunks that its two ends cut), with
-the id of the first document that holds it.  Shuffles carry digests and places,
+the id of the first document that holds it; parts of a span that an earlier
+document holds are reported apart from those that are first here.  Shuffles carry digests and places,
 never texts; the ids per digest are combined on the map side.
 
 Null and empty texts have no chunk.  Rows with a null id can't be named and are
@@ -116,8 +117,9 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span_bytes: int = MIN_SPAN_BYTES) -> DataFrame:
     """doc_id, text_key, start, stop (bytes), n_chunks, first_doc_id of every repeated span.
 
-    first_doc_id: the first document with the span's most particular chunk, which is the largest of
-    its chunks' least ids; it equals doc_id in the document that is first itself.
+    A run of repeats of min_span_bytes or more is reported in parts: those whose chunks an earlier document
+    holds, and those that are first here.  first_doc_id: the first document with the part's most particular
+    chunk, which is the largest of its chunks' least ids; it equals doc_id in the parts that are first here.
     """
     every = chunks(docs, doc_id, text)
     held = every.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").select("d1", "d2", "least")
@@ -125,8 +127,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_spa
     found = found.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "seq"])
     own = Window.partitionBy("doc_id", "text_key").orderBy("seq")
     runs = found.withColumn("run", F.col("seq") - F.row_number().over(own))
-    spans = runs.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.max("least").alias("first_doc_id"))
-    return spans.where(F.col("stop") - F.col("start") >= min_span_bytes).select("doc_id", "text_key", "start", "stop", "n_chunks", "first_doc_id")
+    whole = Window.partitionBy("doc_id", "text_key", "run")
+    long = runs.withColumn("bytes", F.max("stop").over(whole) - F.min("start").over(whole)).where(F.col("bytes") >= min_span_bytes)
+    alike = Window.partitionBy("doc_id", "text_key", "run", "first_here").orderBy("seq")
+    parts = long.withColumn("first_here", F.col("least") == F.col("doc_id")).withColumn("part", F.col("seq") - F.row_number().over(alike))
+    spans = parts.groupBy("doc_id", "text_key", "run", "first_here", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.max("least").alias("first_doc_id"))
+    return spans.select("doc_id", "text_key", "start", "stop", "n_chunks", "first_doc_id")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span_bytes: int = MIN_SPAN_BYTES) -> DataFrame:
