@@ -45,7 +45,7 @@ class Rule:
 
 #: Thresholds: low and high bound of each measure.
 RULES = (
-    Rule("n_words", 50, 100_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_chars", 2.0, 16.0),
     Rule("symbol_ratio", None, 0.10),
     Rule("stop_word_ratio", 0.02, None),
