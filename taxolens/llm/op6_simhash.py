@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import stored
+from taxolens.llm.common import spread_join, stored
 from taxolens.llm.components import components
 from taxolens.llm.textkit import text_chunks
 
@@ -146,11 +146,12 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 def group(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp)."""
     fps = stored(fps, "fingerprints")
-    kinds = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "kinds")
+    kinds = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "kinds")
     roots = components(links(kinds.select("fp"), radius))
-    placed = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    placed = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    first = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = spread_join(placed, first, ["root"], "size").select("fp", "n", "component_id")
+    return spread_join(fps, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
