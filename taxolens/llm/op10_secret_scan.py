@@ -1,8 +1,8 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of every path is addressed by the SHA-256 of its text.  The ledger
-is a table (blob, rules, findings...) with one row for each pair of blob and rule
-version that has been scanned; a run scans only pairs it doesn't hold, appends
+is a table (blob, rules, findings...) with a row for each pair of blob and rule
+version that has been scanned (a version is a digest of its rules); a run scans only pairs it doesn't hold, appends
 their rows, and joins findings back to all paths.  Work and ledger follow the new
 content: a further run over known versions scans nothing.
 
@@ -13,11 +13,14 @@ of a match follows from the lengths of the matches and of what lies between them
 Null texts are empty.  Repeated rows, ties and copies share one blob and one
 scan, and each row gets the findings.  Null ids stay null.  Columns other than
 the id and the text are not read, so clashing names do no harm.  Copies of one
-text are reduced on the map side before the shuffle.
+text are reduced on the map side before the shuffle.  A text with very many matches
+takes time in proportion to them, but for copies of short arrays (see `_spans`).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -60,20 +63,40 @@ MORE_RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint="-----BEGIN"),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Names the rule table in the ledger; a change of the rules needs a new one.
-RULES_VERSION = "rules-1"
-
 SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(items: Column, size: Column) -> Column:
+    """An array that isn't empty, cut into arrays of `size` items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, size))
+
+
+def _no(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _before(totals: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What all earlier items come to, for each item."""
+    zero = F.struct(F.lit(0).alias("at"), _no("int").alias("out"))
+    return F.aggregate(totals, zero, lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
 def _spans(text: str, rank: int, rule: SecretRule) -> Column:
-    """Array of the rule's spans in the text, leftmost, without overlap."""
+    """Array of the rule's spans in the text, leftmost, without overlap.
+
+    Matches are added up in blocks of the cube root of their number, as appending to an array copies it:
+    the copies are a power of 4/3 of the matches, and all else is linear in the text.
+    """
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     valued = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     between = F.slice(F.split(text, rule.pattern, -1), 1, F.size(found))
     parts = F.zip_with(F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"))), valued, lambda x, v: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(v).alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
@@ -81,8 +104,13 @@ def _spans(text: str, rank: int, rule: SecretRule) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
         return F.struct(stop.alias("at"), F.when(x["v"] >= rule.least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    every = F.aggregate(parts, zero, add, lambda s: s["out"])
-    return F.when(F.col(text).rlike(rule.hint or rule.pattern), every).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + x["n"]))
+        each = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), _no(SPAN).alias("out")), add, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, _before(sums, lambda s, x: s + x), each))
+
+    every = _let(parts, lambda p: F.when(F.size(p) > 0, _let(_blocks(p, F.ceil(F.cbrt(F.size(p))).cast("int")), placed)).otherwise(_no(SPAN)))
+    return F.when(F.col(text).rlike(rule.hint or rule.pattern), every).otherwise(_no(SPAN))
 
 
 def scan(blobs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
@@ -95,6 +123,11 @@ def blob_of(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
+def version_of(rules: tuple[SecretRule, ...], label: str = "rules") -> str:
+    """Names a rule table in the ledger: any change of a rule, or of their order, makes another version."""
+    return f"{label}-{hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least, r.hint) for r in rules]).encode()).hexdigest()}"
+
+
 def read_ledger(spark, ledger: str) -> DataFrame:
     """The ledger's rows; none where it doesn't exist yet."""
     schema = f"blob binary, rules string, spans array<{SPAN}>"
@@ -106,27 +139,31 @@ def read_ledger(spark, ledger: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def update_ledger(versions: DataFrame, text: str, ledger: str, rules: tuple[SecretRule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
-    """Scans the blobs of versions that the ledger doesn't hold for this rule version; returns the ledger."""
-    spark = versions.sparkSession
-    known = read_ledger(spark, ledger).where(F.col("rules") == rules_version).select("blob")
+def update_ledger(versions: DataFrame, text: str, ledger: str, rules: tuple[SecretRule, ...] = RULES, label: str = "rules") -> DataFrame:
+    """Scans the blobs of versions that the ledger doesn't hold for these rules; returns the ledger's rows for them.
+
+    Two jobs at once, or a job that ran again, may have appended a pair twice; equal pairs hold equal
+    spans, and readers take one of them.
+    """
+    spark, version = versions.sparkSession, version_of(rules, label)
+    known = read_ledger(spark, ledger).where(F.col("rules") == version).select("blob")
     blobs = versions.select(blob_of(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     unseen = blobs.groupBy("blob").agg(F.first("body").alias("body")).join(known, "blob", "left_anti")
-    scan(unseen, rules).select("blob", F.lit(rules_version).alias("rules"), "spans").write.mode("append").parquet(ledger)
-    return read_ledger(spark, ledger).where(F.col("rules") == rules_version)
+    scan(unseen, rules).select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(ledger)
+    return read_ledger(spark, ledger).where(F.col("rules") == version)
 
 
-def findings(versions: DataFrame, text: str, carry: tuple[str, ...], ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
+def findings(versions: DataFrame, text: str, carry: tuple[str, ...], ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES, label: str = "rules") -> DataFrame:
     """row (a struct of carry) and spans of every version; without a ledger, a new one in the shared folder is used.
 
     Only blobs with findings are joined; the rest get an empty list.
     """
     spark = versions.sparkSession
-    held = update_ledger(versions, text, ledger or new_path(spark, "ledger"), rules, rules_version)
-    found = held.where("size(spans) > 0").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    held = update_ledger(versions, text, ledger or new_path(spark, "ledger"), rules, label)
+    found = held.where("size(spans) > 0").groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
     rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), blob_of(text).alias("_key"))
     joined = rows.join(found, F.col("_key") == F.col("_blob"), "left")
-    return joined.select("row", F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
+    return joined.select("row", F.coalesce("_spans", _no(SPAN)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -143,15 +180,32 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ledger:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced with the mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span, or run of overlapping spans, replaced with the mark.
 
-    def add(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        kept = F.when(fresh, F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), kept.alias("out"))
+    spans: in order of start. Reading a place in a text means going there from its beginning, so the text
+    is first cut into as many parts as each holds spans.
+    """
+    def closed(s: Column) -> Column:
+        """Each span with the furthest stop of those before it."""
+        blocks = _blocks(s, F.ceil(F.sqrt(F.size(s))).cast("int"))
+        top = lambda a, b: F.greatest(a, b)
+
+        def each(b: Column, at: Column) -> Column:
+            return F.zip_with(b, _before(F.transform(b, lambda x: x["stop"]), top), lambda x, before: F.struct(F.greatest(before, at).alias("at"), x["start"].alias("start")))
+
+        return _let(blocks, lambda bl: F.flatten(F.zip_with(bl, _before(F.transform(bl, lambda b: F.array_max(F.transform(b, lambda x: x["stop"]))), top), each)))
+
+    def joined(gaps: Column) -> Column:
+        def part(b: Column) -> Column:
+            first = b[0]["at"]
+            body = F.substring(text, first + 1, F.element_at(b, -1)["start"] - first)
+            return _let(body, lambda t: F.array_join(F.transform(b, lambda x: F.concat(F.substring(t, x["at"] - first + 1, x["start"] - x["at"]), F.lit(mark))), ""))
+
+        return F.array_join(F.transform(_blocks(gaps, F.ceil(F.sqrt(F.size(gaps))).cast("int")), part), "")
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+    last = F.array_max(F.transform(spans, lambda x: x["stop"]))
+    cut = _let(F.filter(closed(spans), lambda x: x["start"] >= x["at"]), joined)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(cut, F.substring(text, last + 1, F.length(text))))
 
 
 def redact(docs: DataFrame, text: str = "text", ledger: str | None = None) -> DataFrame:
