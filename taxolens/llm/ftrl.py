@@ -23,6 +23,7 @@ class Ftrl:
     l2: float = 1.0
     epochs: int = 4
     min_updates: int = 0  # few rows are gone through more often, up to so many updates in all
+    positive: float = 1.0  # how much a row of label 1 counts
     seed: int = 7
 
     def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -43,11 +44,12 @@ class Ftrl:
                 w = self.weights(z[idx], n[idx])
                 b = -z[bias] / ((self.beta + np.sqrt(n[bias])) / self.alpha)
                 p = 1.0 / (1.0 + np.exp(-np.clip(w @ val + b, -35, 35)))
-                g = (p - labels[i]) * val
+                off = (p - labels[i]) * (self.positive if labels[i] else 1.0)
+                g = off * val
                 s = (np.sqrt(n[idx] + g * g) - np.sqrt(n[idx])) / self.alpha
                 z[idx] += g - s * w
                 n[idx] += g * g
-                g = p - labels[i]
+                g = off
                 s = (np.sqrt(n[bias] + g * g) - np.sqrt(n[bias])) / self.alpha
                 z[bias] += g - s * b
                 n[bias] += g * g

@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.llm.ftrl import Ftrl, logistic
 from taxolens.llm.textkit import text_chunks
 
+#: At most so many features of labelled rows are gathered (8 bytes each), those of the first rows by hash of the id.
+MAX_FEATURES = 20_000_000
+
 #: (bytes, offsets) -> text of each feature (sorted), index, value; each (text, index) once.
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -40,8 +43,8 @@ def labelled_sample(labels: DataFrame, doc_id: str, label: str, limit: int) -> D
 def collect_features(docs: DataFrame, sample: DataFrame, doc_id: str, text: str, features: Features) -> tuple[list, np.ndarray]:
     """Feature rows and labels of the sample's documents, in order of the id.
 
-    The sample is bounded, so it is broadcast and the result fits the driver.  Of several texts
-    with one id the one with the smallest hash counts.
+    The sample is bounded, so it is broadcast, and so are the features (MAX_FEATURES), so they fit the
+    driver however long the texts are.  Of several texts with one id the one with the smallest hash counts.
     """
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -62,8 +65,10 @@ def collect_features(docs: DataFrame, sample: DataFrame, doc_id: str, text: str,
                 )
 
     rows = pairs.select("doc_id", F.col("label").cast("int").alias("label"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.mapInArrow(extract, "doc_id bigint, label int, tie bigint, idx binary, val binary")
+    rows = rows.mapInArrow(extract, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, tie bigint, idx binary, val binary")
     rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "idx", "val"), "tie").alias("x")).select("doc_id", "x.*")
+    so_far = F.sum(F.length("idx") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_FEATURES).drop("so_far")
     got = rows.toArrow().combine_chunks().sort_by("doc_id")
     pick = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) if x.as_buffer().size else np.zeros(0, kind) for x in got[name]]
     return list(zip(pick("idx", "<i4"), pick("val", "<f4"), strict=True)), got["label"].to_numpy().astype(float)

@@ -9,7 +9,9 @@ so a score is one gather and one mean over the text, and doesn't need counts.
 
 Null and empty texts have no feature and get the bias alone.  Repeated rows and
 ties are scored alike, each on its own; a table without labels gives score 0.5.
-Only ids and texts are read, so further columns of any name do no harm.
+Ids are of any type. A text is never split over workers: one takes some 200 times
+the bytes of its longest text, or of a chunk of 1 MiB.  Only ids and texts are read,
+so further columns of any name do no harm.
 """
 
 from __future__ import annotations

@@ -20,8 +20,6 @@ columns of any name do no harm.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolens.llm.common import new_path
+
 #: The rules of the query, (verdict, host and path).
 QUERY_RULES = (
     ("allow", "com/"),
@@ -61,8 +61,8 @@ def _digest(key: bytes) -> int:
 ROW = np.dtype([("digest", "<u8"), ("start", "<i8"), ("stop", "<i8"), ("block", "<i8")])
 
 
-def build(rules: Iterable[tuple[str, str]], file: str) -> None:
-    """Writes one file: four sizes, the lengths of rule paths, the rows by digest, the heap of host/path rules.
+def packed(rules: Iterable[tuple[str, str]]) -> bytes:
+    """The file's content: four sizes, the lengths of rule paths, the rows by digest, the heap of host/path rules.
 
     rules: (verdict, rule); of equal rules the last counts.
     """
@@ -81,10 +81,12 @@ def build(rules: Iterable[tuple[str, str]], file: str) -> None:
         index["start"][1:] = ends[:-1]
     lengths = sorted({len(k.decode().partition("/")[2]) + 1 for _, k, _ in rows})
     labels = max((k.partition(b"/")[0].count(b".") + 1 for _, k, _ in rows), default=0)
+    return np.array([len(rows), len(lengths), labels, len(heap), *lengths], "<i8").tobytes() + index.tobytes() + heap
+
+
+def build(rules: Iterable[tuple[str, str]], file: str) -> None:
     with open(file, "wb") as f:
-        f.write(np.array([len(rows), len(lengths), labels, len(heap), *lengths], "<i8").tobytes())
-        f.write(index.tobytes())
-        f.write(heap)
+        f.write(packed(rules))
 
 
 @dataclass
@@ -141,16 +143,20 @@ class RuleIndex:
         return rules, verdicts
 
 
-def distribute(spark, rules: Iterable[tuple[str, str]]) -> str:
-    """Builds the file and hands it to Spark, which brings it to every executor; returns its name.
+def distribute(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
+    """Writes the file to the shared folder and hands it to Spark, which brings it to every executor; returns its name.
 
-    The driver serves it from its temporary folder as long as it runs.
+    It is deleted when the driver ends. The list itself is the caller's, on the driver.
     """
-    name = f"url-rules-{uuid.uuid4().hex}.bin"
-    file = f"{tempfile.mkdtemp()}/{name}"
-    build(rules, file)
-    spark.sparkContext.addFile(file)
-    return name
+    path = new_path(spark, "url-rules")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(packed(rules))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = QUERY_RULES, page_id: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:

@@ -26,6 +26,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from taxolens.llm.template import compile_template
 
@@ -110,13 +111,15 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE, conv_id: str =
         program = compile_template(template, {"esc": escape})
         for key, messages in _grouped(batches):
             out, spans = render(program, messages)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([out]), pa.array([[list(s) for s in spans]], pa.list_(pa.list_(pa.int64())))], ["conv_id", "formatted", "loss_spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([out]), pa.array([[list(s) for s in spans]], pa.list_(pa.list_(pa.int64())))], ["conv_id", "formatted", "loss_spans"])
 
-    return _dealt(conversations, conv_id, turn, role, text).mapInArrow(run, "conv_id bigint, formatted string, loss_spans array<array<bigint>>")
+    rows = _dealt(conversations, conv_id, turn, role, text)
+    kind = to_arrow_type(rows.schema["conv_id"].dataType)
+    return rows.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, formatted string, loss_spans array<array<bigint>>")
 
 
 def _dealt(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    rows = conversations.select(F.col(conv_id).cast("bigint").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
@@ -159,16 +162,18 @@ def digests(conversations: DataFrame, template: str = TEMPLATE, conv_id: str = "
             reader.close()
             rows.append((key, n["turns"], turns.hexdigest(), n["loss"], loss.hexdigest(), n["chars"]))
             if len(rows) >= 1000:
-                yield _batch(rows)
+                yield _batch(rows, kind)
                 rows = []
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, kind)
 
-    return _dealt(conversations, conv_id, turn, role, text).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    dealt = _dealt(conversations, conv_id, turn, role, text)
+    kind = to_arrow_type(dealt.schema["conv_id"].dataType)
+    return dealt.mapInArrow(run, f"conv_id {dealt.schema['conv_id'].dataType.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -177,6 +182,7 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     """The four columns of all conversations and of conversation -1."""
     spark = conversations.sparkSession
     probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    probe = probe.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType))
     return conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(probe)
 
 
