@@ -197,18 +197,24 @@ def cophenetic(z: np.ndarray, d: np.ndarray) -> float:
     return float(np.corrcoef(meet[at], d[at])[0, 1]) if len(at[0]) > 1 else 1.0
 
 
+def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows at most, drawn one by one with odds in proportion to the squared distance from those drawn before."""
+    c = x[[rng.integers(len(x))]]
+    near = np.maximum(((x - c[0]) ** 2).sum(1), 0)
+    while len(c) < min(k, len(x)):
+        p = near / near.sum() if near.sum() > 0 else None
+        c = np.vstack([c, x[rng.choice(len(x), p=p)]])
+        near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+    return c
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 4, rounds: int = 100) -> tuple[np.ndarray, float]:
     """(labels, inertia) of the best of several seeded k-means++ starts, on one bounded matrix."""
     best: tuple[np.ndarray, float] | None = None
+    x = x - x.mean(0)
     x2 = (x * x).sum(1)
     for s in range(starts):
-        rng = np.random.default_rng(seed * 7919 + s)
-        c = x[[rng.integers(len(x))]]
-        near = np.maximum(((x - c[0]) ** 2).sum(1), 0)
-        while len(c) < min(k, len(x)):
-            p = near / near.sum() if near.sum() > 0 else None
-            c = np.vstack([c, x[rng.choice(len(x), p=p)]])
-            near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+        c = first_centres(x, k, np.random.default_rng(seed * 7919 + s))
         label = None
         for _ in range(rounds):
             d = x2[:, None] - 2 * x @ c.T + (c * c).sum(1)
@@ -216,9 +222,10 @@ def kmeans(x: np.ndarray, k: int, seed: int, starts: int = 4, rounds: int = 100)
             if label is not None and (new == label).all():
                 break
             label = new
-            for j in range(len(c)):
-                if (label == j).any():
-                    c[j] = x[label == j].mean(0)
+            member = np.zeros((len(c), len(x)))
+            member[label, np.arange(len(x))] = 1
+            n = member.sum(1)
+            c[n > 0] = (member @ x)[n > 0] / n[n > 0, None]
         inertia = float(np.maximum(d[np.arange(len(x)), label], 0).sum())
         if best is None or inertia < best[1] - 1e-12:
             best = (label, inertia)
@@ -230,8 +237,9 @@ def silhouette_mean(x: np.ndarray, labels: np.ndarray) -> float:
     kinds, code = np.unique(labels, return_inverse=True)
     if len(kinds) < 2:
         return -1.0
-    x2 = (x * x).sum(1)
-    sums = np.sqrt(np.maximum(x2[:, None] + x2 - 2 * x @ x.T, 0)) @ np.eye(len(kinds))[code]
+    x = x - x.mean(0)
+    x2, member = (x * x).sum(1), np.eye(len(kinds))[code]
+    sums = np.concatenate([np.sqrt(np.maximum(x2[lo : lo + 1024, None] + x2 - 2 * x[lo : lo + 1024] @ x.T, 0)) @ member for lo in range(0, len(x), 1024)])
     n = np.bincount(code)
     own = n[code]
     a = sums[np.arange(len(x)), code] / np.maximum(own - 1, 1)
@@ -240,3 +248,32 @@ def silhouette_mean(x: np.ndarray, labels: np.ndarray) -> float:
     b = other.min(1)
     top = np.maximum(a, b)
     return float(np.where((own > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0).mean())
+
+
+def partition_measures(x: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Davies-Bouldin and Calinski-Harabasz of one bounded matrix; infinity and 0 for fewer than two clusters."""
+    kinds, code = np.unique(labels, return_inverse=True)
+    if len(kinds) < 2:
+        return math.inf, 0.0
+    n = np.bincount(code)
+    centre = np.array([x[code == j].mean(0) for j in range(len(kinds))])
+    off = ((x - centre[code]) ** 2).sum(1)
+    spread = np.bincount(code, np.sqrt(off)) / n
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
+    np.fill_diagonal(gap, np.inf)
+    between = (n * ((centre - x.mean(0)) ** 2).sum(1)).sum()
+    return float(((spread[:, None] + spread[None]) / gap).max(1).mean()), float(between / (len(kinds) - 1) / max(off.sum() / max(len(x) - len(kinds), 1), 1e-12))
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Normalised mutual information (arithmetic) and adjusted Rand index of two labellings."""
+    one, two = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    t = np.bincount(one * (two.max() + 1) + two, minlength=(one.max() + 1) * (two.max() + 1)).reshape(one.max() + 1, -1).astype(float)
+    n, rows, columns = t.sum(), t.sum(1), t.sum(0)
+    some = t > 0
+    mi = (t[some] / n * np.log(n * t[some] / np.outer(rows, columns)[some])).sum()
+    entropy = lambda c: -(c[c > 0] / n * np.log(c[c > 0] / n)).sum()
+    pairs = lambda c: (c * (c - 1) / 2).sum()
+    both = entropy(rows) + entropy(columns)
+    expected, most = pairs(rows) * pairs(columns) / max(n * (n - 1) / 2, 1), (pairs(rows) + pairs(columns)) / 2
+    return float(2 * mi / both) if both > 1e-12 else 1.0, float((pairs(t) - expected) / (most - expected)) if abs(most - expected) > 1e-12 else 1.0

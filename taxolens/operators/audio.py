@@ -37,3 +37,15 @@ def signals(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """(key, y): the samples of each key in order."""
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
     return df.groupBy(key).agg(F.transform(packed, lambda s: s["_v"]).alias("y"))
+
+
+def with_metadata(extracted: DataFrame, key: str, names: list[str], meta: DataFrame, out: str | None = None) -> DataFrame:
+    """The readable tracks' features, one column each, with their metadata beside them (joined by key, nulls where there is none).
+
+    meta: key and metadata columns. With a path, the table is written there too, and what was written is returned.
+    """
+    joined = wide(extracted, key, names).join(meta, key, "left")
+    if out is None:
+        return joined
+    joined.write.mode("overwrite").parquet(out)
+    return extracted.sparkSession.read.parquet(out)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.operators import curves
+from taxolens.operators import curves, geometry
 
-#: Rows that operators on one matrix (trees, greedy selection, divisive splits) accept.
+#: Rows that operators on one matrix (greedy selection, divisive splits) accept; a sweep of more rows is distributed.
 MATRIX_ROWS = 20_000
+#: Bytes that a tree of rows may take on the driver: three square matrices of doubles.
+TREE_BYTES = 4 << 30
+#: Rows from which first centres are drawn; all rows are clustered.
+INIT_ROWS = 20_000
+#: K-means starts and rounds of the studied system.
+STARTS, ROUNDS = 50, 300
 
 
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -21,28 +29,129 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def forced(df: DataFrame, vector: str, k: int = 35, starts: int = 3, rounds: int = 100, seed: int = 42, out: str = "cluster") -> DataFrame:
-    """df with a cluster id: distributed k-means, the cheapest of several seeded starts."""
-    from pyspark.ml.clustering import KMeans
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column as one matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-    data = _vectors(df, vector).persist()
-    models = [KMeans(k=k, maxIter=rounds, seed=seed + i, featuresCol="_features", predictionCol=out).fit(data) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    labelled = best.transform(data).drop("_features")
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and the squared distance."""
+    d = (centres * centres).sum(1) - 2 * x @ centres.T
+    label = d.argmin(1)
+    return label, np.maximum(d[np.arange(len(x)), label] + (x * x).sum(1), 0)
+
+
+def forced(df: DataFrame, vector: str, k: int = 35, starts: int = STARTS, rounds: int = ROUNDS, seed: int = 42, out: str = "cluster") -> DataFrame:
+    """df with a cluster id: distributed k-means, the cheapest of several seeded starts.
+
+    All starts advance in the same pass over the rows, one job a round, until their centres rest; tasks
+    send sums for each start and cluster only. First centres are drawn by k-means++ from INIT_ROWS rows at most,
+    those with the least hashes; ids are numbered by centre, so they don't depend on the start.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from taxolens.functions.estimators import first_centres
+
+    spark = df.sparkSession
+    data = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).persist()
+    some = _rows_of(data.orderBy(F.xxhash64("v"), "v").limit(INIT_ROWS).toArrow()["v"].combine_chunks())
+    if not len(some):
+        data.unpersist()
+        return df.withColumn(out, F.lit(0))
+    centre = some.mean(0)
+    some = some - centre
+    centres = np.array([first_centres(some, k, np.random.default_rng(seed * 7919 + i)) for i in range(starts)])
+    least_move = 1e-4 * some.var(0).mean()
+    costs, live = np.full(starts, np.inf), np.arange(starts)
+    width = len(centre)
+
+    def passed(shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = shared.value
+            sums, n, cost = np.zeros(now.shape), np.zeros(now.shape[:2]), np.zeros(now.shape[:2])
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = _rows_of(batch.column("v")) - centre
+                for i, c in enumerate(now):
+                    label, d = _nearest(x, c)
+                    member = np.zeros((len(x), len(c)))
+                    member[np.arange(len(x)), label] = 1
+                    sums[i] += member.T @ x
+                    n[i] += member.sum(0)
+                    cost[i] += d @ member
+            i, j = np.nonzero(n)
+            if len(i):
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * width, pa.int32()), pa.array(sums[i, j].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j]), pa.array(cost[i, j]), each], ["i", "j", "n", "cost", "s"])
+
+        parts = data.mapInArrow(run, "i int, j int, n double, cost double, s array<double>")
+        return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centres[live])
+        got = passed(shared).toArrow()
+        shared.destroy()
+        moved = centres[live].copy()
+        i, j = got["i"].to_numpy(), got["j"].to_numpy()
+        moved[i, j] = _rows_of(got["s"].combine_chunks()) / got["n"].to_numpy()[:, None]
+        costs[live] = np.bincount(i, got["cost"].to_numpy(), len(live))
+        resting = ((moved - centres[live]) ** 2).sum((1, 2)) <= least_move
+        centres[live] = moved
+        live = live[~resting]
+        if not len(live):
+            break
     data.unpersist()
-    return labelled
+    best = centres[int(np.argmin(costs))]
+    best = best[np.lexsort(best.T[::-1])] + centre
+    shared = spark.sparkContext.broadcast(best)
 
+    @F.pandas_udf("int")
+    def label(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), float).reshape(len(v), -1)
+        return pd.Series(_nearest(x - shared.value.mean(0), shared.value - shared.value.mean(0))[0].astype("int32"))
+
+    return df.withColumn(out, label(F.transform(vector, lambda x: x.cast("double"))))
 
-def matrix(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
-    """Keys and values in order of the key; refuses tables that no single matrix should hold."""
-    if df.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
-        raise ValueError(f"more than {MATRIX_ROWS} rows: fit on a sample or use the distributed operators")
-    got = df.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy(key).toPandas()
-    return got[key].tolist(), np.array(got["v"].tolist(), float)
 
+def natural(df: DataFrame, key: str, vector: str, low: int = 15, high: int = 40, starts: int = STARTS, seed: int = 42, out: str = "cluster") -> DataFrame:
+    """df with the cluster ids of the k that the elbows of the sweep vote for."""
+    k = natural_k(sweep(df, key, vector, list(range(low, high + 1)), starts, seed), low, high).first().k
+    return forced(df, vector, k, starts, seed=seed, out=out)
 
-def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = 4, seed: int = 42) -> DataFrame:
-    """(k, silhouette, calinski, davies_bouldin, inertia), one task a k over one broadcast matrix."""
+
+def matrix(df: DataFrame, key: str, vector: str, rows: int | None = None) -> tuple[list, np.ndarray]:
+    """Keys and values in order of the key; refuses tables that no single matrix should hold."""
+    most = MATRIX_ROWS if rows is None else rows
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: fit on a sample or use the distributed operators")
+    got = df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy("k").toArrow()
+    return got["k"].to_pylist(), _rows_of(got["v"].combine_chunks()) if len(got) else np.zeros((0, 0))
+
+
+def _distances(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
+    """Keys and all distances, by one matrix product; refuses what TREE_BYTES don't hold."""
+    keys, x = matrix(df, key, vector, math.isqrt(TREE_BYTES // 24))
+    x = x - x.mean(0) if len(x) else x
+    x2 = (x * x).sum(1)
+    d = x @ x.T
+    d *= -2
+    d += x2[:, None]
+    d += x2
+    np.maximum(d, 0, out=d)
+    np.fill_diagonal(d, 0)
+    return keys, np.sqrt(d, out=d)
+
+
+def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = STARTS, seed: int = 42) -> DataFrame:
+    """(k, silhouette, calinski, davies_bouldin, inertia) of the best of several starts for each k.
+
+    Up to MATRIX_ROWS rows: one task a k over one broadcast matrix. More: distributed k-means and the
+    distributed measures, one k after another.
+    """
+    if df.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
+        return _sweep_distributed(df, key, vector, ks, starts, seed)
     _, x = matrix(df, key, vector)
     shared = df.sparkSession.sparkContext.broadcast(x)
 
@@ -52,7 +161,7 @@ def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = 4,
         x = shared.value
         for b in batches:
             for k in b["id"]:
-                label, cost = kmeans(x, int(k), seed, starts)
+                label, cost = kmeans(x, int(k), seed, starts, ROUNDS)
                 kinds = np.unique(label)
                 if len(kinds) < 2:
                     yield pd.DataFrame({"k": [int(k)], "silhouette": [-1.0], "calinski": [0.0], "davies_bouldin": [float("inf")], "inertia": [float("inf")]})
@@ -70,6 +179,19 @@ def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = 4,
     return ids.mapInPandas(run, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
 
 
+def _sweep_distributed(df: DataFrame, key: str, vector: str, ks: list[int], starts: int, seed: int) -> DataFrame:
+    rows = []
+    for k in ks:
+        one = forced(df.select(key, vector), vector, k, starts, seed=seed).persist()
+        if one.select("cluster").distinct().count() < 2:
+            rows.append((int(k), -1.0, 0.0, math.inf, math.inf))
+        else:
+            parts = (geometry.silhouette(one, key, "cluster", vector), geometry.calinski_harabasz(one, "cluster", vector), geometry.davies_bouldin(one, "cluster", vector), geometry.inertia(one, "cluster", vector))
+            rows.append((int(k), *(float(p.first()[0]) for p in parts)))
+        one.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
+
+
 def natural_k(curve: DataFrame, low: int, high: int) -> DataFrame:
     """(k): the vote of the elbows of all four measures."""
     votes = None
@@ -79,7 +201,7 @@ def natural_k(curve: DataFrame, low: int, high: int) -> DataFrame:
     return curves.vote(votes, low, high)
 
 
-def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], references: int = 10, seed: int = 42) -> DataFrame:
+def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], references: int = 10, seed: int = 42, starts: int = 10) -> DataFrame:
     """(k, gap, s): against uniform boxes, one task for each pair of k and reference."""
     _, x = matrix(df, key, vector)
     shared = df.sparkSession.sparkContext.broadcast(x)
@@ -91,7 +213,7 @@ def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], reference
         for b in batches:
             for k, r in zip(b["k"], b["r"], strict=True):
                 data = x if r < 0 else np.random.default_rng(seed + int(r)).uniform(x.min(0), x.max(0), x.shape)
-                yield pd.DataFrame({"k": [int(k)], "r": [int(r)], "w": [float(np.log(max(kmeans(data, int(k), seed, 2)[1], 1e-300)))]})
+                yield pd.DataFrame({"k": [int(k)], "r": [int(r)], "w": [float(np.log(max(kmeans(data, int(k), seed, starts)[1], 1e-300)))]})
 
     jobs = df.sparkSession.createDataFrame([(k, r) for k in ks for r in range(-1, references)], "k int, r int").repartition(len(ks) * 2)
     got = jobs.mapInPandas(run, "k int, r int, w double")
@@ -107,6 +229,7 @@ def divisive(df: DataFrame, key: str, vector: str, k: int, min_size: int = 10, s
     from taxolens.functions.estimators import kmeans, silhouette_mean
 
     keys, x = matrix(df, key, vector)
+
     def judge(rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray | None]:
         if len(rows) < 2 * min_size:
             return -1.0, rows, None
@@ -134,8 +257,8 @@ def tree(df: DataFrame, key: str, vector: str, method: str = "ward") -> DataFram
     """(step, left, right, distance, size): merges of rows by Euclidean distance."""
     from taxolens.functions.estimators import linkage
 
-    _, x = matrix(df, key, vector)
-    z = linkage(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)), method) if len(x) > 1 else np.zeros((0, 4))
+    _, d = _distances(df, key, vector)
+    z = linkage(d, method) if len(d) > 1 else np.zeros((0, 4))
     rows = [(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(z)]
     return df.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int")
 
@@ -144,11 +267,11 @@ def tree_labels(df: DataFrame, key: str, vector: str, k: int, method: str = "war
     """(key, cluster): the tree cut into k parts."""
     from taxolens.functions.estimators import linkage
 
-    keys, x = matrix(df, key, vector)
-    group = {i: [i] for i in range(len(x))}
-    z = linkage(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)), method)
-    for i, (a, b, _, _) in enumerate(z[: max(len(x) - k, 0)]):
-        group[len(x) + i] = group.pop(int(a)) + group.pop(int(b))
+    keys, d = _distances(df, key, vector)
+    group = {i: [i] for i in range(len(d))}
+    z = linkage(d, method)
+    for i, (a, b, _, _) in enumerate(z[: max(len(d) - k, 0)]):
+        group[len(d) + i] = group.pop(int(a)) + group.pop(int(b))
     rows = [(keys[m], c) for c, part in enumerate(sorted(group.values(), key=min)) for m in part]
     return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, cluster int")
 
@@ -157,47 +280,57 @@ def cophenetic(df: DataFrame, key: str, vector: str, method: str = "ward") -> Da
     from taxolens.functions.estimators import cophenetic as measure
     from taxolens.functions.estimators import linkage
 
-    _, x = matrix(df, key, vector)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    _, d = _distances(df, key, vector)
     return df.sparkSession.createDataFrame([(measure(linkage(d, method), d),)], "cophenetic double")
 
 
-def class_tree(similarity: DataFrame) -> DataFrame:
-    """(step, left, right, distance, size): average linkage of classes from (genre1, genre2, similarity)."""
+def class_tree(similarity: DataFrame, families: dict | None = None) -> DataFrame:
+    """(step, left, right, distance, size, family): average linkage of classes from (genre1, genre2, similarity).
+
+    Leaves are numbered in order of the class. family: that of all classes below a merge, from a map of
+    class to family; mixed where they differ, null for classes without one.
+    """
     from taxolens.functions.estimators import linkage
 
-    m = similarity.toPandas().pivot(index="genre1", columns="genre2", values="similarity").sort_index().sort_index(axis=1).to_numpy(float).copy()
+    square = similarity.toPandas().pivot(index="genre1", columns="genre2", values="similarity").sort_index().sort_index(axis=1)
+    m = square.to_numpy(float).copy()
     np.fill_diagonal(m, 1.0)
     d = 1 - m / m.max()
     d = (d + d.T) / 2
     np.fill_diagonal(d, 0.0)
-    rows = [(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(linkage(d, "average"))]
-    return similarity.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int")
+    below = [(families or {}).get(c) for c in square.index]
+    rows = []
+    for i, (a, b, h, n) in enumerate(linkage(d, "average")):
+        one, two = below[int(a)], below[int(b)]
+        below.append(one if one == two else "mixed")
+        rows.append((i, int(a), int(b), float(h), int(n), below[-1]))
+    return similarity.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int, family string")
 
 
-def greedy_silhouette(df: DataFrame, key: str, vector: str, n: int, k: int, pool: int = 80, seed: int = 42) -> DataFrame:
+def greedy_silhouette(df: DataFrame, key: str, vector: str, n: int = 20, k: int = 35, pool: int = 80, seed: int = 42) -> DataFrame:
     """(ord, pos, silhouette): columns picked one by one so that the clusters' silhouette is largest; all candidates of a step run as tasks."""
     spark = df.sparkSession
     _, x = matrix(df, key, vector)
     shared = spark.sparkContext.broadcast(x)
 
-    def tried(chosen: list[int], some: list[int]) -> list[tuple[int, float]]:
+    def tried(chosen: list[int], some: list[int], starts: int, rounds: int) -> list[tuple[int, float]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from taxolens.functions.estimators import kmeans, silhouette_mean
 
             for b in batches:
                 for p in b["pos"]:
                     part = shared.value[:, [*chosen, int(p)]]
-                    yield pd.DataFrame({"pos": [int(p)], "s": [silhouette_mean(part, kmeans(part, k, seed, 2, 50)[0])]})
+                    yield pd.DataFrame({"pos": [int(p)], "s": [silhouette_mean(part, kmeans(part, k, seed, starts, rounds)[0])]})
 
         jobs = spark.createDataFrame([(p,) for p in some], "pos int").repartition(min(len(some), 64))
         return sorted(((r.pos, r.s) for r in jobs.mapInPandas(run, "pos int, s double").collect()), key=lambda r: (-r[1], r[0]))
 
-    alone = tried([], list(range(x.shape[1])))[:pool]
+    # fixed values: starts and rounds for single columns and for steps
+    alone = tried([], list(range(x.shape[1])), 5, 50)[:pool]
     picked = [alone[0]] if alone else []
     while len(picked) < min(n, len(alone)):
         left = [p for p, _ in alone if p not in {q for q, _ in picked}]
-        picked.append(tried([p for p, _ in picked], left)[0])
+        picked.append(tried([p for p, _ in picked], left, 10, 100)[0])
     return spark.createDataFrame([(i + 1, p, float(s)) for i, (p, s) in enumerate(picked)], "ord int, pos int, silhouette double")
 
 

@@ -7,6 +7,7 @@ then one projection.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ INTERACTIONS = {
 }
 RHYTHM_WORDS, ENERGY_WORDS = ("bpm", "beat", "tempo", "rhythm"), ("energy", "power", "strength")
 FAST_BPM, SLOW_BPM = 130.0, 100.0
+#: Exponents that a pass of the power transform's fit tries for each column.
+STEPS = 17
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = IDENTITY, kinds: tuple[str, ...] | None = None) -> list[str]:
@@ -155,13 +158,38 @@ def scale_percent(df: DataFrame, c: str) -> DataFrame:
     return _with(df, [q]).withColumn("scaled", percent_band(clean(_q(c)), F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
-def scale_power(df: DataFrame, c: str, lam: float) -> DataFrame:
-    """The power transform with a known exponent, then mean 0 and population deviation 1."""
+def fit_exponents(df: DataFrame, columns: list[str], low: float = -4.0, high: float = 4.0, precision: float = 1e-6) -> dict[str, float]:
+    """The power transform's exponent of largest likelihood for each column; 1 for columns with fewer than two values.
+
+    All columns are searched at once: each pass is one aggregate of the variance at STEPS exponents a column,
+    and the next looks closer around the best. Nothing but sums leaves a task.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("i"), clean(_q(c)).alias("x")) for i, c in enumerate(columns)])
+    long = df.select(F.explode(values).alias("f")).select("f.*").where("x IS NOT NULL")
+    weight = F.sum(F.signum("x") * F.log1p(F.abs("x")))
+    facts = {r.i: r for r in long.groupBy("i").agg(F.count("*").alias("n"), weight.alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    open_ = {i: (low, high) for i, r in facts.items() if r.lo < r.hi}
+    while open_ and max(b - a for a, b in open_.values()) > precision:
+        grid = df.sparkSession.createDataFrame([(i, a, (b - a) / (STEPS - 1)) for i, (a, b) in open_.items()], "i int, a double, step double")
+        near = long.join(F.broadcast(grid), "i")
+        spread = near.groupBy("i").agg(F.array(*[F.var_pop(yeo_johnson(F.col("x"), F.col("a") + j * F.col("step"))) for j in range(STEPS)]).alias("v")).collect()
+        for r in spread:
+            a, b = open_[r.i]
+            step, f = (b - a) / (STEPS - 1), facts[r.i]
+            loss = [math.inf if v is None or not 0 < v < math.inf else f.n / 2 * math.log(v) - (a + j * step - 1) * f.w for j, v in enumerate(r.v)]
+            best = loss.index(min(loss))
+            open_[r.i] = (a + max(best - 1, 0) * step, a + min(best + 1, STEPS - 1) * step)
+    return {c: sum(open_[i]) / 2 if i in open_ else 1.0 for i, c in enumerate(columns)}
+
+
+def scale_power(df: DataFrame, c: str, lam: float | None = None) -> DataFrame:
+    """The power transform, with its exponent fitted if none is given, then mean 0 and population deviation 1."""
+    lam = fit_exponents(df, [c])[c] if lam is None else lam
     moved = df.withColumn("_y", yeo_johnson(clean(_q(c)), lam))
     return scale_standard(moved, "_y").drop("_y")
 
 
-def scale_blend(df: DataFrame, c: str, lam: float) -> DataFrame:
+def scale_blend(df: DataFrame, c: str, lam: float | None = None) -> DataFrame:
     """Half robust, three tenths power, two tenths standard."""
     out = scale_robust(df, c).withColumnRenamed("scaled", "_r")
     out = scale_power(out, c, lam).withColumnRenamed("scaled", "_p")

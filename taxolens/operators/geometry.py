@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +18,12 @@ def long(df: DataFrame, vector: str, *keep: str) -> DataFrame:
 
 
 def centroids(df: DataFrame, by: str, vector: str) -> DataFrame:
-    """(by, centroid, size): mean vector. Components are averaged with partial aggregates; only group x dims rows are gathered."""
-    means = long(df, vector, by).groupBy(by, "dim").agg(F.avg("x").alias("m"), F.count("*").alias("size"))
-    return means.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"), F.max("size").alias("size"))
+    """(by, centroid, size): mean vector, by one aggregate of whole vectors; nothing but a vector a group and task is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    g = df.select(by, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v")).groupBy(by)
+    return g.agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"), F.count("*").alias("size"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,27 +32,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / F.when(n > 0, n)).otherwise(F.lit(0.0))
 
 
-def inner_similarity(df: DataFrame, by: str, vector: str) -> DataFrame:
-    """(by, similarity): mean cosine over all pairs of a group, 1 for a single row.
+def _centres(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """(by, centroid, similarity) in one pass: mean vector, and mean cosine over all pairs of a group, 1 for a single row.
 
     The pairs' sum follows from the sum of unit vectors: (|sum u|^2 - sum |u|^2) / 2, so the cost is
     linear in the group.
     """
-    unit = df.withColumn("_u", F.transform(vector, lambda x: x.cast("double"))).withColumn("_n", norm(F.col("_u")))
-    unit = unit.withColumn("_u", F.transform("_u", lambda x: F.when(F.col("_n") > 0, x / F.when(F.col("_n") > 0, F.col("_n"))).otherwise(0.0)))
-    sums = long(unit, "_u", by).groupBy(by, "dim").agg(F.sum("x").alias("s")).groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
-    sizes = unit.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("_n") > 0).alias("m"))
-    return sums.join(sizes, by).select(by, F.when(F.col("n") > 1, (F.col("q") - F.col("m")) / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).otherwise(1.0).alias("similarity"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.select(by, F.transform(vector, lambda x: x.cast("double")).alias("_v")).withColumn("_n", norm(F.col("_v")))
+    unit = F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.when(F.col("_n") > 0, F.col("_n"))).otherwise(0.0))
+    rows = rows.select(by, array_to_vector("_v").alias("_v"), array_to_vector(unit).alias("_u"), "_n")
+    g = rows.groupBy(by).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"), vector_to_array(Summarizer.sum(F.col("_u"))).alias("s"), F.count("*").alias("n"), F.count_if(F.col("_n") > 0).alias("m"))
+    similarity = F.when(F.col("n") > 1, (dot(F.col("s"), F.col("s")) - F.col("m")) / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).otherwise(1.0)
+    return g.select(by, "centroid", similarity.alias("similarity"))
+
+
+def inner_similarity(df: DataFrame, by: str, vector: str) -> DataFrame:
+    """(by, similarity): mean cosine over all pairs of a group, 1 for a single row."""
+    return _centres(df, by, vector).select(by, "similarity")
 
 
 def convergence(df: DataFrame, by: str, vector: str) -> DataFrame:
     """(genre1, genre2, similarity): the full matrix; inside a class mean pair cosine, between classes that of centroids in [0, 1]."""
-    c = centroids(df, by, vector)
-    l, r = c.select(F.col(by).alias("genre1"), F.col("centroid").alias("c1")), c.select(F.col(by).alias("genre2"), F.col("centroid").alias("c2"))
-    half = l.join(F.broadcast(r), F.col("genre1") < F.col("genre2")).select("genre1", "genre2", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("c1"), F.col("c2")))).alias("similarity"))
-    mirror = half.select(F.col("genre2").alias("genre1"), F.col("genre1").alias("genre2"), "similarity")
-    inner = inner_similarity(df, by, vector).select(F.col(by).alias("genre1"), F.col(by).alias("genre2"), "similarity")
-    return half.unionByName(mirror).unionByName(inner)
+    c = _centres(df, by, vector)
+    l, r = c.select(F.col(by).alias("genre1"), F.col("centroid").alias("c1"), "similarity"), c.select(F.col(by).alias("genre2"), F.col("centroid").alias("c2"))
+    between = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("c1"), F.col("c2"))))
+    return l.crossJoin(F.broadcast(r)).select("genre1", "genre2", F.when(F.col("genre1") == F.col("genre2"), F.col("similarity")).otherwise(between).alias("similarity"))
 
 
 def converging_pairs(df: DataFrame, by: str, vector: str, top: int | None = None) -> DataFrame:
@@ -83,10 +93,12 @@ def inertia(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """One row; null for fewer than two clusters or as many clusters as rows."""
-    by = long(df, vector, cluster).groupBy(cluster, "dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    dims = by.groupBy("dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sc"), F.count("*").alias("k"))
-    t = dims.agg(F.sum(F.col("sc") - F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("q") - F.col("sc")).alias("within"), F.max("n").alias("n"), F.max("k").alias("k"))
+    """One row; null for fewer than two clusters or as many clusters as rows. From sizes, means and variances, so vectors far from 0 do no harm."""
+    by = long(df, vector, cluster).groupBy(cluster, "dim").agg(F.avg("x").alias("m"), (F.var_pop("x") * F.count("*")).alias("w"), F.count("*").alias("n"))
+    every = Window.partitionBy("dim")
+    by = by.withColumn("off", F.col("m") - F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every))
+    dims = by.groupBy("dim").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"), F.sum("w").alias("within"))
+    t = dims.agg(F.sum("between").alias("between"), F.sum("within").alias("within"), F.max("n").alias("n"), F.max("k").alias("k"))
     ok = (F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("within") > 0)
     return t.select(F.when(ok, (F.col("between") / F.when(ok, F.col("k") - 1)) / (F.when(ok, F.col("within")) / F.when(ok, F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
@@ -103,45 +115,44 @@ def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 def silhouette_rows(df: DataFrame, key: str, cluster: str, vector: str, block: int = 4096) -> DataFrame:
     """(key, cluster, silhouette) of every row, Euclidean, exact; 0 in a cluster of one.
 
-    All distances are needed, so the rows pass by one bounded, broadcast block after another; a pass
-    adds each row's distance sums to the block's clusters with matrix products, and the sums are merged
-    by key.  Nothing holds all rows, and no pair becomes a row.
+    All distances are needed: quadratic in time by definition. Rows are packed into blocks, every block
+    meets every block, and a meeting is one matrix product whose distance sums by cluster are merged by
+    key. No pair becomes a row, nothing passes the driver, and a task holds two blocks.
     """
-    rows = df.select(key, cluster, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    spark = df.sparkSession
-    every = None
-    buffer: list = []
-
-    def against(part: list) -> DataFrame:
-        labels = np.array([r[1] for r in part])
-        kinds, code = np.unique(labels, return_inverse=True)
-        shared = spark.sparkContext.broadcast((np.array([r[2] for r in part]), np.eye(len(kinds))[code], kinds))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            points, member, kinds = shared.value
-            p2 = (points * points).sum(1)
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.array(b["v"].tolist())
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + p2 - 2 * x @ points.T, 0.0))
-                sums = d @ member
-                for j, kind in enumerate(kinds):
-                    yield pd.DataFrame({"key": b[key], "own": b[cluster], "other": kind, "s": sums[:, j]})
-
-        kind_type, key_type = rows.schema[cluster].dataType.simpleString(), rows.schema[key].dataType.simpleString()
-        return rows.mapInPandas(run, f"key {key_type}, own {kind_type}, other {kind_type}, s double")
-
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        buffer.append(r)
-        if len(buffer) == block:
-            every = against(buffer) if every is None else every.unionByName(against(buffer))
-            buffer = []
-    if buffer:
-        every = against(buffer) if every is None else every.unionByName(against(buffer))
-    if every is None:
-        return rows.select(key, cluster, F.lit(0.0).alias("silhouette"))
-    sizes = df.groupBy(cluster).agg(F.count("*").alias("n")).withColumnRenamed(cluster, "other")
+    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("own"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    key_type, kind_type = (rows.schema[c].dataType.simpleString() for c in ("key", "own"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                part = batch.slice(lo, block)
+                ends = pa.array([0, len(part)], pa.int32())
+                kinds = part.column("own").dictionary_encode()
+                points = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
+                code = kinds.indices.to_numpy(zero_copy_only=False).astype("<i4")
+                each = [pa.ListArray.from_arrays(ends, part.column("key")), pa.ListArray.from_arrays(pa.array([0, len(kinds.dictionary)], pa.int32()), kinds.dictionary)]
+                yield pa.RecordBatch.from_arrays([*each, pa.array([code.tobytes()], pa.binary()), pa.array([points.tobytes()], pa.binary())], ["key", "kind", "code", "points"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), float) for c in ("points", "points2"))
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in ("code", "code2"))
+                x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
+                middle = y.mean(0)
+                x, y = x - middle, y - middle
+                kinds = batch.column("kind2")[i].values
+                member = np.zeros((len(b), len(kinds)))
+                member[np.arange(len(b)), b] = 1
+                sums = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0.0)) @ member
+                own = batch.column("kind")[i].values.take(pa.array(a))
+                for j in range(len(kinds)):
+                    yield pa.RecordBatch.from_arrays([batch.column("key")[i].values, own, kinds.take(pa.array([j] * len(a), pa.int32())), pa.array(np.ascontiguousarray(sums[:, j]))], ["key", "own", "other", "s"])
+
+    packed = rows.mapInArrow(pack, f"key array<{key_type}>, kind array<{kind_type}>, code binary, points binary")
+    other = packed.select(F.col("kind").alias("kind2"), F.col("code").alias("code2"), F.col("points").alias("points2"))
+    every = packed.crossJoin(other).mapInArrow(meet, f"key {key_type}, own {kind_type}, other {kind_type}, s double")
+    sizes = df.groupBy(F.col(cluster).alias("other")).agg(F.count("*").alias("n"))
     s = every.groupBy("key", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "other")
     mean = F.when(F.col("own") == F.col("other"), F.col("s") / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
     ab = s.withColumn("m", mean).groupBy("key", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from taxolens.functions.numeric import clean, unit_range
 
 #: Weight of each score in the ensemble.
 WEIGHTS = {"anova": 0.25, "mutual_info": 0.20, "random_forest": 0.20, "extra_trees": 0.15, "variance": 0.10, "cluster_separation": 0.10}
+#: Depth of trees that the studied system grows without a limit.
+FREE_DEPTH = 20
+#: Bytes of the matrix that the extra trees share.
+TREE_BYTES = 1 << 30
 
 
 def melt(df: DataFrame, key: str, columns: list[str], *keep: str) -> DataFrame:
@@ -22,18 +27,39 @@ def melt(df: DataFrame, key: str, columns: list[str], *keep: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(f1, p1, f2, p2, r) of each pair of columns, in one aggregate over the wide table: no join of rows with rows."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    """(f1, p1, f2, p2, r) of each pair of columns; r over the rows that have both, null where either is constant there.
 
-    def r(i: int, j: int):
-        a, b = clean(F.col(f"`{columns[i]}`")), clean(F.col(f"`{columns[j]}`"))
-        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        spread = F.stddev_pop(x) * F.stddev_pop(y)  # null where either is constant
-        return F.covar_pop(x, y) / F.when(spread > 0, spread)
-
-    row = df.agg(*[r(i, j).alias(f"r{i}_{j}") for i, j in pairs])
-    items = F.array(*[F.struct(F.lit(columns[i]).alias("f1"), F.lit(i).alias("p1"), F.lit(columns[j]).alias("f2"), F.lit(j).alias("p2"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs])
-    return row.select(F.explode(items).alias("x")).select("x.*")
+    Matrix products of Arrow batches give each task's sums for all pairs at once, of values less the
+    column's mean; one row a pair and task is shuffled. Two passes over the table, no join of rows.
+    """
+    k = len(columns)
+    values = [clean(F.col(f"`{c}`")) for c in columns]
+    centre = df.agg(F.array(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in values]).alias("m")).first().m
+    around = df.sparkSession.sparkContext.broadcast(np.array(centre, float))
+    one, two = np.triu_indices(k, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - around.value
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            # rows with both; sums of the row's column and of its square where the other is there; products
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        if total[0].any():
+            n, s, q, p = total
+            for lo in range(0, len(one), 50_000):
+                i, j = one[lo : lo + 50_000], two[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]))], ["p1", "p2", "n", "sx", "sy", "qx", "qy", "xy"])
+
+    parts = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).mapInArrow(sums, "p1 int, p2 int, n double, sx double, sy double, qx double, qy double, xy double")
+    t = parts.groupBy("p1", "p2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "xy")])
+    spread = lambda q, s: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    varied = (spread("qx", "sx") > 1e-12 * F.col("qx")) & (spread("qy", "sy") > 1e-12 * F.col("qy"))
+    r = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(F.when(varied, spread("qx", "sx") * spread("qy", "sy")))
+    r = F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return t.select(F.get(names, F.col("p1")).alias("f1"), "p1", F.get(names, F.col("p2")).alias("f2"), "p2", r.alias("r"))
 
 
 def remove_correlated(df: DataFrame, columns: list[str], threshold: float = 0.95) -> DataFrame:
@@ -44,15 +70,18 @@ def remove_correlated(df: DataFrame, columns: list[str], threshold: float = 0.95
     return names.join(F.broadcast(gone), "feature", "left").select("feature", F.col("gone").isNull().alias("kept"))
 
 
-def _sums(long: DataFrame, by: str) -> DataFrame:
-    v = F.col("value")
-    return long.where("value is not null").groupBy("feature", by).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-
-
 def _variation(long: DataFrame, by: str) -> DataFrame:
-    """Between and within sums of squares of each feature."""
-    g = _sums(long, by).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("sc"), F.count("*").alias("k"))
-    return g.select("feature", "n", "k", (F.col("sc") - F.col("s") * F.col("s") / F.col("n")).alias("between"), (F.col("q") - F.col("sc")).alias("within"))
+    """Between and within sums of squares of each feature.
+
+    From each group's size, mean and variance, which are merged without taking one large sum from
+    another, so values far from 0 do no harm.
+    """
+    v = F.col("value")
+    groups = long.where("value is not null").groupBy("feature", by).agg(F.count("*").alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count("*")).alias("w"))
+    every = Window.partitionBy("feature")
+    grand = F.sum(F.col("n") * F.col("m")).over(every) / F.sum("n").over(every)
+    groups = groups.withColumn("off", F.col("m") - grand)
+    return groups.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"), F.sum("w").alias("within"))
 
 
 def anova(long: DataFrame, by: str) -> DataFrame:
@@ -99,16 +128,41 @@ def knn_mi(long: DataFrame, by: str, k: int = 3, seed: int = 42) -> DataFrame:
     return long.select("feature", F.col(by).cast("string").alias("label"), F.coalesce("value", F.lit(0.0)).alias("value")).groupBy("feature").applyInPandas(one, "feature string, mi double")
 
 
-def ensemble(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(feature, ensemble_score, rank) from a wide score table: each score to its unit range, then the weighted sum."""
-    have = [c for c in weights if c in scores.columns]
+def ensemble(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(feature, ensemble_score, rank) from a wide score table: each score to its unit range, then the weighted sum.
+
+    Every score that weights names has to be there (the plans pass all six, WEIGHTS). Without weights,
+    the table's own scores get theirs.
+    """
+    weights = {c: w for c, w in WEIGHTS.items() if c in scores.columns} if weights is None else weights
+    if lacking := [c for c in weights if c not in scores.columns]:
+        raise ValueError(f"no scores {', '.join(lacking)}")
     w = Window.partitionBy()
-    unit = [unit_range(F.col(c), F.min(c).over(w), F.max(c).over(w)).alias(c) for c in have]
-    total = sum((F.col(c) * weights[c] for c in have[1:]), F.col(have[0]) * weights[have[0]])
+    unit = [unit_range(F.col(c), F.min(c).over(w), F.max(c).over(w)).alias(c) for c in weights]
+    first, *rest = weights
+    total = sum((F.col(c) * weights[c] for c in rest), F.col(first) * weights[first])
     out = scores.select("feature", *unit).withColumn("ensemble_score", total)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ensemble_score"), "feature")))
 
 
+def six_scores(df: DataFrame, key: str, label: str, columns: list[str], clusters: DataFrame, alternate: bool = False) -> DataFrame:
+    """(feature, anova, mutual_info, random_forest, extra_trees, variance, cluster_separation) of each column; no nulls.
+
+    clusters: (key, cluster). The alternate form grows deeper trees (FREE_DEPTH; the studied system sets no
+    limit) and takes the population variance as it is. Nulls count as 0 in trees and neighbours.
+    """
+    long = melt(df, key, columns, label)
+    rows = df.select(F.col(label).alias("_label"), F.array(*[F.coalesce(clean(F.col(f"`{c}`")), F.lit(0.0)) for c in columns]).alias("_v"))
+    depth = FREE_DEPTH if alternate else 10
+    names = F.array(*[F.lit(c) for c in columns])
+    out = anova(long, label).withColumnRenamed("f", "anova").join(knn_mi(long, label).withColumnRenamed("mi", "mutual_info"), "feature", "full")
+    for name, one in (("random_forest", forest_importance(rows, "_label", "_v", 100, depth)), ("extra_trees", tree_importance(rows, "_label", "_v", 100, depth))):
+        out = out.join(one.select(F.get(names, F.col("pos")).alias("feature"), F.col("importance").alias(name)), "feature", "full")
+    spread = long.groupBy("feature").agg(F.var_pop("value").alias("variance")) if alternate else variance(long)
+    out = out.join(spread, "feature", "full").join(separation(long.join(clusters, key), "cluster").withColumnRenamed("separation", "cluster_separation"), "feature", "full")
+    return out.select("feature", *WEIGHTS).na.fill(0.0)
+
+
 def selected(ranking: DataFrame, n: int) -> DataFrame:
     """The best n, worst first, as the order of the columns they become."""
     return ranking.where(F.col("rank") <= n).orderBy(F.desc("rank"))
@@ -130,11 +184,17 @@ def row_sum_rank(scores: DataFrame, columns: list[str], top: int) -> DataFrame:
 def tree_importance(df: DataFrame, label: str, vector: str, trees: int = 100, depth: int = 10, seed: int = 42, random_cuts: bool = True) -> DataFrame:
     """(pos, importance) by an ensemble of randomised trees, one tree a task.
 
-    Each task grows its tree on a bootstrap-free copy of a bounded matrix (callers pass selected rows);
-    importances are impurity decreases, averaged over trees.
+    Every task grows its trees on one broadcast matrix, of TREE_BYTES at most; larger tables are refused
+    (forest_importance grows trees over a distributed table). Importances are impurity decreases, averaged
+    over trees.
     """
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("y")).toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((np.array(rows["v"].tolist(), float), pd.factorize(rows["y"], sort=True)[0]))
+    size = df.agg(F.sum(F.size(vector)).alias("n")).first().n or 0
+    if 8 * size > TREE_BYTES:
+        raise ValueError(f"{8 * size} bytes of vectors, more than {TREE_BYTES}: use forest_importance")
+    got = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("y")).toArrow()
+    width = len(got["v"][0]) if len(got) else 0
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got["v"].chunks] or [np.zeros(0)]).reshape(len(got), width)
+    shared = df.sparkSession.sparkContext.broadcast((x, pd.factorize(np.array(got["y"].to_pylist(), object), sort=True)[0]))
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from taxolens.functions.estimators import random_tree_importance

@@ -6,46 +6,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolens.functions.numeric import eps_range
 from taxolens.operators import cluster, contingency, engineer, geometry, select
+from taxolens.plans.models import FeatureEngineer
 from taxolens.sources import sinks
 
 
-def evaluate(df: DataFrame, key: str, label: str, cluster_col: str, vector: str) -> DataFrame:
-    """One row of internal and external measures; the internal ones are null for one cluster."""
+def evaluate(df: DataFrame, key: str, label: str, cluster_col: str, vector: str, trees: bool = False) -> DataFrame:
+    """One row of internal and external measures; the internal ones are null for one cluster.
+
+    trees: with the cophenetic correlation of the rows' Ward tree, which one matrix has to hold.
+    """
     out = geometry.silhouette(df, key, cluster_col, vector)
-    for one in (
+    parts = [
         geometry.calinski_harabasz(df, cluster_col, vector),
         geometry.davies_bouldin(df, cluster_col, vector),
+        geometry.inertia(df, cluster_col, vector),
         contingency.purity(df, label, cluster_col),
         contingency.balance(df, cluster_col),
         contingency.agreement(df, label, cluster_col),
-    ):
+    ]
+    for one in [*parts, cluster.cophenetic(df, key, vector)] if trees else parts:
         out = out.crossJoin(one)
     return out
 
 
-def benchmark(df: DataFrame, key: str, label: str, vector: str, ks: list[int], forced_k: int = 35) -> DataFrame:
+def benchmark(df: DataFrame, key: str, label: str, vector: str, ks: list[int], forced_k: int = 35, starts: int = cluster.STARTS) -> DataFrame:
     """(clustering, k, measures..., verdict): forced and natural clusters of standardised vectors."""
     z = geometry.standardised(df, vector, key, label)
-    natural = cluster.natural_k(cluster.sweep(z, key, vector, ks, 1), min(ks), max(ks)).first().k
+    natural = cluster.natural_k(cluster.sweep(z, key, vector, ks, starts), min(ks), max(ks)).first().k
     out = None
     for name, k in (("forced", forced_k), ("natural", natural)):
-        one = evaluate(cluster.forced(z, vector, k, 1, 40), key, label, "cluster", vector)
+        one = evaluate(cluster.forced(z, vector, k, starts), key, label, "cluster", vector)
         one = one.select(F.lit(name).alias("clustering"), F.lit(k).alias("k"), "*", F.lit("overspecified" if natural < 30 else "consistent").alias("verdict"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def feature_count_grid(df: DataFrame, key: str, label: str, vector: str, greedy: list[int], ranked: list[int], totals: tuple[int, ...], extras: tuple[int, ...], greedy_range: tuple[int, int], ks: tuple[int, ...], seed: int = 42) -> DataFrame:
-    """(total, n_greedy, extra, k, silhouette, nmi, composite): every feature count, one task a configuration.
+#: Totals, extra features, bounds of the greedy part and numbers of clusters of the grid.
+GRID_TOTALS, GRID_EXTRAS, GRID_GREEDY, GRID_KS = (20, 25, 30, 35, 40, 45), (0, 5, 10), (15, 35), (20, 35)
+
+
+def feature_count_grid(
+    df: DataFrame, key: str, label: str, vector: str, greedy: list[int], ranked: list[int],
+    totals: tuple[int, ...] = GRID_TOTALS, extras: tuple[int, ...] = GRID_EXTRAS, greedy_range: tuple[int, int] = GRID_GREEDY, ks: tuple[int, ...] = GRID_KS, seed: int = 42,
+) -> DataFrame:
+    """(total, n_greedy, extra, k, silhouette, davies_bouldin, calinski, nmi, ari, composite): every feature count, one task a configuration.
 
     A configuration takes the first n_greedy of one list and the best `extra` of the other that it lacks.
+    composite: the sum of the five measures, each to its unit range, Davies-Bouldin turned round.
     """
     keys, x = cluster.matrix(df, key, vector)
-    y = pd.factorize(df.select(key, label).orderBy(key).toPandas()[label], sort=True)[0]
+    y = pd.factorize(np.array(df.select(F.col(key).alias("k"), F.col(label).alias("y")).orderBy("k").toArrow()["y"].to_pylist(), object), sort=True)[0]
     shared = df.sparkSession.sparkContext.broadcast((x, y))
     configs = []
     for total in totals:
@@ -54,23 +69,25 @@ def feature_count_grid(df: DataFrame, key: str, label: str, vector: str, greedy:
             if greedy_range[0] <= n <= greedy_range[1]:
                 first = greedy[:n]
                 configs += [(total, n, extra, k, [*first, *[p for p in ranked if p not in first][:extra]]) for k in ks]
+    shape = "total int, n_greedy int, extra int, k int, silhouette double, davies_bouldin double, calinski double, nmi double, ari double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from taxolens.functions.estimators import kmeans, silhouette_mean
+        from taxolens.functions.estimators import agreement, kmeans, partition_measures, silhouette_mean
 
         x, y = shared.value
         for b in batches:
             for r in b.itertuples(index=False):
                 part = x[:, list(r.features)]
-                label, _ = kmeans(part, int(r.k), seed, 2, 50)
-                t = pd.crosstab(y, label).to_numpy(float) / len(y)
-                a, c = t.sum(1), t.sum(0)
-                h = -(a * np.log(a)).sum() - (c[c > 0] * np.log(c[c > 0])).sum()
-                mi = (t[t > 0] * np.log((t / np.outer(a, c))[t > 0])).sum()
-                yield pd.DataFrame({"total": [r.total], "n_greedy": [r.n_greedy], "extra": [r.extra], "k": [r.k], "silhouette": [silhouette_mean(part, label)], "nmi": [2 * mi / h if h > 0 else 1.0]})
+                label, _ = kmeans(part, int(r.k), seed, 10, 100)
+                davies, calinski = partition_measures(part, label)
+                nmi, ari = agreement(y, label)
+                yield pd.DataFrame([(r.total, r.n_greedy, r.extra, r.k, silhouette_mean(part, label), davies, calinski, nmi, ari)], columns=[c.split()[0] for c in shape.split(", ")])
 
     jobs = df.sparkSession.createDataFrame(configs, "total int, n_greedy int, extra int, k int, features array<int>").repartition(len(configs))
-    return jobs.mapInPandas(run, "total int, n_greedy int, extra int, k int, silhouette double, nmi double")
+    got = jobs.mapInPandas(run, shape)
+    w = Window.partitionBy()
+    unit = lambda c, turned=False: eps_range(F.col(c), F.min(c).over(w), F.max(c).over(w), turned)
+    return got.withColumn("composite", unit("silhouette") + unit("calinski") + unit("nmi") + unit("ari") + unit("davies_bouldin", True))
 
 
 def run_analysis(features: DataFrame, key: str, label: str, out: str, n_features: int = 20, forced_k: int = 35, low: int = 15, high: int = 30) -> dict:
@@ -81,25 +98,22 @@ def run_analysis(features: DataFrame, key: str, label: str, out: str, n_features
     spark = features.sparkSession
     paths = sinks.paths(out)
     columns = [c for c in engineer.numeric_columns(features) if c not in (key, label)]
-    wide = engineer.engineer(features, columns, keep=(key, label)).persist()
+    wide = FeatureEngineer((key, label), scaling="power").fit_transform(features, columns).persist()
     made = [c for c in wide.columns if c not in (key, label)]
     kept = [r.feature for r in select.remove_correlated(wide, made).where("kept").collect()]
-    long = select.melt(wide, key, kept, label).persist()
-    first = cluster.forced(geometry.standardised(wide.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in kept]).alias("v")), "v", key), "v", min(forced_k, 35), 1, 40).select(key, "cluster")
-    scores = select.anova(long, label).withColumnRenamed("f", "anova")
-    scores = scores.join(select.variance(long), "feature").join(select.binned_mi(long, label).withColumnRenamed("mi", "mutual_info"), "feature")
-    scores = scores.join(select.separation(long.join(first, key), "cluster").withColumnRenamed("separation", "cluster_separation"), "feature")
-    ranking = select.ensemble(scores.na.fill(0.0)).persist()
+    vectors = wide.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in kept]).alias("v"))
+    first = cluster.forced(geometry.standardised(vectors, "v", key), "v", forced_k, 10).select(key, "cluster")
+    ranking = select.ensemble(select.six_scores(wide, key, label, kept, first), select.WEIGHTS).persist()
     sinks.write_table(ranking, paths["feature_scores"])
     chosen = [r.feature for r in select.selected(ranking, n_features).collect()]
     rows = wide.select(key, label, F.array(*[F.col(f"`{c}`").cast("double") for c in chosen]).alias("v"))
     sinks.write_table(geometry.standardised(rows, "v", key, label), paths["feature_matrix"])
     matrix = spark.read.parquet(paths["feature_matrix"])
-    curve = cluster.sweep(matrix, key, "v", list(range(low, high + 1)), 2)
+    curve = cluster.sweep(matrix, key, "v", list(range(low, high + 1)))
     sinks.write_table(curve, paths["sweep"])
     natural = cluster.natural_k(spark.read.parquet(paths["sweep"]), low, high).first().k
-    labelled = cluster.forced(matrix, "v", forced_k, 2, 100, out="forced").select(key, label, "v", "forced")
-    labelled = labelled.join(cluster.forced(matrix, "v", natural, 2, 100, out="natural").select(key, "natural"), key)
+    labelled = cluster.forced(matrix, "v", forced_k, out="forced").select(key, label, "v", "forced")
+    labelled = labelled.join(cluster.forced(matrix, "v", natural, out="natural").select(key, "natural"), key)
     labelled = labelled.join(cluster.divisive(matrix, key, "v", forced_k).withColumnRenamed("cluster", "divisive"), key)
     sinks.write_table(labelled, paths["clusters"])
     done = spark.read.parquet(paths["clusters"])
@@ -111,6 +125,6 @@ def run_analysis(features: DataFrame, key: str, label: str, out: str, n_features
     metrics = {"rows": done.count(), "original_features": len(columns), "engineered_features": len(made), "scored_features": len(kept), "selected_features": len(chosen), "natural_k": natural, "excess_categories": forced_k - natural}
     metrics |= {f"nmi_{n}": float(r.nmi) for n, r in agree.items()} | {f"ari_{n}": float(r.ari) for n, r in agree.items()}
     sinks.report(spark, metrics, paths["report"])
-    for df in (wide, long, ranking):
+    for df in (wide, ranking):
         df.unpersist()
     return metrics

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taxolens.functions import names
 from taxolens.functions import numeric as N
 from taxolens.operators import audio, cluster, contingency, curves, engineer, frames, geometry, profile, select
-from taxolens.sources import readers
+from taxolens.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,6 +208,12 @@ def _(s, d):
     return geometry.converging_pairs(embeddings(s, d), "genre", "v", 50)
 
 
+@query("convergence_square", f"{CENTRE} SELECT genre1, max(similarity) FILTER (genre2 = 0) AS g0, max(similarity) FILTER (genre2 = 3) AS g3 FROM conv GROUP BY genre1", "g0 g3")
+def _(s, d):
+    wide = sinks.square(geometry.convergence(embeddings(s, d), "genre", "v"), "genre1", "genre2", "similarity")
+    return wide.select("genre1", F.col("0").alias("g0"), F.col("3").alias("g3"))
+
+
 @query("convergence_stats", f"{CENTRE} SELECT min(similarity) AS min_sim, max(similarity) AS max_sim, avg(similarity) AS mean_sim, stddev_pop(similarity) AS std_sim FROM conv WHERE genre1 != genre2", "min_sim max_sim mean_sim std_sim")
 def _(s, d):
     return geometry.convergence_stats(embeddings(s, d), "genre", "v")
@@ -443,6 +449,17 @@ def _(s, d):
     return select.separation(long_embeddings(s, d), "cluster")
 
 
+OFF = "WITH l AS (SELECT l_linenumber % 3 AS genre, unnest(['price', 'quantity']) AS feature, unnest([l_extendedprice + 1e6, l_quantity + 1e6]) AS value FROM lineitem)"
+
+
+@query("anova_f_offset", f"{OFF} SELECT feature, round(f, 3) AS f FROM ({ANOVA})", "f")
+def _(s, d):
+    """ANOVA of values far from 0, where sums of squares less squared sums fail."""
+    x = read(s, d, "lineitem").select((F.col("l_linenumber") % 3).alias("genre"), (F.col("l_extendedprice").cast("double") + 1e6).alias("price"), (F.col("l_quantity").cast("double") + 1e6).alias("quantity"))
+    long = x.select("genre", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in ("price", "quantity")])).alias("f")).select("genre", "f.*")
+    return select.anova(long, "genre").withColumn("f", F.round("f", 3))
+
+
 @query("variance_score", f"{LONG} {VARIANCE}", "variance")
 def _(s, d):
     return select.variance(long_embeddings(s, d))
@@ -453,20 +470,61 @@ def _(s, d):
     return select.binned_mi(long_embeddings(s, d), "genre")
 
 
-ENS = f"{LONG}, a AS ({ANOVA}), s AS ({SEP}), va AS ({VARIANCE}), sc AS (SELECT feature, f AS anova, separation AS cluster_separation, variance FROM a JOIN s USING (feature) JOIN va USING (feature)), un AS (SELECT feature, {', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}' for c in ('anova', 'cluster_separation', 'variance'))} FROM sc), en AS (SELECT *, 0.25 * anova + 0.1 * variance + 0.1 * cluster_separation AS ensemble_score FROM un), rk AS (SELECT *, CAST(row_number() OVER (ORDER BY ensemble_score DESC, feature) AS INTEGER) AS rank FROM en)"
+#: The three scores that SQL can work out, with their weights.
+THREE = {c: select.WEIGHTS[c] for c in ("anova", "variance", "cluster_separation")}
+MI = f"SELECT feature, sum(CAST(n AS DOUBLE) / t * ln(CAST(t AS DOUBLE) * n / (ng * nb))) AS mi FROM (SELECT feature, n, sum(n) OVER (PARTITION BY feature, genre) AS ng, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature) AS t FROM (SELECT feature, genre, least(7, CAST(floor((value - lo) / (hi - lo) * 8) AS INTEGER)) AS b, count(*) AS n FROM l JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature) USING (feature) GROUP BY ALL)) GROUP BY feature"
 
 
-def ensemble_scores(s, d):
+def ens_sql(scores: dict[str, float]) -> str:
+    unit = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in scores)
+    total = " + ".join(f"{w} * {c}" for c, w in scores.items())
+    return f"{LONG}, a AS ({ANOVA}), s AS ({SEP}), va AS ({VARIANCE}), mi AS ({MI}), sc AS (SELECT feature, f AS anova, mi AS mutual_info, f / sum(f) OVER () AS random_forest, sqrt(separation) AS extra_trees, variance, separation AS cluster_separation FROM a JOIN s USING (feature) JOIN va USING (feature) JOIN mi USING (feature)), un AS (SELECT feature, {unit} FROM sc), en AS (SELECT *, {total} AS ensemble_score FROM un), rk AS (SELECT *, CAST(row_number() OVER (ORDER BY ensemble_score DESC, feature) AS INTEGER) AS rank FROM en)"
+
+
+ENS, ENS3 = ens_sql(select.WEIGHTS), ens_sql(THREE)
+
+
+def score_table(s, d):
+    """Six score columns of each feature that SQL can work out too; two of them stand for the importances of trees."""
     long = long_embeddings(s, d)
     scores = select.anova(long, "genre").withColumnRenamed("f", "anova").join(select.separation(long, "cluster").withColumnRenamed("separation", "cluster_separation"), "feature").join(select.variance(long), "feature")
-    return select.ensemble(scores)
+    scores = scores.join(select.binned_mi(long, "genre").withColumnRenamed("mi", "mutual_info"), "feature")
+    return scores.withColumn("random_forest", F.col("anova") / F.sum("anova").over(Window.partitionBy())).withColumn("extra_trees", F.sqrt("cluster_separation"))
+
+
+def ensemble_scores(s, d):
+    return select.ensemble(score_table(s, d), select.WEIGHTS)
 
 
-@query("ensemble_rank", f"{ENS} SELECT feature, anova, cluster_separation, variance, ensemble_score, rank FROM rk", "anova cluster_separation variance ensemble_score")
+@query("ensemble_rank_three", f"{ENS3} SELECT feature, anova, variance, cluster_separation, ensemble_score, rank FROM rk", "anova cluster_separation variance ensemble_score")
 def _(s, d):
+    return select.ensemble(score_table(s, d), THREE)
+
+
+@query("ensemble_rank_six", f"{ENS} SELECT feature, {', '.join(select.WEIGHTS)}, ensemble_score, rank FROM rk", " ".join(select.WEIGHTS) + " ensemble_score")
+def _(s, d):
+    """The six-score ensemble of given score columns."""
     return ensemble_scores(s, d)
 
 
+def wide_embeddings(s, d):
+    return embeddings(s, d).select("track_id", "genre", "cluster", *[F.col("v")[i].alias(f"f{i:02d}") for i in range(64)])
+
+
+@query("ensemble_rank")
+def _(s, d):
+    """The ensemble of all six scores, forests and neighbours included."""
+    w = wide_embeddings(s, d)
+    return select.ensemble(select.six_scores(w, "track_id", "genre", [f"f{i:02d}" for i in range(64)], w.select("track_id", "cluster")), select.WEIGHTS)
+
+
+@query("ensemble_rank_alternate")
+def _(s, d):
+    """The second form of the ensemble: deeper trees, population variance as it is."""
+    w = wide_embeddings(s, d)
+    return select.ensemble(select.six_scores(w, "track_id", "genre", [f"f{i:02d}" for i in range(64)], w.select("track_id", "cluster"), True), select.WEIGHTS)
+
+
 @query("selected_features", f"{ENS} SELECT feature, CAST(21 - rank AS INTEGER) AS ord FROM rk WHERE rank <= 20")
 def _(s, d):
     return select.selected(ensemble_scores(s, d), 20).select("feature", (F.lit(21) - F.col("rank")).alias("ord"))
@@ -481,9 +539,20 @@ def _(s, d):
     return select.hybrid(first, ensemble_scores(s, d).select("feature", "rank"), 5)
 
 
-@query("score_row_sum", f"{ENS} SELECT feature, anova + cluster_separation + variance AS total, anova / 6 AS anova_part FROM un ORDER BY total DESC, feature LIMIT 20", "total anova_part")
+@query("score_row_sum", f"{ENS} SELECT feature, {' + '.join(select.WEIGHTS)} AS total, anova / 6 AS anova_part FROM un ORDER BY total DESC, feature LIMIT 20", "total anova_part")
+def _(s, d):
+    return select.row_sum_rank(ensemble_scores(s, d), list(select.WEIGHTS), 20).select("feature", "total", (F.col("anova") / 6).alias("anova_part"))
+
+
+WIDE3 = f"{E}, w AS (SELECT track_id, list_concat(list_concat(v, list_transform(v, lambda x: x * x)), list_transform(v, lambda x: abs(x) + 0.1 * x)) AS v FROM e), l AS (SELECT track_id, unnest(range(0, 192)) AS i, unnest(v) AS x FROM w), r AS (SELECT a.i AS p1, b.i AS p2, corr(a.x, b.x) AS r FROM l a JOIN l b ON a.track_id = b.track_id AND a.i < b.i GROUP BY ALL)"
+
+
+@query("corr_dedup_wide", f"{WIDE3} SELECT printf('c%03d', i) AS feature, i NOT IN (SELECT p2 FROM r WHERE abs(r) > 0.8) AS kept FROM range(0, 192) t(i)")
 def _(s, d):
-    return select.row_sum_rank(ensemble_scores(s, d), ["anova", "cluster_separation", "variance"], 20).select("feature", "total", (F.col("anova") / 6).alias("anova_part"))
+    """192 columns, 18,336 pairs."""
+    w = embeddings(s, d).select("track_id", F.concat("v", F.transform("v", lambda x: x * x), F.transform("v", lambda x: F.abs(x) + 0.1 * x)).alias("v"))
+    columns = [f"c{i:03d}" for i in range(192)]
+    return select.remove_correlated(w.select(*[F.col("v")[i].alias(c) for i, c in enumerate(columns)]), columns, 0.8)
 
 
 @query("set_union_difference", f"{E} SELECT DISTINCT cluster AS id, cluster IN (SELECT half FROM e) AS shared FROM e")
@@ -610,13 +679,49 @@ def _(s, d):
 # ---------------------------------------------------------------- sources and names
 
 
-@query("json_left_lookup", "WITH m AS (SELECT user_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS bpm FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id % 3 = 0) WHERE k = 1) SELECT e.event_id, e.user_id, m.bpm FROM events e LEFT JOIN m USING (user_id)", "bpm")
+@query("json_left_lookup", "WITH m AS (SELECT user_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS bpm FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1) SELECT e.event_id, e.user_id, m.bpm FROM events e LEFT JOIN m USING (user_id)", "bpm")
 def _(s, d):
     ev = read(s, d, "events")
-    meta = readers.metadata(ev.where("user_id % 3 = 0").withColumn("props", F.replace("props", F.lit('"k"'), F.lit('"bpm"'))), ["user_id"], "props", "event_id")
+    meta = readers.metadata(ev.withColumn("props", F.replace("props", F.lit('"k"'), F.lit('"bpm"'))), ["user_id"], "props", "event_id")
     return readers.attach_metadata(ev.select("event_id", "user_id"), meta.select("user_id", "bpm"), ["user_id"])
 
 
+@query("json_unread", "SELECT CAST(count(*) FILTER (props IS NULL) AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_broken FROM events")
+def _(s, d):
+    return readers.unread(read(s, d, "events"), "props")
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer", "c_acctbal")
+def _(s, d):
+    """A table written as CSV with a header and scanned again by a stated schema."""
+    path = sinks.scratch(s, "csv")
+    sinks.write_table(read(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "csv")
+    return readers.read_csv(s, path, "c_custkey bigint, c_name string, c_acctbal double")[0]
+
+
+@query("matrix_round_trip", f"{E} SELECT track_id, genre, v[1] AS x0, v[64] AS x63 FROM e", "x0 x63")
+def _(s, d):
+    """The feature matrix as a stored table."""
+    path = sinks.scratch(s, "matrix")
+    sinks.write_table(embeddings(s, d).select("track_id", "genre", F.col("v").alias("features")), path)
+    return readers.read_matrix(s, path).select("track_id", "genre", F.col("features")[0].alias("x0"), F.col("features")[63].alias("x63"))
+
+
+@query("cached_once", "SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1")
+def _(s, d):
+    """Built on the first call, read on the second, built apart for another configuration."""
+    path = sinks.scratch(s, "cache")
+    build = lambda: read(s, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    readers.cached(s, path, build, {"by": "l_linenumber"})
+    readers.cached(s, path, lambda: build().limit(0), {"by": "nothing"})
+    return readers.cached(s, path, lambda: build().limit(0), {"by": "l_linenumber"})
+
+
+@query("split_features", "SELECT p_type, p_partkey, p_size, p_retailprice FROM part", "p_retailprice")
+def _(s, d):
+    return readers.split_features(read(s, d, "part"), "p_type")[0]
+
+
 @query("path_parse", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[2] AS section FROM pages")
 def _(s, d):
     rest = F.regexp_replace("url", "^[a-z]+://", "")
@@ -789,7 +894,7 @@ def _(s, d):
 
 @query("kmeans_sweep")
 def kmeans_sweep(s, d):
-    return cluster.sweep(embeddings(s, d), "track_id", "v", list(range(15, 31)), 2)
+    return cluster.sweep(embeddings(s, d), "track_id", "v", list(range(15, 31)))
 
 
 @query("natural_k")
@@ -797,22 +902,27 @@ def _(s, d):
     return cluster.natural_k(kmeans_sweep(s, d), 15, 30)
 
 
+@query("natural_clusters")
+def _(s, d):
+    return cluster.natural(embeddings(s, d).select("track_id", "v"), "track_id", "v", 15, 40).select("track_id", "cluster")
+
+
 @query("sensitivity")
 def _(s, d):
     """Natural k with and without one class, and whether both agree."""
     e = embeddings(s, d)
-    one, two = (cluster.natural_k(cluster.sweep(x, "track_id", "v", list(range(15, 31)), 1), 15, 30) for x in (e, e.where("genre != 3")))
+    one, two = (cluster.natural_k(cluster.sweep(x, "track_id", "v", list(range(15, 31))), 15, 30) for x in (e, e.where("genre != 3")))
     return one.select(F.col("k").alias("k_all")).crossJoin(two.select(F.col("k").alias("k_without"))).withColumn("robust", F.col("k_all") == F.col("k_without"))
 
 
 @query("gap_statistic")
 def _(s, d):
-    return cluster.gap_statistic(embeddings(s, d), "track_id", "v", [5, 10, 15], 4)
+    return cluster.gap_statistic(embeddings(s, d), "track_id", "v", list(range(15, 41)))
 
 
 @query("divisive")
 def _(s, d):
-    return cluster.divisive(embeddings(s, d), "track_id", "v", 12)
+    return cluster.divisive(embeddings(s, d), "track_id", "v", 35)
 
 
 @query("ward_labels")
@@ -827,17 +937,18 @@ def _(s, d):
 
 @query("average_linkage")
 def _(s, d):
-    return cluster.class_tree(geometry.convergence(embeddings(s, d), "genre", "v"))
+    """The class tree; families: classes by their remainder, as the tables' classes are numbers."""
+    return cluster.class_tree(geometry.convergence(embeddings(s, d), "genre", "v"), {g: f"family {g % 3}" for g in range(1000)})
 
 
 @query("rf_importance")
 def _(s, d):
-    return select.forest_importance(embeddings(s, d), "genre", "v", 20, 5)
+    return select.forest_importance(embeddings(s, d), "genre", "v")
 
 
 @query("et_importance")
 def _(s, d):
-    return select.tree_importance(embeddings(s, d), "genre", "v", 40, 8)
+    return select.tree_importance(embeddings(s, d), "genre", "v")
 
 
 @query("mi_knn")
@@ -845,23 +956,49 @@ def _(s, d):
     return select.knn_mi(long_embeddings(s, d), "genre")
 
 
-@query("yeo_johnson_fit")
+YJ_AT = "CASE WHEN value >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(value + 1) ELSE (pow(value + 1, lam) - 1) / lam END ELSE CASE WHEN abs(2 - lam) < 1e-9 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - lam) - 1) / (2 - lam) END END"
+
+
+@query(
+    "yeo_johnson_fit",
+    f"WITH f AS (SELECT unnest(['size', 'balance']) AS feature, unnest([x, y]) AS value FROM (SELECT CAST(p_size AS DOUBLE) AS x, (p_retailprice - 1000) / 100 AS y FROM part)), g AS (SELECT feature, lam, -count(*) / 2.0 * ln(var_pop({YJ_AT})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) AS likelihood FROM f, (SELECT i / 100.0 AS lam FROM range(-200, 401) t(i)) GROUP BY feature, lam) SELECT feature, arg_max(lam, likelihood) AS exponent FROM g GROUP BY feature",
+    "exponent",
+)
+def _(s, d):
+    """The exponent of largest likelihood of each feature, to two places."""
+    p = read(s, d, "part").select(F.col("p_size").cast("double").alias("size"), ((F.col("p_retailprice").cast("double") - 1000) / 100).alias("balance"))
+    return s.createDataFrame([(c, round(x, 2)) for c, x in engineer.fit_exponents(p, p.columns).items()], "feature string, exponent double")
+
+
+def _scaler_sql(expr: str) -> str:
+    return f"SELECT key, {expr} AS x FROM (SELECT key, x, {YJ} AS y FROM ({CUST})), (SELECT avg(x) AS xm, stddev_pop(x) AS xs, quantile_cont(x, [0.25, 0.5, 0.75]) AS q FROM ({CUST}))"
+
+
+@query("scaler_standard", _scaler_sql("(x - xm) / xs"), "x")
+def _(s, d):
+    from taxolens.plans.models import Scaler
+
+    return Scaler("standard").fit(customer(s, d), ["x"]).transform(customer(s, d))
+
+
+@query("scaler_robust", _scaler_sql("(x - q[2]) / (q[3] - q[1])"), "x")
 def _(s, d):
-    """(feature, exponent) of each feature, one group a feature."""
+    from taxolens.plans.models import Scaler
 
-    def fit(pdf):
-        import pandas as pd
+    return Scaler("robust").fit(customer(s, d), ["x"]).transform(customer(s, d))
 
-        from taxolens.functions.estimators import yeo_johnson_exponent
 
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "exponent": [yeo_johnson_exponent(pdf["value"].to_numpy(float))]})
+@query("scaler_ensemble")
+def _(s, d):
+    """Half robust, three tenths power with a fitted exponent, two tenths standard, learnt and applied as one step."""
+    from taxolens.plans.models import Scaler
 
-    return select.melt(derived(s, d), "p_partkey", DCOLS).select("feature", "value").groupBy("feature").applyInPandas(fit, "feature string, exponent double")
+    return Scaler("ensemble").fit(customer(s, d), ["x"]).transform(customer(s, d))
 
 
 @query("greedy_silhouette")
 def _(s, d):
-    return cluster.greedy_silhouette(embeddings(s, d), "track_id", "v", 3, 10, 12)
+    return cluster.greedy_silhouette(embeddings(s, d), "track_id", "v")
 
 
 @query("pca_projection")
@@ -878,7 +1015,7 @@ def _(s, d):
 def _(s, d):
     from taxolens.plans.analysis import benchmark
 
-    return benchmark(embeddings(s, d).select("track_id", "genre", "v"), "track_id", "genre", "v", list(range(15, 31)))
+    return benchmark(embeddings(s, d).select("track_id", "genre", "v"), "track_id", "genre", "v", list(range(15, 41)))
 
 
 @query("feature_count_grid")
@@ -886,10 +1023,12 @@ def _(s, d):
     from taxolens.plans.analysis import feature_count_grid
 
     e = embeddings(s, d)
-    return feature_count_grid(e, "track_id", "genre", "v", list(range(40)), list(range(63, 23, -1)), (20, 25), (0, 5), (15, 35), (20, 35))
+    greedy = [r.pos for r in cluster.greedy_silhouette(e, "track_id", "v", 35, pool=40).orderBy("ord").collect()]
+    ranked = [int(r.feature[1:]) for r in ensemble_scores(s, d).orderBy("rank").collect()]
+    return feature_count_grid(e, "track_id", "genre", "v", greedy, ranked)
 
 
 @query("audio_features")
 def _(s, d):
     tracks = audio.signals(read(s, d, "events").where("value is not null"), "user_id", ["ts", "event_id"], "value")
-    return audio.extract(tracks, "user_id", "y", 1000.0).select("user_id", F.size("features").alias("n_features"), F.col("features")["1-ZCRm"].alias("zcr"), F.col("features")["rms_mean"].alias("rms"), "error")
+    return audio.extract(tracks, "user_id", "y", 1000.0).select("user_id", F.explode_outer("features").alias("feature", "value"), "error")

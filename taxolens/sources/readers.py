@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json as json_text
 import re
 from collections.abc import Callable
 
@@ -93,28 +95,48 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"{path}: run the analysis plan first, it writes this table") from e
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, built and written there if it isn't there yet; name the path by what it depends on."""
+def unread(df: DataFrame, json: str) -> DataFrame:
+    """(n_missing, n_broken): rows without a document, and rows whose document is no JSON; both are left out by metadata."""
+    whole = F.get_json_object(json, "$")
+    return df.agg(F.count_if(F.col(json).isNull()).alias("n_missing"), F.count_if(F.col(json).isNotNull() & whole.isNull()).alias("n_broken"))
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], config: dict | None = None) -> DataFrame:
+    """The table at path, built and written there if it isn't there yet.
+
+    config: what the table depends on; its digest is part of the path, so another configuration is built anew.
+    """
+    if config is not None:
+        path = f"{path}-{hashlib.sha256(json_text.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def embed(files: DataFrame, model: Callable[[list[bytes]], list[list[float]]], width: int) -> DataFrame:
-    """(path, embedding, failed) of (path, content) by a model made once a task; a failed file gets zeros."""
+def embed(files: DataFrame, model: Callable[[list[bytes]], list[list[float]]], width: int, batch: int = 1) -> DataFrame:
+    """(path, embedding, failed) of (path, content) by a model; a failed file gets zeros.
+
+    model: contents to vectors; it gets `batch` files at a time, and those of a batch that fails one by one.
+    """
     import pandas as pd
 
+    def one(content):
+        try:
+            return [float(v) for v in model([content])[0]], False
+        except Exception:  # a broken file must not end the job; the flag tells
+            return [0.0] * width, True
+
     def run(batches):
         for b in batches:
-            out, bad = [], []
-            for content in b["content"]:
+            contents, got = b["content"].tolist(), []
+            for lo in range(0, len(contents), batch):
+                part = contents[lo : lo + batch]
                 try:
-                    out.append([float(v) for v in model([content])[0]])
-                    bad.append(False)
-                except Exception:  # a broken file must not end the job; the flag tells
-                    out.append([0.0] * width)
-                    bad.append(True)
-            yield pd.DataFrame({"path": b["path"], "embedding": out, "failed": bad})
+                    vectors = [[float(v) for v in x] for x in model(part)] if len(part) > 1 else None
+                except Exception:
+                    vectors = None
+                got += [(v, False) for v in vectors] if vectors and len(vectors) == len(part) else map(one, part)
+            yield pd.DataFrame({"path": b["path"], "embedding": [v for v, _ in got], "failed": [f for _, f in got]})
 
     return files.select("path", "content").mapInPandas(run, "path string, embedding array<double>, failed boolean")

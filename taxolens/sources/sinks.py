@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORCED_K = 35
 #: Result tables and where they lie under the output folder.
-LAYOUT = {name: f"{kind}/{name}" for kind, names in {"tables": ("feature_matrix", "feature_scores", "clusters", "convergence_matrix", "converging_pairs", "phantom_pairs", "fragmentation", "sweep", "profiles"), "reports": ("report", "summary")}.items() for name in names}
+LAYOUT = {name: f"{kind}/{name}" for kind, names in {"tables": ("feature_matrix", "feature_scores", "clusters", "convergence_matrix", "converging_pairs", "phantom_pairs", "fragmentation", "sweep", "profiles", "features", "metadata", "embeddings", "contingency", "agreement", "grid", "sensitivity", "projection"), "reports": ("report", "summary")}.items() for name in names}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that the driver and all executors share; deleted when the driver ends.
+
+    That is spark.checkpoint.dir; where it is unset in local mode, a new local folder.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="taxolens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def paths(root: str) -> dict[str, str]:
