@@ -23,13 +23,13 @@ def signed_root(c: Column) -> Column:
 
 
 def yeo_johnson(c: Column, lam: Column | float) -> Column:
-    """The power transform of a column for a given exponent, before standardising."""
+    """The power transform of a column for a given exponent, before standardising; nulls stay null."""
     lam = lam if isinstance(lam, Column) else F.lit(float(lam))
     up = F.when(F.abs(lam) < 1e-12, F.log1p(F.greatest(c, F.lit(0.0)))).otherwise((F.pow(F.greatest(c, F.lit(0.0)) + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
     two = F.lit(2.0) - lam
     low = F.least(c, F.lit(0.0))
     down = F.when(F.abs(two) < 1e-12, -F.log1p(-low)).otherwise(-(F.pow(1 - low, two) - 1) / F.when(F.abs(two) < 1e-12, 1.0).otherwise(two))
-    return F.when(c >= 0, up).otherwise(down)
+    return F.when(c >= 0, up).when(c < 0, down)
 
 
 def unit_range(c: Column, low: Column, high: Column, flat: float = 0.5) -> Column:

@@ -31,7 +31,8 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
 
 def _rows_of(column: pa.Array) -> np.ndarray:
     """The vectors of an Arrow list column as one matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ def melt(df: DataFrame, key: str, columns: list[str], *keep: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(f1, p1, f2, p2, r) of each pair of columns; r over the rows that have both, null where either is constant there.
+    """(f1, p1, f2, p2, r) of each pair of columns; r over the rows that have both, null where either is constant there or no row has both.
 
     Matrix products of Arrow batches give each task's sums for all pairs at once, of values less the
     column's mean; one row a pair and task is shuffled. Two passes over the table, no join of rows.
@@ -54,9 +54,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
     parts = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)]).mapInArrow(sums, "p1 int, p2 int, n double, sx double, sy double, qx double, qy double, xy double")
     t = parts.groupBy("p1", "p2").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "xy")])
-    spread = lambda q, s: F.col(q) - F.col(s) * F.col(s) / F.col("n")
+    n = F.when(F.col("n") > 0, F.col("n"))
+    spread = lambda q, s: F.col(q) - F.col(s) * F.col(s) / n
     varied = (spread("qx", "sx") > 1e-12 * F.col("qx")) & (spread("qy", "sy") > 1e-12 * F.col("qy"))
-    r = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(F.when(varied, spread("qx", "sx") * spread("qy", "sy")))
+    r = (F.col("xy") - F.col("sx") * F.col("sy") / n) / F.sqrt(F.when(varied, spread("qx", "sx") * spread("qy", "sy")))
     r = F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     names = F.array(*[F.lit(c) for c in columns])
     return t.select(F.get(names, F.col("p1")).alias("f1"), "p1", F.get(names, F.col("p2")).alias("f2"), "p2", r.alias("r"))
