@@ -11,15 +11,19 @@ prefixes; the place of the shingle in the window bounds where the window begins,
 the lengths of window and document cut what would not fit, the whole window's hash
 drops nearly all others, and the window's bytes are compared for the rest.
 
-The benchmark's index goes to the executors in blocks of bounded size, one pass
-over the documents a block; hits of several blocks are merged by document.  One
+Executors cut the items into distinct windows, a stored table with the items of each.
+It is worked through in blocks of BLOCK_BYTES of item text, chosen by hash: a block's
+windows come to the driver as arrays (some 25 times the items' text), get their
+prefixes by the counts, and go to the executors (some 15 times), for one pass over the
+documents; then the next follows.  Hits of several blocks are merged by document.  One
 block (the usual case) needs no shuffle of documents at all.
 
 Null and empty texts have no words: zero counts, the hash of the empty list, not
 contaminated.  Items with equal texts are all counted; repeated documents are
 judged alike; null item ids are left out of lists but their windows still hit.
-With no items nothing is hit.  Only ids and texts are read, so further columns of
-any name do no harm.
+With no items nothing is hit.  A text is never split over workers: one takes some 60
+times the bytes of its longest text, or of a chunk of 1 MiB.  Only ids and texts are
+read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxolens.llm.common import remove_path, store, stored
 from taxolens.llm.textkit import ALNUM, LOWER, ngrams, row_of, row_sums, runs, span_hashes, text_chunks
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of item text that one block of the index is made of; a block is several times that in memory.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text that one block of the index is made of.
+BLOCK_BYTES = 2 << 20
 
 RESULT = "n_words bigint, n_hit bigint, spans array<struct<start:bigint,stop:bigint>>, items array<string>"
 
@@ -55,43 +61,87 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
+def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(w1, w2, size, k, body, shingles, items): each distinct window by a 128-bit hash; words, shingle size, bytes, shingles in order, ids."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, starts, ends, ptr, words in _words(batch.column("text")):
+                again = span_hashes(data, starts, ends, 1)
+                length = ends - starts
+                joined_at = np.concatenate(([0], np.cumsum(length + 1)))  # where each word begins with one space between
+                joined = np.full(int(joined_at[-1]), 0x20, np.uint8)
+                before, each_byte = np.cumsum(length) - length, np.arange(int(length.sum()))
+                joined[np.repeat(joined_at[:-1] - before, length) + each_byte] = data[np.repeat(starts - before, length) + each_byte]
+                many = np.diff(ptr)
+                for size in np.unique(np.minimum(many[many > 0], window)).tolist():
+                    own = (many >= window) if size == window else (many == size)
+                    begins = np.where(own, np.maximum(many - size + 1, 0), 0)
+                    item = np.repeat(np.arange(hi - lo), begins)
+                    at = ptr[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(begins) - begins, begins)
+                    k = min(shingle, size)
+                    each = _placed(words, ptr, k)[at[:, None] + np.arange(size - k + 1)]
+                    stop = joined_at[at + size] - 1
+                    wide = stop - joined_at[at]
+                    ends_ = np.concatenate(([0], np.cumsum(wide)))
+                    body = joined[np.repeat(joined_at[at] - ends_[:-1], wide) + np.arange(int(ends_[-1]))]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(_placed(words, ptr, size)[at].view(np.int64)),
+                            pa.array(_placed(again, ptr, size)[at].view(np.int64)),
+                            pa.array(np.full(len(at), size, np.int32)),
+                            pa.array(np.full(len(at), k, np.int32)),
+                            pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends_.astype(np.int32)), pa.py_buffer(body)]),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (size - k + 1), pa.int32()), pa.array(each.ravel().view(np.int64))),
+                            batch.column("item").slice(lo, hi - lo).take(pa.array(item)),
+                        ],
+                        ["w1", "w2", "size", "k", "body", "shingles", "item"],
+                    )
+
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+    cuts = rows.mapInArrow(cut, "w1 bigint, w2 bigint, size int, k int, body binary, shingles array<bigint>, item string")
+    return cuts.groupBy("w1", "w2").agg(*[F.first(c).alias(c) for c in ("size", "k", "body", "shingles")], F.collect_set("item").alias("items"))
+
+
+def _placed(words: np.ndarray, ptr: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words from each word on; 0 where the text has fewer."""
+    h, at = ngrams(words, ptr, n)
+    out = np.zeros(len(words), np.uint64)
+    many = np.diff(at)
+    out[np.arange(len(h)) + np.repeat(ptr[:-1] - at[:-1], many)] = h
+    return out
+
+
 @dataclass
 class Windows:
-    """Distinct windows of a block of items."""
+    """The windows of a block as arrays."""
 
-    texts: list[bytes]
+    body: np.ndarray
+    at: np.ndarray  # where each window's bytes begin
     sizes: np.ndarray
     hashes: np.ndarray  # of the whole window
-    shingles: list[np.ndarray]  # hashes of each window's shingles, in order
-    shingle_size: np.ndarray  # SHINGLE, or the window's words if fewer
-    items: list[list[str]]
-
-
-def item_windows(items: list[tuple[str | None, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> Windows:
-    seen: dict[bytes, int] = {}
-    out = Windows([], np.zeros(0, np.int64), np.zeros(0, np.uint64), [], np.zeros(0, np.int64), [])
-    sizes, hashes, ks = [], [], []
-    for item, text in items:
-        for _, _, data, starts, ends, ptr, words in _words(pa.array([text], pa.string())):
-            n = len(words)
-            size = min(window, n)
-            for at in range(n - size + 1 if n else 0):
-                key = _joined(data, starts[at : at + size], ends[at : at + size])
-                if key not in seen:
-                    seen[key] = len(out.texts)
-                    own = words[at : at + size]
-                    k = min(shingle, size)
-                    out.texts.append(key)
-                    out.items.append([])
-                    out.shingles.append(ngrams(own, np.array([0, size]), k)[0])
-                    sizes.append(size)
-                    ks.append(k)
-                    hashes.append(int(ngrams(own, np.array([0, size]), size)[0][0]))
-                own_items = out.items[seen[key]]
-                if item is not None and item not in own_items:
-                    own_items.append(item)
-    out.sizes, out.hashes, out.shingle_size = np.array(sizes, np.int64), np.array(hashes, np.uint64), np.array(ks, np.int64)
-    return out
+    item: np.ndarray  # places in names, one window after another
+    item_at: np.ndarray
+    names: list[str]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Windows:
+        body = pa.concat_arrays(rows["body"].chunks) if len(rows) else pa.array([], pa.binary())
+        items = pa.concat_arrays(rows["items"].chunks) if len(rows) else pa.array([], pa.list_(pa.string()))
+        named = items.flatten().dictionary_encode()
+        at = np.concatenate(([0], np.cumsum(pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64))))
+        return cls(
+            np.frombuffer(b"".join(body.to_pylist()), np.uint8), at, rows["size"].to_numpy().astype(np.int64), rows["w1"].to_numpy().view(np.uint64),
+            named.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate(([0], np.cumsum(pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64)))), named.dictionary.to_pylist(),
+        )
+
+
+def _shingles(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, its size, its window and its place there, one window after another."""
+    each = pa.concat_arrays(rows["shingles"].chunks) if len(rows) else pa.array([], pa.list_(pa.int64()))
+    many = pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    window = np.repeat(np.arange(len(rows)), many)
+    return each.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), rows["k"].to_numpy().astype(np.int64)[window], window, np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
 
 
 class _Lookup:
@@ -114,9 +164,8 @@ class _Lookup:
         return at[same], place[same]
 
 
-def shingle_counts(docs: DataFrame, text: str, windows: Windows) -> dict[int, int]:
-    """How often each shingle of the windows occurs in all documents."""
-    wanted = {int(k): np.unique(np.concatenate([s for s, n in zip(windows.shingles, windows.shingle_size, strict=True) if n == k])) for k in np.unique(windows.shingle_size)}
+def shingle_counts(docs: DataFrame, text: str, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """How often each of the sorted shingles of each size occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +178,15 @@ def shingle_counts(docs: DataFrame, text: str, windows: Windows) -> dict[int, in
                     totals[k] += np.bincount(place, minlength=len(totals[k]))
         for k, n in totals.items():
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[k][some].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
-
-    got = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(got["shingle"].to_numpy().view(np.uint64).tolist(), got["n"].to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some])], ["k", "at", "n"])
+
+    got = docs.select(F.col(text).alias("text")).mapInArrow(count, "k int, at bigint, n bigint").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    sizes, at, n = (got[c].to_numpy() for c in ("k", "at", "n"))
+    out = {k: np.zeros(len(v), np.int64) for k, v in wanted.items()}
+    for k, counts in out.items():
+        counts[at[sizes == k]] = n[sizes == k]
+    return out
 
 
 @dataclass
@@ -144,23 +198,25 @@ class Prefixes:
     place: dict[int, np.ndarray]
 
     @classmethod
-    def choose(cls, windows: Windows, counts: dict[int, int]) -> Prefixes:
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for w, (shingles, k) in enumerate(zip(windows.shingles, windows.shingle_size.tolist(), strict=True)):
-            _, key, place = min((counts.get(s, 0), s, i) for i, s in enumerate(shingles.tolist()))
-            rows.setdefault(k, []).append((key, w, place))
+    def choose(cls, rows: pa.Table, docs: DataFrame, text: str) -> Prefixes:
+        shingle, size, window, place = _shingles(rows)
+        wanted = {int(k): np.unique(shingle[size == k]) for k in np.unique(size)}
         out = cls({}, {}, {})
-        for k, some in rows.items():
-            some.sort()
-            out.keys[k] = np.array([r[0] for r in some], np.uint64)
-            out.window[k], out.place[k] = (np.array([r[i] for r in some], np.int64) for i in (1, 2))
+        for k, counts in (shingle_counts(docs, text, wanted) if wanted else {}).items():
+            own = size == k
+            s, w, p = shingle[own], window[own], place[own]
+            order = np.lexsort((p, s, counts[np.searchsorted(wanted[k], s)], w))
+            s, w, p = s[order], w[order], p[order]
+            rarest = np.concatenate(([True], w[1:] != w[:-1]))
+            s, w, p = s[rarest], w[rarest], p[rarest]
+            order = np.argsort(s, kind="stable")
+            out.keys[k], out.window[k], out.place[k] = s[order], w[order], p[order]
         return out
 
 
 def occurrences(data, starts, ends, ptr, words, windows: Windows, prefixes: Prefixes, lookups: dict[int, _Lookup]) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of every occurrence of a window in a chunk of texts."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    text_of = row_of(ptr)
     whole: dict[int, np.ndarray] = {}
     for k, lookup in lookups.items():
         grams, at = ngrams(words, ptr, k)
@@ -179,24 +235,18 @@ def occurrences(data, starts, ends, ptr, words, windows: Windows, prefixes: Pref
         begin, who = begin[fits], who[fits]
         for size in np.unique(windows.sizes[who]).tolist():
             if size not in whole:
-                h, at_ = ngrams(words, ptr, size)
-                full = np.zeros(len(words), np.uint64)
-                n = np.diff(at_)
-                full[np.arange(len(h)) + np.repeat(ptr[:-1] - at_[:-1], n)] = h
-                whole[size] = full
+                whole[size] = _placed(words, ptr, size)
             here = np.flatnonzero(windows.sizes[who] == size)
             here = here[whole[size][begin[here]] == windows.hashes[who[here]]]
-            exact = [i for i in here.tolist() if _joined(data, starts[begin[i] : begin[i] + size], ends[begin[i] : begin[i] + size]) == windows.texts[who[i]]]
+            exact = [i for i in here.tolist() if _joined(data, starts[begin[i] : begin[i] + size], ends[begin[i] : begin[i] + size]) == windows.body[windows.at[who[i]] : windows.at[who[i] + 1]].tobytes()]
             found.append((begin[exact], who[exact]))
-    del text_of
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _scan(rows: DataFrame, windows: Windows, prefixes: Prefixes) -> DataFrame:
-    """rows (with a column _body) with the result columns of one block in place of _body."""
-    shared = rows.sparkSession.sparkContext.broadcast((windows, prefixes))
+def _scan(rows: DataFrame, shared) -> DataFrame:
+    """rows (with a column _body) with the result columns of one block, (Windows, Prefixes) as sent, in place of _body."""
     carry = [f for f in rows.schema.fields if f.name != "_body"]
     names = [f.name for f in carry]
 
@@ -214,9 +264,10 @@ def _scan(rows: DataFrame, windows: Windows, prefixes: Prefixes) -> DataFrame:
                 s, e = s - np.repeat(ptr[:-1], np.diff(at)), e - np.repeat(ptr[:-1], np.diff(at))
                 spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["start", "stop"]))
                 held: list[set] = [set() for _ in range(hi - lo)]
-                pairs = np.unique((np.searchsorted(ptr, begin, side="right") - 1) * len(windows.texts) + who)
-                for row, w in zip((pairs // max(len(windows.texts), 1)).tolist(), (pairs % max(len(windows.texts), 1)).tolist(), strict=True):
-                    held[row].update(windows.items[w])
+                n = max(len(windows.sizes), 1)
+                pairs = np.unique((np.searchsorted(ptr, begin, side="right") - 1) * n + who)
+                for row, w in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+                    held[row].update([windows.names[i] for i in windows.item[windows.item_at[w] : windows.item_at[w + 1]].tolist()])
                 own = [batch.column(c).slice(lo, hi - lo) for c in names]
                 counts = [pa.array(np.diff(ptr)), pa.array(row_sums(hit.astype(np.int64), ptr))]
                 yield pa.RecordBatch.from_arrays([*own, *counts, spans, pa.array([sorted(x) for x in held], pa.list_(pa.string()))], [*names, "n_words", "n_hit", "spans", "items"])
@@ -225,40 +276,35 @@ def _scan(rows: DataFrame, windows: Windows, prefixes: Prefixes) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}{', ' if fields else ''}{RESULT}")
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple]]:
-    """Items in blocks of bounded text size, drawn one partition at a time; one larger item is a block."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        if block and size + len(row.t or "") > limit:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += len(row.t or "")
-    if block:
-        yield block
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """row (a struct of carry), n_words, n_hit, spans (of hit words, from 0, end exclusive) and items of every document.
 
     With more than one block, rows of equal (carry, text) are merged by a hash of their text and
-    counted, then given back as many times.
+    counted, then given back as many times. The first block states all documents, the others only those
+    that it hits; each block's rows are stored, and its windows leave the executors before the next come.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).alias("_body"))
-    parts = []
-    for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        windows = item_windows(items, window, shingle)
-        if windows.texts:
-            parts.append((windows, Prefixes.choose(windows, shingle_counts(docs, text, windows))))
-    if not parts:
-        parts = [((w := item_windows([], window, shingle)), Prefixes.choose(w, {}))]
-    if len(parts) == 1:
-        return _scan(rows, *parts[0])
+    cut, at = store(item_windows(benchmark, item_id, item_text, window, shingle), "windows")
+    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def block(i: int) -> tuple[Windows, Prefixes]:
+        held = cut.where(F.pmod("w1", F.lit(blocks)) == i).toArrow()
+        return Windows.of(held), Prefixes.choose(held, docs, text)
+
+    if blocks == 1:
+        index = block(0)
+        remove_path(docs.sparkSession, at)
+        return _scan(rows, docs.sparkSession.sparkContext.broadcast(index))
     keyed = rows.select("row", F.sha2(F.coalesce("_body", F.lit("")), 256).alias("_key"), F.lit(0).alias("_block"), "_body")
     every = None
-    for i, (windows, prefixes) in enumerate(parts):
-        one = _scan(keyed.withColumn("_block", F.lit(i)), windows, prefixes)
+    for i in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(block(i))
+        one = _scan(keyed.withColumn("_block", F.lit(i)), shared)
+        one = stored(one.where("_block = 0 OR n_hit > 0"), "hits")
+        shared.destroy()
         every = one if every is None else every.unionByName(one)
+    remove_path(docs.sparkSession, at)
     merged = every.groupBy("row", "_key").agg(
         F.sum(F.when(F.col("_block") == 0, 1).otherwise(0)).alias("_times"),
         F.max("n_words").alias("n_words"),
