@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that Spark sends to a Python worker; one longer row is a batch.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: So many of the most frequent keys of a join go to all executors; each key beyond them has less than 1 / HOT_KEYS of the rows.
 HOT_KEYS = 10_000
 #: Keys with fewer rows are never frequent.
@@ -52,6 +54,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the provided tables. Batches of text for Python workers are bounded in bytes from here on, unless the session bounds them closer."""
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF)) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

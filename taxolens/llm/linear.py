@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolens.llm.common import stored
 from taxolens.llm.ftrl import Ftrl, logistic
 from taxolens.llm.textkit import text_chunks
 
@@ -67,8 +68,10 @@ def collect_features(docs: DataFrame, sample: DataFrame, doc_id: str, text: str,
     rows = pairs.select("doc_id", F.col("label").cast("int").alias("label"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.mapInArrow(extract, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label int, tie bigint, idx binary, val binary")
     rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("label", "idx", "val"), "tie").alias("x")).select("doc_id", "x.*")
+    rows = stored(rows, "features")
     so_far = F.sum(F.length("idx") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_FEATURES).drop("so_far")
+    kept = rows.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= MAX_FEATURES).select("doc_id")
+    rows = rows.join(F.broadcast(kept), "doc_id", "left_semi")
     got = rows.toArrow().combine_chunks().sort_by("doc_id")
     pick = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) if x.as_buffer().size else np.zeros(0, kind) for x in got[name]]
     return list(zip(pick("idx", "<i4"), pick("val", "<f4"), strict=True)), got["label"].to_numpy().astype(float)

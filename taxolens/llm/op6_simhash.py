@@ -50,7 +50,7 @@ def fingerprint_bits(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ptr) - 1, np.uint64)
     sizes = np.diff(ptr)
     full = np.flatnonzero(sizes)
-    step = 1 << 16  # hashes unpacked at a time
+    step = 1 << 13  # hashes unpacked at a time
     sums = np.zeros((len(ptr) - 1, 64), np.int64)
     for lo in range(0, len(hashes), step):
         part = hashes[lo : lo + step]
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), 1 << 20):
+            for lo, hi, data, offsets in text_chunks(batch.column("text"), 1 << 18):
                 raw = data.tobytes()
                 at = offsets.tolist()
                 each = [shingle_hashes(raw[a:b], shingle) for a, b in zip(at, at[1:], strict=False)]
