@@ -67,6 +67,14 @@ def walk_audio(spark: SparkSession, root: str, name: str = "preview.mp3") -> Dat
     return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("genre", "song", "path").orderBy("genre", "song")
 
 
+def missing_previews(spark: SparkSession, root: str, name: str = "preview.mp3") -> DataFrame:
+    """(genre, song): folders of songs that hold files but no preview, neither at once nor one level deeper; walk_audio leaves them out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    found = files.select("path", *[c.alias(n) for n, c in track_parts(F.col("path")).items()]).where("song is not null and genre is not null")
+    held = found.groupBy("genre", "song").agg(F.bool_or(F.substring_index("path", "/", -1) == name).alias("there"))
+    return held.where("not there").select("genre", "song").orderBy("genre", "song")
+
+
 def genre_ids(df: DataFrame, folder: str) -> DataFrame:
     """df with genre (text before -Top100) and its id, the place among sorted folders from 0."""
     names = df.select(folder).distinct()

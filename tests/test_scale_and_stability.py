@@ -185,6 +185,13 @@ def test_sources_count_and_cache(spark, tmp_path):
     assert not sizes
 
 
+def test_folders_without_a_preview(spark, tmp_path):
+    for p in ("House-Top100-19_03_2025/1 - One/preview.mp3", "House-Top100-19_03_2025/2 - Two/in/preview.mp3", "House-Top100-19_03_2025/3 - Three/other.mp3", "Techno-Top100-19_03_2025/4 - Four/in/cover.jpg"):
+        (tmp_path / p).parent.mkdir(parents=True)
+        (tmp_path / p).write_bytes(b"x")
+    assert [tuple(r) for r in readers.missing_previews(spark, str(tmp_path)).collect()] == [("House", "Three.mp3"), ("Techno", "Four.mp3")]
+
+
 def test_streaming_moments(spark, tmp_path):
     from taxolens.streaming.live import windowed_moments
 
