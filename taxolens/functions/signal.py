@@ -21,6 +21,19 @@ def frames(y: np.ndarray, width: int, hop: int) -> np.ndarray:
     return y[np.arange(width)[None, :] + hop * np.arange(n)[:, None]]
 
 
+def resampled(y: np.ndarray, sr: float, to: float, seconds: float | None = None) -> np.ndarray:
+    """The first `seconds` of a signal at another rate, by straight lines between samples; frequencies beyond to / 2 are cut before."""
+    y = np.asarray(y, float)[: int(seconds * sr) if seconds else None]
+    if not len(y) or sr == to:
+        return y
+    if to < sr:
+        wave = np.fft.rfft(y)
+        wave[np.fft.rfftfreq(len(y), 1 / sr) > to / 2] = 0
+        y = np.fft.irfft(wave, len(y))
+    n = max(1, int(round(len(y) * to / sr)))
+    return np.interp(np.arange(n) * sr / to, np.arange(len(y)), y)
+
+
 def spectrum(y: np.ndarray, width: int, hop: int) -> np.ndarray:
     return np.abs(np.fft.rfft(frames(y, width, hop) * np.hamming(width), axis=1)) / width
 

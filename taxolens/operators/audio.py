@@ -28,6 +28,18 @@ def extract(tracks: DataFrame, key: str, signal: str, sr: float = 44100.0) -> Da
     return tracks.select(key, signal).mapInPandas(run, f"{key} {tracks.schema[key].dataType.simpleString()}, features map<string,double>, error string")
 
 
+def prepared(tracks: DataFrame, key: str, signal: str, sr: float, to: float = 24_000.0, seconds: float = 120.0) -> DataFrame:
+    """(key, y): signals at the rate and of the length that an embedding model takes; null signals are empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from taxolens.functions.signal import resampled
+
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "y": [resampled(y if y is not None else [], sr, to, seconds) for y in b[signal]]})
+
+    return tracks.select(key, signal).mapInPandas(run, f"{key} {tracks.schema[key].dataType.simpleString()}, y array<double>")
+
+
 def wide(extracted: DataFrame, key: str, names: list[str]) -> DataFrame:
     """One column a feature, of the tracks that could be read."""
     return extracted.where("error is null").select(key, *[F.col("features")[n].alias(n) for n in names])

@@ -192,6 +192,23 @@ def test_folders_without_a_preview(spark, tmp_path):
     assert [tuple(r) for r in readers.missing_previews(spark, str(tmp_path)).collect()] == [("House", "Three.mp3"), ("Techno", "Four.mp3")]
 
 
+def test_signals_for_models_and_features_with_metadata(spark, tmp_path):
+    from taxolens.operators import audio
+
+    t = np.arange(4000) / 4000
+    tone = np.sin(2 * np.pi * 50 * t)
+    df = spark.createDataFrame([(1, tone.tolist()), (2, None), (3, [])], "id int, y array<double>")
+    got = {r.id: np.array(r.y) for r in audio.prepared(df, "id", "y", 4000.0, 1000.0, 0.5).collect()}
+    assert len(got[1]) == 500 and len(got[2]) == len(got[3]) == 0
+    assert np.abs(got[1][20:-20] - np.sin(2 * np.pi * 50 * np.arange(500) / 1000)[20:-20]).max() < 0.02
+    both = (tone + np.sin(2 * np.pi * 1500 * t)).tolist()
+    low = np.array(audio.prepared(spark.createDataFrame([(1, both)], "id int, y array<double>"), "id", "y", 4000.0, 1000.0, 1.0).first().y)
+    assert np.abs(low[20:-20] - np.sin(2 * np.pi * 50 * np.arange(1000) / 1000)[20:-20]).max() < 0.02
+    meta = spark.createDataFrame([(1, 120.0), (9, 1.0)], "id int, bpm double")
+    out = audio.with_metadata(audio.extract(df, "id", "y", 4000.0), "id", ["1-ZCRm", "rms_mean"], meta, str(tmp_path / "out")).collect()
+    assert {r.id: r.bpm for r in out}[1] == 120.0 and set(out[0].asDict()) == {"id", "1-ZCRm", "rms_mean", "bpm"}
+
+
 def test_streaming_moments(spark, tmp_path):
     from taxolens.streaming.live import windowed_moments
 
