@@ -44,6 +44,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder (cuts the lineage and survives lost executors), and its path."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -53,10 +54,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return store(df, name)[0]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the provided tables. Batches of text for Python workers are bounded in bytes from here on, unless the session bounds them closer."""
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch for Python workers, which Spark bounds by rows, unless the session bounds them closer."""
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF)) > BATCH_BYTES:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import stored
+from taxolens.llm.common import bound_batches, stored
 from taxolens.llm.ftrl import Ftrl, logistic
 from taxolens.llm.textkit import text_chunks
 
@@ -47,6 +47,7 @@ def collect_features(docs: DataFrame, sample: DataFrame, doc_id: str, text: str,
     The sample is bounded, so it is broadcast, and so are the features (MAX_FEATURES), so they fit the
     driver however long the texts are.  Of several texts with one id the one with the smallest hash counts.
     """
+    bound_batches(docs.sparkSession)
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +93,7 @@ def apply(docs: DataFrame, doc_id: str, text: str, margin: Callable[[np.ndarray,
                 score = logistic(margin(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(score, pa.float64())], ["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from taxolens.llm.common import spread_join, stored
+from taxolens.llm.common import bound_batches, spread_join, stored
 from taxolens.llm.textkit import NOT_SPACE, mix, text_chunks
 
 #: Words on either side that a boundary is compared with.
@@ -127,6 +127,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 ids, whole = (batch.column(c).slice(lo, hi - lo).take(of) for c in ("doc_id", "text_key"))
                 yield pa.RecordBatch.from_arrays([ids, whole, pa.array(place), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "text_key", "place", "d1", "d2"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, place bigint, d1 bigint, d2 bigint")
 

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import remove_path, store, stored
+from taxolens.llm.common import bound_batches, remove_path, store, stored
 from taxolens.llm.textkit import ALNUM, LOWER, ngrams, row_of, row_sums, runs, span_hashes, text_chunks
 
 WINDOW = 10
@@ -283,6 +283,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
     counted, then given back as many times. The first block states all documents, the others only those
     that it hits; each block's rows are stored, and its windows leave the executors before the next come.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(text).alias("_body"))
     cut, at = store(item_windows(benchmark, item_id, item_text, window, shingle), "windows")
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import spread_join, stored
+from taxolens.llm.common import bound_batches, spread_join, stored
 from taxolens.llm.components import components
 from taxolens.llm.textkit import text_chunks
 
@@ -93,6 +93,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
                 fp = fingerprint_bits(hashes, ptr).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(fp)], ["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxolens.llm.common import bound_batches
 from taxolens.llm.textkit import mix, span_hashes, text_chunks
 
 DROPOUT = 0.1
@@ -416,6 +417,7 @@ def decode_bytes(vocab: Vocabulary, ids: np.ndarray, ptr: np.ndarray) -> tuple[n
 
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, n_tokens, ids (array of piece ids), lossless (decoding the ids gives the text) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

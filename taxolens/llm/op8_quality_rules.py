@@ -4,7 +4,9 @@ A rule names a measure, a lower and an upper bound; a document is kept if every
 measure lies within its bounds.  Measures are built-in expressions over the text
 and its words (runs without space, tab, line feed, vertical tab, form feed and
 carriage return): lengths, symbol, stop-word and line ratios, and repeats.
-There is no user function, no shuffle and no second look at the text.
+There is no user function, no shuffle and no second look at the text.  Repeated
+windows of three words are told by 64-bit hashes of their words: in a text of a
+million words a wrong match has odds of about one in 37 million.
 
 Null and empty texts have no word: every count is 0, every ratio 0.0, and they
 are rejected by the length rule.  Rows are judged one by one, so repeats and ties

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from taxolens.llm.common import bound_batches
 from taxolens.llm.template import compile_template
 
 #: The strings that control a formatted conversation.
@@ -120,6 +121,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE, conv_id: str =
 
 def _dealt(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bound_batches(conversations.sparkSession)
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
