@@ -26,10 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least id stays; rows with a null id stay, equal rows become one."""
-    grouped = jaccard.group(docs, SHINGLE, RADIUS)
-    drop = grouped.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each group of near-duplicate texts one row stays, the one with the least id (of those, the least text's hash).
+
+    Rows are judged by their text, not by their id: other texts that share an id with a copy stay. Of rows
+    with equal id and text one stays. Rows with a null id stay.
+    """
+    return jaccard.first_of_groups(docs, SHINGLE, RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

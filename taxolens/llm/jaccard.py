@@ -6,14 +6,17 @@ filter).  The order here is rarest first: shingles that many texts of some chunk
 hold come last, by their count; all others come first, by hash.  Counts only speed
 things up: links don't depend on them.
 
-Texts that share a prefix member are candidates if sizes and places allow the
-overlap and if bitmaps of parities (a lower bound of the symmetric difference) do;
-then both sets are intersected.  Where more than HOT texts share a member, all are
-first compared with one of them, and afterwards only those pairs are
-formed that these links haven't joined; so a large group of near copies costs no
-square, and no link between groups is lost.
-
-Sets hold 64-bit hashes; equal sets are one node, named by a 64-bit hash.
+Texts that share a prefix member are candidates if sizes and bitmaps of parities (a
+lower bound of the symmetric difference) allow the overlap; then both texts' sets are
+intersected.  Where more than `hot` texts share a member, pairs aren't formed at once:
+in rounds, every text is compared with one other that it shares a member with and isn't
+joined to yet, and members whose texts have all come together are closed.  That goes on
+while it finds links (and ROUNDS times at most).  Afterwards pairs are formed of those
+texts only that share an open member and aren't joined yet; so a large group of near
+copies costs no square, and no link between groups is lost.
+
+Sets hold 64-bit hashes; equal sets are one node, named by a 64-bit hash.  Of a node
+one text stands for all.
 """
 
 from __future__ import annotations
@@ -25,20 +28,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from taxolens.llm import op6_simhash
-from taxolens.llm.common import stored
+from taxolens.llm.common import remove_path, spread_join, store, stored
 from taxolens.llm.components import components
 from taxolens.llm.textkit import text_chunks
 
 #: Similarity from which texts link, as a fraction.
 SHARE = 4, 5
-#: From so many texts with one prefix member on, they are compared with a few of them first.
-HOT = 32
+#: Members that more texts than this share go through rounds of single comparisons first.
+HOT, ROUNDS = 1, 3
 #: Shingles of so many texts' sets are counted together; those in fewer than COMMON texts and a thousandth aren't frequent.
-COUNTED, COMMON, MOST_FREQUENT = 1 << 20, 4, 200_000
-BITMAP_WORDS = 8
-WORDS = [f"q{i}" for i in range(BITMAP_WORDS)]
+COUNTED, COMMON, MOST_FREQUENT = 1 << 18, 4, 200_000
+#: Bytes of text that a worker takes at a time.
+CHUNK = 1 << 18
+#: Fewest classes of hashes whose parities are compared; a set of more members has as many, in powers of two.
+LEAST_CLASSES = 512
 #: Keys that are sent to all executors at once; more are joined.
 BROADCAST_KEYS = 2_000_000
 
@@ -52,9 +58,19 @@ def set_key(members: np.ndarray) -> int:
 
 
 def parities(members: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITMAP_WORDS classes of hashes, whether an odd number is in the set; as int64 words."""
-    odd = np.bincount((members % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """For each class of hashes, whether an odd number is in the set; as bytes."""
+    classes = max(LEAST_CLASSES, 1 << max(len(members) - 1, 0).bit_length())
+    odd = np.bincount((members & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Members at least that only one of two sets has, by their parities; the longer ones are folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefix(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,13 +84,16 @@ def prefix(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.
 
 
 def described(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, node, size, text_key, q0.., token, n) of every row; token and n: frequent shingles, here and there."""
+    """(doc_id, fp, node, size, text_key, bits, token, n) of every row; token and n: frequent shingles, here and there.
+
+    A task's last row holds nothing but such shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         total = 0
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text"), 1 << 20):
+            for lo, hi, data, offsets in text_chunks(batch.column("text"), CHUNK):
                 raw, at = data.tobytes(), offsets.tolist()
                 each = [np.array(op6_simhash.shingle_hashes(raw[a:b], shingle), np.uint64) for a, b in zip(at, at[1:], strict=False)]
                 fp = op6_simhash.fingerprint_bits(np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))).view(np.int64)
@@ -86,10 +105,13 @@ def described(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str =
                     token[-1], n[-1] = often(held)
                     held, total = [], 0
                 keys = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
-                bits = np.array([parities(x) for x in sets])
+                bits = pa.array([parities(x).tobytes() for x in sets], pa.binary())
                 ids, text_key = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key"))
-                columns = [ids, pa.array(fp), pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), text_key, *(pa.array(bits[:, i].copy()) for i in range(BITMAP_WORDS))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(token, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "size", "text_key", *WORDS, "token", "n"])
+                columns = [ids, pa.array(fp), pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), text_key, bits]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(token, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "size", "text_key", "bits", "token", "n"])
+        if held:
+            token, n = often(held)
+            yield pa.RecordBatch.from_arrays([pa.array([None], kind) for kind in kinds[:-2]] + [pa.array([x], pa.list_(pa.int64())) for x in (token, n)], ["doc_id", "fp", "node", "size", "text_key", "bits", "token", "n"])
 
     def often(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         every, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -98,7 +120,8 @@ def described(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str =
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, node bigint, size int, text_key bigint, {', '.join(f'{w} bigint' for w in WORDS)}, token array<bigint>, n array<bigint>")
+    kinds = [to_arrow_type(rows.schema["doc_id"].dataType), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), None, None]
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, node bigint, size int, text_key bigint, bits binary, token array<bigint>, n array<bigint>")
 
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +134,13 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, often: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """(token, node, size, pos): the prefix of every set, those that no other set shares left out."""
+    """(token, node, size): the prefix of every set, members that no other set shares left out; dealt once, by member."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column("text"), 1 << 20):
+            for _, _, data, offsets in text_chunks(batch.column("text"), CHUNK):
                 raw, at = data.tobytes(), offsets.tolist()
                 firsts, nodes, sizes = [], [], []
                 for a, b in zip(at, at[1:], strict=False):
@@ -130,90 +153,137 @@ def prefixes(docs: DataFrame, shingle: int, often: tuple[np.ndarray, np.ndarray]
                         sizes.append(len(members))
                 if nodes:
                     each = np.array([len(x) for x in firsts])
-                    pos = np.concatenate([np.arange(n, dtype=np.int32) for n in each])
-                    columns = np.concatenate(firsts).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), each), np.repeat(np.array(sizes, np.int32), each), pos
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "pos"])
+                    columns = np.concatenate(firsts).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), each), np.repeat(np.array(sizes, np.int32), each)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, node bigint, size int, pos int")
-    rows = stored(rows.repartition("token").dropDuplicates(["token", "node"]), "prefixes")
-    many = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    return rows.join(many.hint("shuffle_hash"), "token")
+    dealt = docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, node bigint, size int").repartition("token")
+    many = dealt.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
+    return dealt.join(many.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"])
 
 
-def _need(a: Column | str = "a_size", b: Column | str = "b_size") -> Column:
-    """Least overlap of similar sets of these sizes: 9 overlap >= 4 (a + b)."""
-    p, q = SHARE
-    return F.ceil(F.lit(p) * (F.col(a) + F.col(b)) / F.lit(p + q))
+def _sizes_fit(a: str, b: str) -> Column:
+    return SHARE[1] * F.least(a, b) >= SHARE[0] * F.greatest(a, b)
 
 
-def _possible() -> Column:
-    """Whether sizes and bitmaps of a and b allow similar sets."""
-    odd = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
-    return (SHARE[1] * F.least("a_size", "b_size") >= SHARE[0] * F.greatest("a_size", "b_size")) & (odd <= F.col("a_size") + F.col("b_size") - 2 * _need())
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs whose sizes and parities allow similar sets, which overlap in 4/9 of both sizes together at least."""
+    p, q = SHARE
+    for batch in batches:
+        kept = []
+        for n, m, x, y in zip(batch.column("a_size").to_pylist(), batch.column("b_size").to_pylist(), batch.column("a_bits"), batch.column("b_bits"), strict=True):
+            most = n + m - 2 * -(-p * (n + m) // (p + q))
+            kept.append(q * min(n, m) >= p * max(n, m) and apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most)
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Those pairs (a, b) of nodes whose sets are similar."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(w).alias(f"{s}_{w}") for w in WORDS])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_possible())
-    near = stored(near.select("a", "b"), "near")
+    spark = docs.sparkSession
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("bits").alias(f"{s}_bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("a_size", "b_size"))
+    near, near_at = store(both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(_possible, "a bigint, b bigint"), "near")
     asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = stored(nodes.join(asked, "node").select("text_key"), "asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked.hint("shuffle_hash")
-    texts = docs.select(F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text")).join(asked, "text_key", "left_semi")
+    asked, asked_at = store(nodes.join(asked, "node").select("node", "text_key", F.col("least.doc_id").alias("at")), "asked")
+    on = asked.hint("shuffle_hash") if asked.count() > BROADCAST_KEYS else F.broadcast(asked)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    texts = rows.join(on, (F.col("key") == F.col("text_key")) & F.col("id").eqNullSafe(F.col("at"))).select("node", "text").dropDuplicates(["node"])
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column("text"), 1 << 20):
-                raw, at = data.tobytes(), offsets.tolist()
-                each = {set_key(x): x.tobytes() for x in (shingle_set(raw[a:b], shingle) for a, b in zip(at, at[1:], strict=False))}
-                each = {k: v for k, v in each.items() if k not in seen}
-                seen.update(each)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(each), np.uint64).view(np.int64)), pa.array(list(each.values()), pa.binary())], ["node", "members"])
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
 
-    sets = stored(texts.mapInArrow(members, "node bigint, members binary").dropDuplicates(["node"]), "sets")
+        def members(node: int, body: pa.Scalar) -> np.ndarray:
+            if node not in held:
+                if len(held) == 2:
+                    held.pop(next(iter(held)))
+                held[node] = shingle_set(body.as_buffer().to_pybytes(), shingle)
+            return held[node]
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                q, p = members(b, y), members(a, x)
                 kept.append((SHARE[0] + SHARE[1]) * len(np.intersect1d(p, q, assume_unique=True)) >= SHARE[0] * (len(p) + len(q)))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint"), "similar")
+    both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint"), "similar")
+    for at in (near_at, asked_at):
+        remove_path(spark, at)
+    return found
+
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, node, size, root) of members whose texts aren't all joined."""
+    rows = rows.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    return rows.join(apart, "token").select("token", "node", "size", "root")
 
-def links(docs: DataFrame, nodes: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, text: str = "text", hot: int = HOT) -> DataFrame:
+
+def _singles(rows: DataFrame, turn: int, hot: int) -> DataFrame:
+    """(a, b): for every node one other that shares a member with it and has another root.
+
+    Each member offers two nodes, of the roots that come first and last by a hash of the turn.
+    """
+    by = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)))
+    end = F.struct("node", "root")
+    ends = rows.groupBy("token").agg(F.max_by(end, by).alias("hi"), F.min_by(end, by).alias("lo"), F.count("*").alias("n")).where((F.col("n") > hot) & (F.col("hi.root") != F.col("lo.root")))
+    offered = spread_join(rows, ends, ["token"]).select("node", F.when(F.col("hi.root") != F.col("root"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("other"))
+    chosen = offered.groupBy("node").agg(F.max_by("other", F.xxhash64("other", F.lit(turn))).alias("other"))
+    return chosen.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(a, b): joins all nodes whose sets are similar, directly or through others that are."""
-    rows = stored(prefixes(docs, shingle, often, text), "shared")
-    crowded = rows.where(F.col("members") > hot)
-    # the text with the most such members is nearest to what its group has in common
-    crowded = crowded.join(crowded.groupBy("node").agg((F.count("*") / F.first("size")).alias("common")), "node")
-    chosen = crowded.groupBy("token").agg(F.max_by("node", F.struct("common", "node")).alias("other"))
-    pairs = crowded.join(chosen, "token").where("node != other").select("node", "other")
-    pairs = stored(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
-    found = linked(docs, pairs, nodes, shingle, text)
-    roots = nodes.select("node", *WORDS).join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rows.join(roots, "node")
-    one, two = (rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "pos", "root", *WORDS)]) for s in "ab")
-    left = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (left >= _need()) & _possible()
-    pairs = stored(one.join(two, "token").where(fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
-    return found.union(linked(docs, pairs, nodes, shingle, text))
+    spark = docs.sparkSession
+    rows, at = store(prefixes(docs, shingle, often, text).withColumn("root", F.col("node")), "shared")
+    found = None
+    for turn in range(ROUNDS):
+        one = linked(docs, _singles(rows, turn, hot), nodes, shingle, doc_id, text)
+        found = one if found is None else found.union(one)
+        if one.isEmpty():
+            break
+        before, (rows, at) = at, store(_open(rows, components(found).select("node", "root")), "open")
+        remove_path(spark, before)
+    one, two = (rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "root")]) for s in "ab")
+    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_fit("a_size", "b_size")
+    pairs, pairs_at = store(one.join(two, "token").where(fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    found = found.union(linked(docs, pairs, nodes, shingle, doc_id, text))
+    for path in (at, pairs_at):
+        remove_path(spark, path)
+    return found
+
+
+def _named(docs: DataFrame, shingle: int, radius: int, doc_id: str, text: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, node); and (node, n, keep) with keep, the least (doc_id, text_key) of the node's component."""
+    every = stored(described(docs, shingle, doc_id, text), "described")
+    rows = every.where("node IS NOT NULL")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    nodes = stored(rows.groupBy("node").agg(least.alias("least"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "text_key", "bits")]).withColumn("text_key", F.coalesce("least.text_key", "text_key")), "nodes")
+    pairs = stored(rows.select("fp", "node").distinct(), "pairs")
+    prints = stored(pairs.groupBy("fp").agg(F.min("node").alias("at"), F.count("*").alias("n")), "prints")
+    by_print = spread_join(pairs, prints, ["fp"]).select(F.col("node").alias("a"), F.col("at").alias("b")).where("a != b")
+    near = op6_simhash.links(prints.select("fp"), radius)
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("at").alias("to_a")), "a").join(prints.select(F.col("fp").alias("b"), F.col("at").alias("to_b")), "b")
+    joined = links(docs, nodes, frequent(every), shingle, doc_id, text, hot).union(by_print).union(near.select("to_a", "to_b"))
+    placed = nodes.select("node", "n", "least").join(components(joined), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = placed.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("members"))
+    return rows.select("doc_id", "text_key", "node"), spread_join(placed.select("root", "node", "n"), best, ["root"], "members").select("node", "n", "keep")
 
 
 def group(docs: DataFrame, shingle: int, radius: int, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, component_id): texts whose sets are similar or whose fingerprints lie within radius, directly or through others."""
-    rows = stored(described(docs, shingle, doc_id, text), "described")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "text_key", *WORDS)]), "nodes")
-    prints = stored(rows.groupBy("fp").agg(F.min("node").alias("at")), "prints")
-    by_print = rows.join(prints, "fp").select(F.col("node").alias("a"), F.col("at").alias("b")).where("a != b").distinct()
-    near = op6_simhash.links(prints.select("fp"), radius)
-    near = near.join(prints.select(F.col("fp").alias("a"), F.col("at").alias("to_a")), "a").join(prints.select(F.col("fp").alias("b"), F.col("at").alias("to_b")), "b")
-    every = links(docs, nodes, frequent(rows), shingle, text, hot).union(by_print).union(near.select("to_a", "to_b"))
-    placed = nodes.select("node", "least").join(components(every), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    rows, named = _named(docs, shingle, radius, doc_id, text, hot)
+    return spread_join(rows.select("doc_id", "node"), named.select("node", "n", F.col("keep.doc_id").alias("component_id")), ["node"]).select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, shingle: int, radius: int, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """One row of each component, with its own columns: the least id, and for one id the least hash of the text.
+
+    Of rows with equal id and text one stays; rows with a null id stay as they are. Texts are shuffled
+    once, by id and hash of the text.
+    """
+    _, named = _named(docs, shingle, radius, doc_id, text, hot)
+    keep = named.where("keep IS NOT NULL").select("keep.*").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("key"))
+    kept = rows.join(keep, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi").dropDuplicates(["id", "key"])
+    return kept.select("row.*").union(rows.where("id IS NULL").select("row.*"))
