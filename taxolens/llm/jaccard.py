@@ -38,7 +38,7 @@ from taxolens.llm.textkit import text_chunks
 #: Similarity from which texts link, as a fraction.
 SHARE = 4, 5
 #: Members that more texts than this share go through rounds of single comparisons first.
-HOT, ROUNDS = 1, 3
+HOT, ROUNDS = 1, 2
 #: Shingles of so many texts' sets are counted together; those in fewer than COMMON texts and a thousandth aren't frequent.
 COUNTED, COMMON, MOST_FREQUENT = 1 << 18, 4, 200_000
 #: Bytes of text that a worker takes at a time.
