@@ -17,6 +17,7 @@ from taxolens.llm import (
     op8_quality_rules,
     op9_chat_format,
     op10_secret_scan,
+    op11_token_counts,
 )
 from taxolens.llm.common import table
 
@@ -66,6 +67,12 @@ def op10_secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op11_token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup_query,
     "op2_quality_classifier": op2_quality_classifier_query,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules_query,
     "op9_chat_format": op9_chat_format_query,
     "op10_secret_scan": op10_secret_scan_query,
+    "op11_token_counts": op11_token_counts_query,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
