@@ -18,6 +18,7 @@ from taxolens.llm import (
     op9_chat_format,
     op10_secret_scan,
     op11_token_counts,
+    op12_ranked_search,
 )
 from taxolens.llm.common import table
 
@@ -73,6 +74,10 @@ def op11_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup_query,
     "op2_quality_classifier": op2_quality_classifier_query,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format_query,
     "op10_secret_scan": op10_secret_scan_query,
     "op11_token_counts": op11_token_counts_query,
+    "op12_ranked_search": op12_ranked_search_query,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -93,4 +99,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op8_quality_rules": op8_quality_rules.oracle_sql,
     "op9_chat_format": op9_chat_format.oracle_sql,
     "op10_secret_scan": op10_secret_scan.oracle_sql,
+    "op12_ranked_search": op12_ranked_search.oracle_sql,
 }
