@@ -19,6 +19,7 @@ from taxolens.llm import (
     op10_secret_scan,
     op11_token_counts,
     op12_ranked_search,
+    op13_conversation_repair,
 )
 from taxolens.llm.common import table
 
@@ -78,6 +79,10 @@ def op12_ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_conversation_repair.report(op13_conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup_query,
     "op2_quality_classifier": op2_quality_classifier_query,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan_query,
     "op11_token_counts": op11_token_counts_query,
     "op12_ranked_search": op12_ranked_search_query,
+    "op13_conversation_repair": op13_conversation_repair_query,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -100,4 +106,5 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op9_chat_format": op9_chat_format.oracle_sql,
     "op10_secret_scan": op10_secret_scan.oracle_sql,
     "op12_ranked_search": op12_ranked_search.oracle_sql,
+    "op13_conversation_repair": op13_conversation_repair.oracle_sql,
 }
