@@ -8,17 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from taxolens.operators import curves, geometry
+from taxolens.operators import curves, geometry, lloyd
+from taxolens.operators.divisive import divisive as divisive
 
-#: Rows that operators on one matrix (greedy selection, divisive splits) accept; a sweep of more rows is distributed.
+#: Rows that operators on one matrix (greedy selection) accept.
 MATRIX_ROWS = 20_000
 #: Bytes that a tree of rows may take on the driver: three square matrices of doubles.
 TREE_BYTES = 4 << 30
 #: Rows from which first centres are drawn; all rows are clustered.
 INIT_ROWS = 20_000
+#: Rows of each table from which the first centres of the gap statistic are drawn.
+GAP_INIT = 2_000
 #: K-means starts and rounds of the studied system.
 STARTS, ROUNDS = 50, 300
 
@@ -35,83 +39,44 @@ def _rows_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row, and the squared distance."""
-    d = (centres * centres).sum(1) - 2 * x @ centres.T
-    label = d.argmin(1)
-    return label, np.maximum(d[np.arange(len(x)), label] + (x * x).sum(1), 0)
+def _starts(data: lloyd.Table, ks: list[int], starts: int, seed: int) -> list[list[lloyd.Model]]:
+    """Models of every k and start; first centres are drawn from INIT_ROWS rows at most, those with the least hashes.
+
+    A start draws for the largest k; smaller ones take its first k.
+    """
+    some = lloyd.matrix_of(data.rows.orderBy(F.xxhash64("v"), "v").limit(INIT_ROWS).select("v").toArrow()["v"].combine_chunks())
+    drawn = lloyd.first_centres(some - data.middle, max(ks), starts, seed)
+    return [[lloyd.Model(c[:k].copy()) for c in drawn] for k in ks]
+
+
+def _fitted(data: lloyd.Table, ks: list[int], starts: int, rounds: int, seed: int) -> list[lloyd.Model]:
+    """For each k the cheapest of all starts, its centres in order."""
+    models = _starts(data, ks, starts, seed)
+    lloyd.advance(data, [m for some in models for m in some], rounds)
+    best = [min(some, key=lambda m: m.cost) for some in models]
+    for m in best:
+        m.centres = m.centres[np.lexsort(m.centres.T[::-1])]
+    return best
 
 
 def forced(df: DataFrame, vector: str, k: int = 35, starts: int = STARTS, rounds: int = ROUNDS, seed: int = 42, out: str = "cluster") -> DataFrame:
     """df with a cluster id: distributed k-means, the cheapest of several seeded starts.
 
-    All starts advance in the same pass over the rows, one job a round, until their centres rest; tasks
-    send sums for each start and cluster only. First centres are drawn by k-means++ from INIT_ROWS rows at most,
-    those with the least hashes; ids are numbered by centre, so they don't depend on the start.
+    All starts advance in the same pass over the rows, one job a round, until their centres rest. Ids are
+    numbered by centre, so they don't depend on the start.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    from taxolens.functions.estimators import first_centres
-
-    spark = df.sparkSession
-    data = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).persist()
-    some = _rows_of(data.orderBy(F.xxhash64("v"), "v").limit(INIT_ROWS).toArrow()["v"].combine_chunks())
-    if not len(some):
+    data = lloyd.table(df, vector)
+    if not data.spread:
         data.unpersist()
         return df.withColumn(out, F.lit(0))
-    centre = some.mean(0)
-    some = some - centre
-    centres = np.array([first_centres(some, k, np.random.default_rng(seed * 7919 + i)) for i in range(starts)])
-    least_move = 1e-4 * some.var(0).mean()
-    costs, live = np.full(starts, np.inf), np.arange(starts)
-    width = len(centre)
-
-    def passed(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = shared.value
-            sums, n, cost = np.zeros(now.shape), np.zeros(now.shape[:2]), np.zeros(now.shape[:2])
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = _rows_of(batch.column("v")) - centre
-                for i, c in enumerate(now):
-                    label, d = _nearest(x, c)
-                    member = np.zeros((len(x), len(c)))
-                    member[np.arange(len(x)), label] = 1
-                    sums[i] += member.T @ x
-                    n[i] += member.sum(0)
-                    cost[i] += d @ member
-            i, j = np.nonzero(n)
-            if len(i):
-                each = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * width, pa.int32()), pa.array(sums[i, j].ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j]), pa.array(cost[i, j]), each], ["i", "j", "n", "cost", "s"])
-
-        parts = data.mapInArrow(run, "i int, j int, n double, cost double, s array<double>")
-        return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
-
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(centres[live])
-        got = passed(shared).toArrow()
-        shared.destroy()
-        moved = centres[live].copy()
-        i, j = got["i"].to_numpy(), got["j"].to_numpy()
-        moved[i, j] = _rows_of(got["s"].combine_chunks()) / got["n"].to_numpy()[:, None]
-        costs[live] = np.bincount(i, got["cost"].to_numpy(), len(live))
-        resting = ((moved - centres[live]) ** 2).sum((1, 2)) <= least_move
-        centres[live] = moved
-        live = live[~resting]
-        if not len(live):
-            break
+    best = _fitted(data, [k], starts, rounds, seed)[0].centres
     data.unpersist()
-    best = centres[int(np.argmin(costs))]
-    best = best[np.lexsort(best.T[::-1])] + centre
-    shared = spark.sparkContext.broadcast(best)
+    shared = df.sparkSession.sparkContext.broadcast((best, data.middle))
 
     @F.pandas_udf("int")
     def label(v: pd.Series) -> pd.Series:
         x = np.array(v.tolist(), float).reshape(len(v), -1)
-        return pd.Series(_nearest(x - shared.value.mean(0), shared.value - shared.value.mean(0))[0].astype("int32"))
+        return pd.Series(lloyd.nearest(x - shared.value[1], shared.value[0])[0].astype("int32"))
 
     return df.withColumn(out, label(F.transform(vector, lambda x: x.cast("double"))))
 
@@ -145,52 +110,84 @@ def _distances(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
     return keys, np.sqrt(d, out=d)
 
 
+def _moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], ...]:
+    """Of each labelling's clusters: sizes and mean vectors; or, given centres, sums of distances and of their squares. One pass for all labellings.
+
+    rows: codes array<int> and v; what reaches the driver is one row a cluster.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+    width = len(middle) if centres is None else 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = [np.zeros(k) for k in sizes], [np.zeros((k, width)) for k in sizes]
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = lloyd.matrix_of(batch.column("v")) - middle
+            codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            for i, k in enumerate(sizes):
+                there = codes[:, i] >= 0
+                code, part = codes[there, i], x[there]
+                if shared.value is not None:
+                    d = ((part - shared.value[i][code]) ** 2).sum(1)
+                    part = np.column_stack([np.sqrt(d), d])
+                member = np.zeros((len(part), k))
+                member[np.arange(len(part)), code] = 1
+                n[i] += member.sum(0)
+                sums[i] += member.T @ part
+        for i in range(len(sizes)):
+            j = np.flatnonzero(n[i])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1) * width, pa.int32()), pa.array(sums[i][j].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(j), pa.int32()), pa.array(j, pa.int32()), pa.array(n[i][j]), each], ["i", "j", "n", "s"])
+
+    parts = rows.select("codes", "v").mapInArrow(run, "i int, j int, n double, s array<double>")
+    got = parts.groupBy("i", "j").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).collect()
+    n, sums = [np.zeros(k) for k in sizes], [np.zeros((k, width)) for k in sizes]
+    for r in got:
+        n[r.i][r.j], sums[r.i][r.j] = r.n, r.s
+    return n, sums
+
+
 def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = STARTS, seed: int = 42) -> DataFrame:
-    """(k, silhouette, calinski, davies_bouldin, inertia) of the best of several starts for each k.
+    """(k, silhouette, calinski, davies_bouldin, inertia) of the best of several starts for each k; (-1, 0, inf, inf) for fewer than two clusters.
 
-    Up to MATRIX_ROWS rows: one task a k over one broadcast matrix. More: distributed k-means and the
-    distributed measures, one k after another.
+    One algorithm at every size: all k and starts advance in one scan a round; then one scan labels the rows for every k, two
+    give sums by cluster, and one pass over the distances serves the silhouettes of every k.
     """
-    if df.limit(MATRIX_ROWS + 1).count() > MATRIX_ROWS:
-        return _sweep_distributed(df, key, vector, ks, starts, seed)
-    _, x = matrix(df, key, vector)
-    shared = df.sparkSession.sparkContext.broadcast(x)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from taxolens.functions.estimators import kmeans, silhouette_mean
-
-        x = shared.value
-        for b in batches:
-            for k in b["id"]:
-                label, cost = kmeans(x, int(k), seed, starts, ROUNDS)
-                kinds = np.unique(label)
-                if len(kinds) < 2:
-                    yield pd.DataFrame({"k": [int(k)], "silhouette": [-1.0], "calinski": [0.0], "davies_bouldin": [float("inf")], "inertia": [float("inf")]})
-                    continue
-                c = np.array([x[label == j].mean(0) for j in kinds])
-                spread = np.array([np.sqrt(((x[label == j] - c[i]) ** 2).sum(1)).mean() for i, j in enumerate(kinds)])
-                gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
-                np.fill_diagonal(gap, np.inf)
-                n = np.array([(label == j).sum() for j in kinds])
-                between = (n * ((c - x.mean(0)) ** 2).sum(1)).sum()
-                calinski = between / (len(kinds) - 1) / max(cost / max(len(x) - len(kinds), 1), 1e-12)
-                yield pd.DataFrame({"k": [int(k)], "silhouette": [silhouette_mean(x, label)], "calinski": [calinski], "davies_bouldin": [((spread[:, None] + spread[None]) / gap).max(1).mean()], "inertia": [cost]})
-
-    ids = df.sparkSession.createDataFrame([(int(k),) for k in ks], "id int").repartition(len(ks))
-    return ids.mapInPandas(run, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
-
-
-def _sweep_distributed(df: DataFrame, key: str, vector: str, ks: list[int], starts: int, seed: int) -> DataFrame:
-    rows = []
-    for k in ks:
-        one = forced(df.select(key, vector), vector, k, starts, seed=seed).persist()
-        if one.select("cluster").distinct().count() < 2:
-            rows.append((int(k), -1.0, 0.0, math.inf, math.inf))
-        else:
-            parts = (geometry.silhouette(one, key, "cluster", vector), geometry.calinski_harabasz(one, "cluster", vector), geometry.davies_bouldin(one, "cluster", vector), geometry.inertia(one, "cluster", vector))
-            rows.append((int(k), *(float(p.first()[0]) for p in parts)))
-        one.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, calinski double, davies_bouldin double, inertia double")
+    spark = df.sparkSession
+    data = lloyd.table(df, vector)
+    ks = [int(k) for k in ks]
+    shape = "k int, silhouette double, calinski double, davies_bouldin double, inertia double"
+    total = sum(n for n, _ in data.spread.values())
+    if not total:
+        return spark.createDataFrame([(k, -1.0, 0.0, math.inf, math.inf) for k in ks], shape)
+    models = _fitted(data, ks, starts, ROUNDS, seed)
+    sizes = [len(m.centres) for m in models]
+    rows = lloyd.labels(data, models).persist()
+    n, sums = _moments(rows, sizes, data.middle)
+    centres = [s / np.maximum(c, 1)[:, None] for s, c in zip(sums, n, strict=True)]
+    _, away = _moments(rows, sizes, data.middle, centres)
+    values = geometry.silhouettes(rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), F.lit(0).alias("grp"), "codes", "v"), sizes)
+    near = {r.pos: r.s for r in values.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()}
+    out = []
+    for i, k in enumerate(ks):
+        j = np.flatnonzero(n[i])
+        if len(j) < 2:
+            out.append((k, -1.0, 0.0, math.inf, math.inf))
+            continue
+        c, size, spread, within = centres[i][j], n[i][j], away[i][j, 0] / n[i][j], away[i][j, 1].sum()
+        gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+        np.fill_diagonal(gap, np.inf)
+        middle = (size[:, None] * c).sum(0) / total
+        between = (size * ((c - middle) ** 2).sum(1)).sum()
+        calinski = between / (len(j) - 1) / max(within / max(total - len(j), 1), 1e-12)
+        out.append((k, float(near[i]), float(calinski), float(((spread[:, None] + spread[None]) / gap).max(1).mean()), float(within)))
+    rows.unpersist()
+    data.unpersist()
+    return spark.createDataFrame(out, shape)
 
 
 def natural_k(curve: DataFrame, low: int, high: int) -> DataFrame:
@@ -202,56 +199,51 @@ def natural_k(curve: DataFrame, low: int, high: int) -> DataFrame:
     return curves.vote(votes, low, high)
 
 
-def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], references: int = 10, seed: int = 42, starts: int = 10) -> DataFrame:
-    """(k, gap, s): against uniform boxes, one task for each pair of k and reference."""
-    _, x = matrix(df, key, vector)
-    shared = df.sparkSession.sparkContext.broadcast(x)
+def _boxes(spark: SparkSession, n: int, low: np.ndarray, high: np.ndarray, references: int, seed: int) -> DataFrame:
+    """(grp, v): n uniform rows in a box for each reference, made on executors; a row depends on the seed, its reference and its place alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from taxolens.functions.estimators import kmeans
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            grp, at = ids // n, ids % n
+            x = np.empty((len(ids), len(low)))
+            for i, (g, r) in enumerate(zip(grp.tolist(), at.tolist(), strict=True)):
+                x[i] = np.random.Generator(np.random.Philox(key=[seed, g], counter=[0, 0, 0, r])).random(len(low))
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(low), pa.int32()), pa.array((low + x * (high - low)).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(grp + 1, pa.int32()), each], ["grp", "v"])
 
-        x = shared.value
-        for b in batches:
-            for k, r in zip(b["k"], b["r"], strict=True):
-                data = x if r < 0 else np.random.default_rng(seed + int(r)).uniform(x.min(0), x.max(0), x.shape)
-                yield pd.DataFrame({"k": [int(k)], "r": [int(r)], "w": [float(np.log(max(kmeans(data, int(k), seed, starts)[1], 1e-300)))]})
+    return spark.range(0, n * references).mapInArrow(run, "grp int, v array<double>")
 
-    jobs = df.sparkSession.createDataFrame([(k, r) for k in ks for r in range(-1, references)], "k int, r int").repartition(len(ks) * 2)
-    got = jobs.mapInPandas(run, "k int, r int, w double")
-    return got.groupBy("k").agg((F.avg(F.when(F.col("r") >= 0, F.col("w"))) - F.max(F.when(F.col("r") < 0, F.col("w")))).alias("gap"), (F.stddev_pop(F.when(F.col("r") >= 0, F.col("w"))) * F.sqrt(F.lit(1 + 1 / references))).alias("s"))
 
+def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], references: int = 10, seed: int = 42, starts: int = 10) -> DataFrame:
+    """(k, gap, s): against uniform boxes around the rows.
 
-def divisive(df: DataFrame, key: str, vector: str, k: int, min_size: int = 10, seed: int = 42) -> DataFrame:
-    """(key, cluster): always splits the cluster that is most varied, separable and large, in two.
-
-    Priority: mean column variance x (1 + silhouette of the split) x ln(size + 1); clusters of fewer than
-    2 min_size rows, and those whose split fails, are not split. A cluster's split is worked out once.
+    The references are made on executors and clustered with the rows: every pair of k and reference, all starts,
+    in one scan a round.
     """
-    from taxolens.functions.estimators import kmeans, silhouette_mean
-
-    keys, x = matrix(df, key, vector)
-
-    def judge(rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray | None]:
-        if len(rows) < 2 * min_size:
-            return -1.0, rows, None
-        label, _ = kmeans(x[rows], 2, seed, 3)
-        if len(np.unique(label)) < 2:
-            return -1.0, rows, None
-        return float(x[rows].var(0).mean() * (1 + silhouette_mean(x[rows], label)) * np.log(len(rows) + 1)), rows, label
-
-    judged = [judge(np.arange(len(x)))]
-    while len(judged) < k:
-        at = max(range(len(judged)), key=lambda i: (judged[i][0], -i))
-        score, rows, label = judged[at]
-        if score <= 0:
-            break
-        judged[at : at + 1] = []
-        judged += [judge(rows[label == 0]), judge(rows[label == 1])]
-    parts = [rows for _, rows, _ in judged]
-    cluster = np.zeros(len(x), int)
-    for i, rows in enumerate(parts):
-        cluster[rows] = i
-    return df.sparkSession.createDataFrame(pd.DataFrame({key: keys, "cluster": cluster.astype("int32")}))
+    spark = df.sparkSession
+    own = df.where(F.col(vector).isNotNull()).select(F.lit(0).alias("grp"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    edges = own.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("at").collect()
+    shape = "k int, gap double, s double"
+    if not edges:
+        return spark.createDataFrame([], shape)
+    low, high, n = np.array([r.low for r in edges]), np.array([r.high for r in edges]), edges[0].n
+    data = lloyd.table(own.union(_boxes(spark, n, low, high, references, seed)), "v", group="grp")
+    hashed = data.rows.withColumn("at", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("v"), "v"))).where(F.col("at") <= GAP_INIT)
+    got = hashed.orderBy("grp", "at").select("grp", "v").toArrow()
+    groups, some = got["grp"].to_numpy(), lloyd.matrix_of(got["v"].combine_chunks()) - data.middle
+    models = {(g, k): [] for g in range(references + 1) for k in ks}
+    for g in range(references + 1):
+        for c in lloyd.first_centres(some[groups == g], max(ks), starts, seed):
+            for k in ks:
+                models[g, k].append(lloyd.Model(c[:k].copy(), g))
+    lloyd.advance(data, [m for each in models.values() for m in each], ROUNDS)
+    data.unpersist()
+    out = []
+    for k in ks:
+        w = np.log(np.maximum([min(m.cost for m in models[g, k]) for g in range(references + 1)], 1e-300))
+        out.append((int(k), float(w[1:].mean() - w[0]), float(w[1:].std() * math.sqrt(1 + 1 / references))))
+    return spark.createDataFrame(out, shape)
 
 
 def tree(df: DataFrame, key: str, vector: str, method: str = "ward") -> DataFrame:

@@ -112,56 +112,150 @@ def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     return worst.agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("davies_bouldin"))
 
 
-def silhouette_rows(df: DataFrame, key: str, cluster: str, vector: str, block: int = 4096) -> DataFrame:
-    """(key, cluster, silhouette) of every row, Euclidean, exact; 0 in a cluster of one.
-
-    All distances are needed: quadratic in time by definition. Rows are packed into blocks, every block
-    meets every block, and a meeting is one matrix product whose distance sums by cluster are merged by
-    key. No pair becomes a row, nothing passes the driver, and a task holds two blocks.
+#: Rows of a block of the distance work, rows that a block meets in one task, and bytes of its sums.
+BLOCK, STRIP, SUM_BYTES = 2048, 1 << 20, 32 << 20
+
+
+def _silhouette(codes: np.ndarray, sums: np.ndarray, counts: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Silhouettes of rows from their distance sums to every cluster of every labelling; 0 for rows alone, without a label or with no other cluster."""
+    out = np.zeros(codes.shape)
+    at = 0
+    for i, k in enumerate(sizes):
+        n, s, own = counts[at : at + k], sums[:, at : at + k], codes[:, i]
+        at += k
+        ok = np.flatnonzero((own >= 0) & (n[np.maximum(own, 0)] > 1))
+        if not len(ok) or (n > 0).sum() < 2:
+            continue
+        a = s[ok, own[ok]] / (n[own[ok]] - 1)
+        other = np.where(n > 0, s[ok] / np.maximum(n, 1), np.inf)
+        other[np.arange(len(ok)), own[ok]] = np.inf
+        b = other.min(1)
+        top = np.maximum(a, b)
+        out[ok, i] = np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0.0)
+    return out
+
+
+def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, strip: int | None = None) -> DataFrame:
+    """(keep, silhouettes): exact Euclidean silhouettes of every row for several labellings at once.
+
+    rows: keep (a struct), grp int, codes array<int> (its cluster in each labelling, from 0; -1: none), v array<double>;
+    sizes: clusters of each labelling.  Rows are compared inside their group.
+
+    All distances are needed: quadratic in time by definition.  Rows are packed into blocks, stored once.  A task
+    takes some blocks and one strip of all rows; while a block meets the strip's blocks, each a matrix product, its distance sums by
+    cluster are kept, and one row a block and strip leaves.  Up to STRIP rows there is one strip, and sums never
+    leave their task.  No pair becomes a row, nothing passes the driver.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("own"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    key_type, kind_type = (rows.schema[c].dataType.simpleString() for c in ("key", "own"))
+    from taxolens.sources.sinks import bound_batches, scratch
+
+    spark = rows.sparkSession
+    kinds = sum(sizes)
+    n = rows.count()
+    cores = spark.sparkContext.defaultParallelism
+    block = max(64, min(block or BLOCK, -(-n // cores), SUM_BYTES // (8 * max(kinds, 1))))
+    keep = rows.schema["keep"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), block):
-                part = batch.slice(lo, block)
-                ends = pa.array([0, len(part)], pa.int32())
-                kinds = part.column("own").dictionary_encode()
-                points = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
-                code = kinds.indices.to_numpy(zero_copy_only=False).astype("<i4")
-                each = [pa.ListArray.from_arrays(ends, part.column("key")), pa.ListArray.from_arrays(pa.array([0, len(kinds.dictionary)], pa.int32()), kinds.dictionary)]
-                yield pa.RecordBatch.from_arrays([*each, pa.array([code.tobytes()], pa.binary()), pa.array([points.tobytes()], pa.binary())], ["key", "kind", "code", "points"])
+            groups = batch.column("grp").to_numpy()
+            for g in np.unique(groups).tolist():
+                own = batch.filter(pa.array(groups == g))
+                for lo in range(0, len(own), block):
+                    part = own.slice(lo, block)
+                    points = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
+                    code = part.column("codes").flatten().to_numpy(zero_copy_only=False).astype("<i4")
+                    each = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("keep"))
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), each, pa.array([code.tobytes()], pa.binary()), pa.array([points.tobytes()], pa.binary())], ["grp", "keep", "codes", "points"])
+
+    bound_batches(spark)
+    path = scratch(spark, "blocks")
+    made = rows.select("grp", "keep", "codes", "v").mapInArrow(pack, f"grp int, keep array<{keep}>, codes binary, points binary")
+    made.withColumn("block", F.monotonically_increasing_id()).write.parquet(path)
+    packed = spark.read.parquet(path)
+    strips = max(1, -(-n // (strip or STRIP)))
+    left = packed.repartition(max(1, min(-(-n // block), 4 * cores)))
+    right = packed.select(F.col("grp").alias("grp2"), F.col("block").alias("block2"), F.col("codes").alias("codes2"), F.col("points").alias("points2"))
+    right = right.repartition(strips) if strips > 1 else right.coalesce(1)
+
+    def members(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), kinds))
+        at = 0
+        for i, k in enumerate(sizes):
+            some = np.flatnonzero(codes[:, i] >= 0)
+            out[some, at + codes[some, i]] = 1
+            at += k
+        return out
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, sums, counts = None, None, None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                if batch.column("block")[i].as_py() != now:
+                    if held is not None:
+                        yield leaving(held, sums, counts)
+                    now, held = batch.column("block")[i].as_py(), batch.slice(i, 1)
+                    x = np.frombuffer(batch.column("points")[i].as_buffer(), float)
+                    x = x.reshape(len(batch.column("keep")[i]), -1)
+                    sums, counts = np.zeros((len(x), kinds)), np.zeros(kinds)
+                if batch.column("grp")[i].as_py() != batch.column("grp2")[i].as_py():
+                    continue
+                codes = np.frombuffer(batch.column("codes2")[i].as_buffer(), "<i4").reshape(-1, len(sizes))
+                y = np.frombuffer(batch.column("points2")[i].as_buffer(), float).reshape(len(codes), -1)
+                member, middle = members(codes), y.mean(0)
+                a, b = x - middle, y - middle
+                d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+                if batch.column("block2")[i].as_py() == now:
+                    np.fill_diagonal(d, 0.0)
+                sums += np.sqrt(np.maximum(d, 0.0)) @ member
+                counts += member.sum(0)
+        if held is not None:
+            yield leaving(held, sums, counts)
+
+    def leaving(held: pa.RecordBatch, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        if strips == 1:
+            return finished(held, sums, counts)
+        return pa.RecordBatch.from_arrays([held.column("block"), held.column("keep"), held.column("codes"), pa.array([sums.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["block", "keep", "codes", "sums", "counts"])
+
+    def finished(held: pa.RecordBatch, sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        codes = np.frombuffer(held.column("codes")[0].as_buffer(), "<i4").reshape(len(sums), -1)
+        value = _silhouette(codes, sums, counts, sizes)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * len(sizes), pa.int32()), pa.array(value.ravel()))
+        return pa.RecordBatch.from_arrays([held.column("keep")[0].values, each], ["keep", "silhouettes"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, counts = None, None, None
         for batch in batches:
             for i in range(len(batch)):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), float) for c in ("points", "points2"))
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i4") for c in ("code", "code2"))
-                x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
-                middle = y.mean(0)
-                x, y = x - middle, y - middle
-                kinds = batch.column("kind2")[i].values
-                member = np.zeros((len(b), len(kinds)))
-                member[np.arange(len(b)), b] = 1
-                sums = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0.0)) @ member
-                own = batch.column("kind")[i].values.take(pa.array(a))
-                for j in range(len(kinds)):
-                    yield pa.RecordBatch.from_arrays([batch.column("key")[i].values, own, kinds.take(pa.array([j] * len(a), pa.int32())), pa.array(np.ascontiguousarray(sums[:, j]))], ["key", "own", "other", "s"])
-
-    packed = rows.mapInArrow(pack, f"key array<{key_type}>, kind array<{kind_type}>, code binary, points binary")
-    other = packed.select(F.col("kind").alias("kind2"), F.col("code").alias("code2"), F.col("points").alias("points2"))
-    every = packed.crossJoin(other).mapInArrow(meet, f"key {key_type}, own {kind_type}, other {kind_type}, s double")
-    sizes = df.groupBy(F.col(cluster).alias("other")).agg(F.count("*").alias("n"))
-    s = every.groupBy("key", "own", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "other")
-    mean = F.when(F.col("own") == F.col("other"), F.col("s") / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
-    ab = s.withColumn("m", mean).groupBy("key", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("b"))
-    top = F.greatest("a", "b")
-    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(top != 0, top))
-    return ab.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
-
-
-def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int = 4096) -> DataFrame:
+                s = np.frombuffer(batch.column("sums")[i].as_buffer(), float).reshape(-1, kinds)
+                c = np.frombuffer(batch.column("counts")[i].as_buffer(), float)
+                if held is not None and batch.column("block")[i] == held.column("block")[0]:
+                    sums, counts = sums + s, counts + c
+                    continue
+                if held is not None:
+                    yield finished(held, sums, counts)
+                held, sums, counts = batch.slice(i, 1), s, c
+        if held is not None:
+            yield finished(held, sums, counts)
+
+    pairs = left.crossJoin(right)
+    if strips == 1:
+        return pairs.mapInArrow(meet, f"keep {keep}, silhouettes array<double>")
+    parts = pairs.mapInArrow(meet, f"block bigint, keep array<{keep}>, codes binary, sums binary, counts binary")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, f"keep {keep}, silhouettes array<double>")
+
+
+def silhouette_rows(df: DataFrame, key: str, cluster: str, vector: str, block: int | None = None, strip: int | None = None) -> DataFrame:
+    """(key, cluster, silhouette) of every row, Euclidean, exact; 0 in a cluster of one, without a cluster, or where there is no other."""
+    names = sorted((r[0] for r in df.select(cluster).where(F.col(cluster).isNotNull()).distinct().collect()), key=str)
+    code = df.sparkSession.createDataFrame(list(enumerate(names)), f"_code int, _own {df.schema[cluster].dataType.simpleString()}") if names else None
+    rows = df.select(F.struct(F.col(key).alias("key"), F.col(cluster).alias("own")).alias("keep"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    rows = rows.join(F.broadcast(code), F.col("keep.own") == F.col("_own"), "left") if names else rows.withColumn("_code", F.lit(None).cast("int"))
+    rows = rows.select("keep", F.lit(0).alias("grp"), F.array(F.coalesce("_code", F.lit(-1))).alias("codes"), "v")
+    got = silhouettes(rows, [max(len(names), 1)], block, strip)
+    return got.select(F.col("keep.key").alias(key), F.col("keep.own").alias(cluster), F.get("silhouettes", F.lit(0)).alias("silhouette"))
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str, block: int | None = None) -> DataFrame:
     return silhouette_rows(df, key, cluster, vector, block).agg(F.avg("silhouette").alias("silhouette"))
 
 

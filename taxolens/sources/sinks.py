@@ -31,6 +31,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bounds the bytes of a batch for Python workers, which Spark bounds by rows, unless the session bounds them closer."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(conf)) > size:
+        spark.conf.set(conf, str(size))
+
+
 def paths(root: str) -> dict[str, str]:
     return {k: f"{root.rstrip('/')}/{v}" for k, v in LAYOUT.items()}
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxolens.functions import estimators
-from taxolens.operators import cluster, engineer, geometry, select
+from taxolens.operators import cluster, divisive, engineer, geometry, lloyd, select
 from taxolens.plans.models import FeatureEngineer, FeatureSelector, NotFitted, Scaler
 from taxolens.sources import readers
 
@@ -106,17 +106,96 @@ def test_forced_finds_the_best_of_all_starts(spark):
     assert cluster.forced(vectors(spark, np.ones((4, 2))), "v", 3, 2).select("cluster").distinct().count() == 1
 
 
-def test_sweep_beyond_one_matrix(spark, monkeypatch):
+def measures_of(x, label):
+    kinds = np.unique(label)
+    davies, calinski = estimators.partition_measures(x, label)
+    return estimators.silhouette_mean(x, label), calinski, davies, sum(((x[label == c] - x[label == c].mean(0)) ** 2).sum() for c in kinds)
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_sweep_has_one_result_however_rows_are_tiled(spark, monkeypatch, block):
+    """All measures are those of the labels that forced gives, whether a tile holds all rows or rounds need a scan each."""
+    monkeypatch.setattr(lloyd, "BLOCK", block)
     x, _ = blobs(300, 4, 3)
     df = vectors(spark, x)
-    small = {r.k: r for r in cluster.sweep(df, "id", "v", [2, 3, 4, 5], 8).collect()}
-    monkeypatch.setattr(cluster, "MATRIX_ROWS", 100)
-    large = {r.k: r for r in cluster.sweep(df, "id", "v", [2, 3, 4, 5], 8).collect()}
-    for k in (2, 3, 4):
-        assert all(large[k][c] == pytest.approx(small[k][c], rel=0.02) for c in ("silhouette", "calinski", "davies_bouldin", "inertia"))
+    got = {r.k: r for r in cluster.sweep(df, "id", "v", [2, 3, 4, 5], 8).collect()}
+    for k in got:
+        label = cluster.forced(df, "v", k, 8).toPandas().sort_values("id")["cluster"].to_numpy()
+        for name, want in zip(("silhouette", "calinski", "davies_bouldin", "inertia"), measures_of(x, label)):
+            assert got[k][name] == pytest.approx(want, rel=1e-6), (k, name)
     assert cluster.natural(df, "id", "v", 2, 6, 4).select("cluster").distinct().count() == cluster.natural_k(cluster.sweep(df, "id", "v", [2, 3, 4, 5, 6], 4), 2, 6).first().k
-    with pytest.raises(ValueError):
-        cluster.divisive(df, "id", "v", 4)
+
+
+def test_tiles_of_any_size_give_equal_sweeps(spark, monkeypatch):
+    x, _ = blobs(400, 5, 6)
+    df = vectors(spark, x).repartition(3)
+    results = []
+    for block, most in ((4096, 64 << 20), (64, 64 << 20), (64, 4000)):
+        monkeypatch.setattr(lloyd, "BLOCK", block)
+        monkeypatch.setattr(lloyd, "CENTRE_BYTES", most)
+        results.append(cluster.sweep(df, "id", "v", [3, 5, 8], 4).toPandas().sort_values("k").to_numpy())
+    assert np.allclose(results[0], results[1], rtol=1e-9) and np.allclose(results[0], results[2], rtol=1e-9)
+
+
+def test_sweeps_of_odd_tables(spark):
+    flat = vectors(spark, np.ones((6, 2)))
+    assert [tuple(r) for r in cluster.sweep(flat, "id", "v", [2], 2).collect()] == [(2, -1.0, 0.0, float("inf"), float("inf"))]
+    assert cluster.sweep(flat.limit(0), "id", "v", [2, 3], 2).count() == 2
+    assert cluster.divisive(flat, "id", "v", 3, 1).toPandas()["cluster"].tolist() == [0] * 6
+    assert cluster.divisive(flat.limit(0), "id", "v", 3, 1).count() == 0 and cluster.gap_statistic(flat.limit(0), "id", "v", [2]).count() == 0
+
+
+def divided(x, k, min_size):
+    """The plain rule: every leaf judged again in every round by exhaustive starts, the best one split."""
+    leaves = [np.arange(len(x))]
+
+    def judge(rows):
+        if len(rows) < 2 * min_size:
+            return -1.0, None
+        label, _ = estimators.kmeans(x[rows], 2, 1, 25, 300)
+        if len(np.unique(label)) < 2:
+            return -1.0, None
+        return x[rows].var(0).mean() * (1 + estimators.silhouette_mean(x[rows], label)) * np.log(len(rows) + 1), label
+
+    while len(leaves) < k:
+        judged = [judge(rows) for rows in leaves]
+        at = max(range(len(leaves)), key=lambda i: (judged[i][0], -i))
+        if judged[at][0] <= 0:
+            break
+        rows = leaves.pop(at)
+        leaves += [rows[judged[at][1] == 0], rows[judged[at][1] == 1]]
+    out = np.zeros(len(x), int)
+    for i, rows in enumerate(leaves):
+        out[rows] = i
+    return out
+
+
+@pytest.mark.parametrize("leaf", [4096, 60, 0])
+def test_divisive_against_the_plain_rule(spark, monkeypatch, leaf):
+    """Whether a task takes a whole leaf or scans judge all leaves of a level."""
+    monkeypatch.setattr(divisive, "LEAF", leaf)
+    x, _ = blobs(360, 7, 3)
+    got = cluster.divisive(vectors(spark, x).repartition(4), "id", "v", 7, 10).toPandas().sort_values("id")["cluster"].to_numpy()
+    assert len(got) == 360 and estimators.agreement(got, divided(x, 7, 10))[1] == pytest.approx(1)
+
+
+def test_queue_takes_nodes_by_their_least_score():
+    scores = {"": 9.0, "0": 2.0, "1": 8.0, "10": 7.0, "11": 1.0, "00": 5.0, "01": -1.0}
+    assert divisive._queue(3, scores) == (["0", "10", "11"], True)
+    assert divisive._queue(4, scores) == (["0", "11", "100", "101"], True)
+    assert divisive._queue(5, scores)[1] is False  # the score of 100 isn't known
+    assert divisive._wanted(3, scores) == [] and divisive._wanted(4, scores) == ["100", "101"]
+
+
+def test_gap_against_a_closed_form(spark):
+    """One cluster: the log of the sum of squares around the mean, against those of the seeded boxes."""
+    x, _ = blobs(80, 2, 3)
+    got = cluster.gap_statistic(vectors(spark, x), "id", "v", [1, 2, 3], 4).toPandas().set_index("k")
+    boxes = cluster._boxes(spark, 80, x.min(0), x.max(0), 4, 42).toPandas()
+    assert boxes.groupby("grp").size().tolist() == [80] * 4
+    logs = [np.log(((b - b.mean(0)) ** 2).sum()) for b in (np.array(g["v"].tolist()) for _, g in boxes.groupby("grp"))]
+    assert got.loc[1, "gap"] == pytest.approx(np.mean(logs) - np.log(((x - x.mean(0)) ** 2).sum()), rel=1e-9)
+    assert got.loc[1, "s"] == pytest.approx(np.std(logs) * np.sqrt(1.25), rel=1e-6) and got.loc[2, "gap"] > got.loc[1, "gap"]
 
 
 def test_refusals_by_size(spark, monkeypatch):
@@ -137,8 +216,9 @@ def test_silhouette_blocks_of_any_size(spark):
     label = np.where(np.arange(90) == 7, 9, label)  # a cluster of one
     rows = vectors(spark, x, c=label).repartition(4)
     want = {r.id: r.silhouette for r in geometry.silhouette_rows(rows, "id", "c", "v").collect()}
-    got = {r.id: r.silhouette for r in geometry.silhouette_rows(rows, "id", "c", "v", 7).collect()}
-    assert len(got) == 90 and got[7] == 0 and all(got[i] == pytest.approx(want[i]) for i in got)
+    for block, strip in ((64, None), (64, 40)):
+        got = {r.id: r.silhouette for r in geometry.silhouette_rows(rows, "id", "c", "v", block, strip).collect()}
+        assert len(got) == 90 and got[7] == 0 and all(got[i] == pytest.approx(want[i]) for i in got)
     assert np.mean(list(got.values())) == pytest.approx(estimators.silhouette_mean(x, label))
 
 
