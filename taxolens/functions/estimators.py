@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 
-def _digamma(x: np.ndarray | float) -> np.ndarray:
+def digamma(x: np.ndarray | float) -> np.ndarray:
     x = np.asarray(x, float).copy()
     out = np.zeros_like(x)
     while (small := x < 6).any():
@@ -43,7 +43,7 @@ def knn_mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int =
     x, radius, ks, sizes = x[kept], radius[kept], ks[kept], sizes[kept]
     s = np.sort(x)
     near = np.searchsorted(s, x + radius, "right") - np.searchsorted(s, x - radius, "left")
-    return max(0.0, float(_digamma(len(x)) + _digamma(ks).mean() - _digamma(sizes).mean() - _digamma(np.maximum(near, 1)).mean()))
+    return max(0.0, float(digamma(len(x)) + digamma(ks).mean() - digamma(sizes).mean() - digamma(np.maximum(near, 1)).mean()))
 
 
 def yeo_johnson_values(x: np.ndarray, lam: float) -> np.ndarray:
@@ -85,46 +85,6 @@ def yeo_johnson_exponent(x: np.ndarray, low: float = -4.0, high: float = 4.0) ->
     return float((a + b) / 2)
 
 
-def random_tree_importance(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, random_cuts: bool = True) -> np.ndarray:
-    """Impurity decrease of each column in one randomised tree, summing to 1 (or all 0)."""
-    n, d = x.shape
-    classes = int(y.max()) + 1 if len(y) else 1
-    out = np.zeros(d)
-    tries = max(1, int(math.sqrt(d)))
-
-    def gini(c: np.ndarray) -> float:
-        t = c.sum()
-        return 1.0 - float(((c / t) ** 2).sum()) if t else 0.0
-
-    stack = [(np.arange(n), 0)]
-    while stack:
-        rows, level = stack.pop()
-        counts = np.bincount(y[rows], minlength=classes)
-        here = gini(counts)
-        if level >= depth or len(rows) < 2 or here == 0:
-            continue
-        best = None
-        for j in rng.permutation(d)[: tries * 3]:
-            v = x[rows, j]
-            lo, hi = v.min(), v.max()
-            if lo == hi:
-                continue
-            cut = rng.uniform(lo, hi) if random_cuts else float(np.median(v))
-            left = v <= cut
-            nl = int(left.sum())
-            if nl in (0, len(rows)):
-                continue
-            cl = np.bincount(y[rows[left]], minlength=classes)
-            gain = here - (nl * gini(cl) + (len(rows) - nl) * gini(counts - cl)) / len(rows)
-            if best is None or gain > best[0]:
-                best = (gain, j, left)
-        if best is None:
-            continue
-        out[best[1]] += best[0] * len(rows) / n
-        stack += [(rows[best[2]], level + 1), (rows[~best[2]], level + 1)]
-    return out / out.sum() if out.sum() > 0 else out
-
-
 def linkage(d: np.ndarray, method: str) -> np.ndarray:
     """Agglomeration of a square distance matrix by nearest-neighbour chains: rows (left, right, distance, size).
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolens.functions.numeric import clean, unit_range
@@ -16,8 +16,6 @@ from taxolens.functions.numeric import clean, unit_range
 WEIGHTS = {"anova": 0.25, "mutual_info": 0.20, "random_forest": 0.20, "extra_trees": 0.15, "variance": 0.10, "cluster_separation": 0.10}
 #: Depth of trees that the studied system grows without a limit.
 FREE_DEPTH = 20
-#: Bytes of the matrix that the extra trees share.
-TREE_BYTES = 1 << 30
 
 
 def melt(df: DataFrame, key: str, columns: list[str], *keep: str) -> DataFrame:
@@ -115,18 +113,52 @@ def binned_mi(long: DataFrame, by: str, bins: int = 8) -> DataFrame:
     return c.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("t") * F.col("n") / (F.col("ng") * F.col("nb")))).alias("mi"))
 
 
-def knn_mi(long: DataFrame, by: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """(feature, mi): neighbour estimate of mutual information between a number and a class, held at 0 from below.
-
-    One feature is one group; its values are sorted once, and neighbours are found in the sorted lists.
-    """
+def _jitter(key: str) -> Column:
+    """A number in [-0.5, 0.5) for each row and feature, the same in every run."""
+    return F.pmod(F.xxhash64(key, "feature"), F.lit(1 << 40)) / float(1 << 40) - 0.5
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from taxolens.functions.estimators import knn_mutual_information
 
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mi": [knn_mutual_information(pdf["value"].to_numpy(float), pdf["label"].to_numpy(), k, seed)]})
+def knn_mi(long: DataFrame, by: str, key: str, k: int = 3, jitter: Column | None = None) -> DataFrame:
+    """(feature, mi): neighbour estimate of mutual information between a number and a class, held at 0 from below.
 
-    return long.select("feature", F.col(by).cast("string").alias("label"), F.coalesce("value", F.lit(0.0)).alias("value")).groupBy("feature").applyInPandas(one, "feature string, mi double")
+    Values are divided by their feature's deviation and moved by a tiny jitter, which parts ties. Classes of one row
+    are left out; nulls count as 0. No group holds a column: order statistics come from two range-sorted passes
+    whose tasks know what lies beyond their edges (see operators/ordered.py). By feature and class, the k-th neighbour
+    inside the class; by feature, how many values lie nearer than that. key: tells a feature's rows apart.
+    """
+    from taxolens.functions.estimators import digamma
+    from taxolens.operators import ordered
+
+    spark = long.sparkSession
+    rows = long.select("feature", F.col(by).cast("string").alias("label"), F.col(key).alias("key"), F.coalesce("value", F.lit(0.0)).cast("double").alias("x"), (_jitter(key) if jitter is None else jitter).alias("_j")).where("label is not null")
+    facts = rows.groupBy("feature").agg(F.stddev_pop("x").alias("s"), F.avg(F.abs("x")).alias("m"))
+    facts = facts.select("feature", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"), F.greatest(F.lit(1.0), "m").alias("m")).withColumn("f", F.row_number().over(Window.orderBy("feature")) - 1)
+    names = {r.f: (r.feature, r.s, r.m) for r in facts.collect()}
+    labels = sorted(r[0] for r in rows.select("label").distinct().collect())
+    if not names:
+        return spark.createDataFrame([], "feature string, mi double")
+    codes = spark.createDataFrame(list(enumerate(labels)), "c int, label string")
+    known = spark.createDataFrame([(n, i, s, m) for i, (n, s, m) in names.items()], "feature string, f int, s double, m double")
+    made = rows.join(F.broadcast(known), "feature").join(F.broadcast(codes), "label")
+    x = F.col("x") / F.col("s") + 1e-10 * F.col("m") * F.col("_j")
+    made = made.select((F.col("f").cast("bigint") * len(labels) + F.col("c")).alias("g"), x.alias("at"), F.lit(1).alias("kind"), F.xxhash64("key").alias("id")).persist()
+    sizes = {r.g: r.n for r in made.groupBy("g").agg(F.count("*").alias("n")).collect() if r.n > 1}
+    near = ordered.counts_within(ordered.radii(made, k, sizes), len(labels))
+
+    @F.pandas_udf("double")
+    def psi(n: pd.Series) -> pd.Series:
+        return pd.Series(digamma(n.to_numpy(float)))
+
+    got = {r.f: r.s for r in near.groupBy("f").agg(F.sum(psi(F.greatest("n", F.lit(1)))).alias("s")).collect()}
+    made.unpersist()
+    out = []
+    for f, (name, _, _) in names.items():
+        n = np.array([sizes.get(f * len(labels) + c, 0) for c in range(len(labels))], float)
+        n = n[n > 0]
+        total = n.sum()
+        mi = float(digamma(total) + ((n * digamma(np.minimum(k, n - 1))).sum() - (n * digamma(n)).sum() - got[f]) / total) if total else 0.0
+        out.append((name, max(0.0, mi)))
+    return spark.createDataFrame(out, "feature string, mi double")
 
 
 def ensemble(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -156,7 +188,7 @@ def six_scores(df: DataFrame, key: str, label: str, columns: list[str], clusters
     rows = df.select(F.col(label).alias("_label"), F.array(*[F.coalesce(clean(F.col(f"`{c}`")), F.lit(0.0)) for c in columns]).alias("_v"))
     depth = FREE_DEPTH if alternate else 10
     names = F.array(*[F.lit(c) for c in columns])
-    out = anova(long, label).withColumnRenamed("f", "anova").join(knn_mi(long, label).withColumnRenamed("mi", "mutual_info"), "feature", "full")
+    out = anova(long, label).withColumnRenamed("f", "anova").join(knn_mi(long, label, key).withColumnRenamed("mi", "mutual_info"), "feature", "full")
     for name, one in (("random_forest", forest_importance(rows, "_label", "_v", 100, depth)), ("extra_trees", tree_importance(rows, "_label", "_v", 100, depth))):
         out = out.join(one.select(F.get(names, F.col("pos")).alias("feature"), F.col("importance").alias(name)), "feature", "full")
     spread = long.groupBy("feature").agg(F.var_pop("value").alias("variance")) if alternate else variance(long)
@@ -182,32 +214,11 @@ def row_sum_rank(scores: DataFrame, columns: list[str], top: int) -> DataFrame:
     return scores.withColumn("total", total).orderBy(F.desc("total"), "feature").limit(top)
 
 
-def tree_importance(df: DataFrame, label: str, vector: str, trees: int = 100, depth: int = 10, seed: int = 42, random_cuts: bool = True) -> DataFrame:
-    """(pos, importance) by an ensemble of randomised trees, one tree a task.
+def tree_importance(df: DataFrame, label: str, vector: str, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
+    """(pos, importance) by extremely randomised trees, grown over the distributed table (see operators/trees.py)."""
+    from taxolens.operators.trees import importances
 
-    Every task grows its trees on one broadcast matrix, of TREE_BYTES at most; larger tables are refused
-    (forest_importance grows trees over a distributed table). Importances are impurity decreases, averaged
-    over trees.
-    """
-    size = df.agg(F.sum(F.size(vector)).alias("n")).first().n or 0
-    if 8 * size > TREE_BYTES:
-        raise ValueError(f"{8 * size} bytes of vectors, more than {TREE_BYTES}: use forest_importance")
-    got = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(label).cast("string").alias("y")).toArrow()
-    width = len(got["v"][0]) if len(got) else 0
-    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got["v"].chunks] or [np.zeros(0)]).reshape(len(got), width)
-    shared = df.sparkSession.sparkContext.broadcast((x, pd.factorize(np.array(got["y"].to_pylist(), object), sort=True)[0]))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from taxolens.functions.estimators import random_tree_importance
-
-        x, y = shared.value
-        for b in batches:
-            for t in b["id"]:
-                imp = random_tree_importance(x, y, depth, np.random.default_rng(seed * 1009 + int(t)), random_cuts)
-                yield pd.DataFrame({"pos": range(len(imp)), "importance": imp})
-
-    grown = df.sparkSession.range(0, trees, 1, min(trees, 32)).mapInPandas(grow, "pos int, importance double")
-    return grown.groupBy("pos").agg(F.avg("importance").alias("importance"))
+    return importances(df, label, vector, trees, depth, seed)
 
 
 def forest_importance(df: DataFrame, label: str, vector: str, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:

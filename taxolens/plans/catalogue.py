@@ -951,9 +951,23 @@ def _(s, d):
     return select.tree_importance(embeddings(s, d), "genre", "v")
 
 
-@query("mi_knn")
+#: A jitter that both sides can work out.
+JITTER = "((track_id * 7919 + dim * 104729) % 1000003) / 1000003.0 - 0.5"
+
+
+@query(
+    "mi_knn",
+    f"{E}, f AS (SELECT track_id, genre, unnest(range(0, 64)) AS dim, unnest(v) AS x FROM e), p AS (SELECT dim, coalesce(nullif(stddev_pop(x), 0), 1) AS s, greatest(1, avg(abs(x))) AS m FROM f GROUP BY dim), z AS (SELECT track_id, genre, dim, x / s + 1e-10 * m * ({JITTER}) AS x FROM f JOIN p USING (dim)), "
+    "w AS (SELECT *, count(*) OVER (PARTITION BY dim, genre) AS n, lag(x, 1) OVER o AS a1, lag(x, 2) OVER o AS a2, lag(x, 3) OVER o AS a3, lead(x, 1) OVER o AS b1, lead(x, 2) OVER o AS b2, lead(x, 3) OVER o AS b3 FROM z WINDOW o AS (PARTITION BY dim, genre ORDER BY x)), "
+    "q AS (SELECT *, list_sort([coalesce(x - a1, 1e300), coalesce(x - a2, 1e300), coalesce(x - a3, 1e300), coalesce(b1 - x, 1e300), coalesce(b2 - x, 1e300), coalesce(b3 - x, 1e300)])[least(3, n - 1)] - 1e-14 * (1 + abs(x)) AS r FROM w WHERE n > 1), "
+    "cn AS (SELECT q.dim, q.track_id, any_value(q.n) AS n, count(*) AS near FROM q JOIN q AS o ON o.dim = q.dim AND o.x BETWEEN q.x - q.r AND q.x + q.r GROUP BY q.dim, q.track_id), "
+    "h AS (SELECT i, coalesce(sum(1.0 / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM e))) AS i)) "
+    "SELECT 'e' || dim AS feature, greatest(0, any_value(t.psi) + avg(k.psi) - avg(s.psi) - avg(u.psi)) AS mi FROM cn JOIN (SELECT dim, count(*) AS t FROM cn GROUP BY dim) USING (dim) JOIN h t ON t.i = t JOIN h k ON k.i = least(3, cn.n - 1) JOIN h s ON s.i = cn.n JOIN h u ON u.i = cn.near GROUP BY dim",
+    "mi",
+)
 def _(s, d):
-    return select.knn_mi(long_embeddings(s, d), "genre")
+    dims = geometry.long(embeddings(s, d), "v", "track_id", "genre").select("track_id", "genre", "dim", F.concat(F.lit("e"), F.col("dim").cast("string")).alias("feature"), F.col("x").alias("value"))
+    return select.knn_mi(dims, "genre", "track_id", jitter=F.expr(JITTER))
 
 
 YJ_AT = "CASE WHEN value >= 0 THEN CASE WHEN abs(lam) < 1e-9 THEN ln(value + 1) ELSE (pow(value + 1, lam) - 1) / lam END ELSE CASE WHEN abs(2 - lam) < 1e-9 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - lam) - 1) / (2 - lam) END END"

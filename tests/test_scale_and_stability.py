@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxolens.functions import estimators
 from taxolens.operators import cluster, divisive, engineer, geometry, lloyd, select
+from taxolens.operators import trees as tree_module
 from taxolens.plans.models import FeatureEngineer, FeatureSelector, NotFitted, Scaler
 from taxolens.sources import readers
 
@@ -205,10 +206,76 @@ def test_refusals_by_size(spark, monkeypatch):
     monkeypatch.setattr(cluster, "TREE_BYTES", 24 * 50 * 50)
     with pytest.raises(ValueError):
         cluster.tree(df, "id", "v")
-    assert select.tree_importance(df, "y", "v", 4, 3).count() == 3
-    monkeypatch.setattr(select, "TREE_BYTES", 8 * 100)
-    with pytest.raises(ValueError):
-        select.tree_importance(df, "y", "v", 4, 3)
+
+
+def plain_trees(x, y, trees, depth, seed):
+    """Trees grown node by node, with the same draws."""
+    shape = tree_module.Shape(x.shape[1], int(y.max()) + 1, seed)
+    gini = lambda c: 1 - ((c / c.sum()) ** 2).sum() if c.sum() else 0.0
+    out = np.zeros(x.shape[1])
+    for t in range(trees):
+        own = np.zeros(x.shape[1])
+        stack = [(1, np.arange(len(x)), 0)]
+        while stack:
+            node, rows, level = stack.pop()
+            counts = np.bincount(y[rows], minlength=shape.classes)
+            if level == depth or len(rows) < 2 or counts.max() == len(rows):
+                continue
+            best, tried = None, 0
+            for c in shape.candidates(t, np.array([node]))[0]:
+                v = x[rows, c]
+                if v.min() == v.max() or tried == shape.tried:
+                    continue
+                tried += 1
+                cut = v.min() + tree_module._uniform(seed, t, np.array(node), np.array(c), 1) * (v.max() - v.min())
+                left = v <= cut
+                if left.all() or not left.any():
+                    continue
+                one = np.bincount(y[rows[left]], minlength=shape.classes)
+                gain = gini(counts) - (left.sum() * gini(one) + (~left).sum() * gini(counts - one)) / len(rows)
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, c, left
+            if best:
+                own[best[1]] += best[0] * len(rows) / len(x)
+                stack += [(2 * node, rows[best[2]], level + 1), (2 * node + 1, rows[~best[2]], level + 1)]
+        out += own / own.sum() if own.sum() else 0
+    return out / trees
+
+
+@pytest.mark.parametrize(("block", "most"), [(4096, 64 << 20), (40, 64 << 20), (40, 5000)])
+def test_extra_trees_against_plain_growth(spark, monkeypatch, block, most):
+    monkeypatch.setattr(lloyd, "BLOCK", block)
+    monkeypatch.setattr(tree_module, "SUM_BYTES", most)
+    rng = np.random.default_rng(4)
+    y = np.arange(150) % 3
+    x = np.column_stack([y + rng.normal(0, 0.4, 150), rng.normal(size=150), np.zeros(150), np.round(rng.normal(size=150)), y * rng.normal(size=150)])
+    got = select.tree_importance(vectors(spark, x, y=y), "y", "v", 6, 4).toPandas().sort_values("pos")["importance"].to_numpy()
+    assert got == pytest.approx(plain_trees(x, y, 6, 4, 42)) and got.sum() == pytest.approx(1) and got[2] == 0 and got.argmax() == 0
+
+
+def test_extra_trees_of_odd_tables(spark):
+    x = np.arange(6.0).reshape(3, 2)
+    assert select.tree_importance(vectors(spark, x, y=np.zeros(3, int)), "y", "v", 3, 3).toPandas()["importance"].tolist() == [0.0, 0.0]
+    assert select.tree_importance(vectors(spark, x, y=np.zeros(3, int)).limit(0), "y", "v").count() == 0
+
+
+@pytest.mark.parametrize("rows", [10**6, 17])
+def test_neighbour_information_against_the_kernel(spark, monkeypatch, rows):
+    """Whether a task holds a column or a few rows of it, across classes smaller than k and runs over many tasks."""
+    from taxolens.operators import ordered
+
+    monkeypatch.setattr(ordered, "LEAST", rows)
+    monkeypatch.setattr(ordered, "ROWS", rows)
+    rng = np.random.default_rng(9)
+    n = 120
+    label = np.where(np.arange(n) < 3, np.arange(n), 10 + np.arange(n) % 2)  # three classes of one row
+    label[3:5] = 7  # and one of two
+    columns = {"a": label + rng.normal(0, 0.3, n), "b": rng.normal(size=n), "c": np.full(n, 2.0), "d": rng.normal(size=n) * 1e6}
+    long = spark.createDataFrame([(i, int(label[i]), f, float(v[i])) for f, v in columns.items() for i in range(n)], "id int, y int, feature string, value double")
+    got = {r.feature: r.mi for r in select.knn_mi(long, "y", "id").collect()}
+    for f in ("a", "b", "d"):
+        assert got[f] == pytest.approx(estimators.knn_mutual_information(columns[f], label.astype(str)), abs=1e-9)
+    assert got["a"] > 0.3 and got["c"] >= 0 and select.knn_mi(long.limit(0), "y", "id").count() == 0
 
 
 def test_silhouette_blocks_of_any_size(spark):
