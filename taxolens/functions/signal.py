@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 TINY = 1e-10
+#: Decibels below a frame's peak that count, and width of the medians that part a spectrum.
+DECIBELS, MEDIAN = 80.0, 31
 #: Bands of the production features and of beat loudness, in Hz.
 BANDS = {"low": (20.0, 250.0), "mid": (250.0, 4000.0), "high": (4000.0, 20000.0)}
 BEAT_BANDS = (20.0, 150.0, 400.0, 1000.0, 2500.0, 6300.0, 22050.0)
@@ -38,13 +40,12 @@ def spectrum(y: np.ndarray, width: int, hop: int) -> np.ndarray:
     return np.abs(np.fft.rfft(frames(y, width, hop) * np.hamming(width), axis=1)) / width
 
 
-def entropy(power: np.ndarray, parts: int = 10) -> np.ndarray:
-    """Bits over the energies of `parts` equal pieces of each row."""
-    w = power.shape[1] // parts
+def entropy(share: np.ndarray, parts: int = 10) -> np.ndarray:
+    """Bits over the sums of `parts` equal pieces of each row of shares; what is left of the row beyond them has no piece."""
+    w = share.shape[1] // parts
     if not w:
-        return np.zeros(len(power))
-    e = power[:, : w * parts].reshape(len(power), parts, w).sum(2)
-    p = e / (e.sum(1, keepdims=True) + TINY)
+        return np.zeros(len(share))
+    p = share[:, : w * parts].reshape(len(share), parts, w).sum(2)
     return -(np.where(p > 0, p * np.log2(p + TINY), 0)).sum(1)
 
 
@@ -66,42 +67,45 @@ def cosine_transform(x: np.ndarray, n: int) -> np.ndarray:
 
 def short_term(y: np.ndarray, sr: float, width: int, hop: int) -> dict[str, np.ndarray]:
     """34 series, one number a frame each."""
-    raw, mag = frames(y, width, hop), spectrum(y, width, hop)
-    f = np.linspace(0, sr / 2, mag.shape[1])
+    raw = frames(y, width, hop)
+    mag = np.abs(np.fft.rfft(raw * np.hamming(width), axis=1))
+    mag = mag / (mag.shape[1] + TINY)
+    f = np.fft.rfftfreq(width, 1 / sr)
     total = mag.sum(1)
     safe = np.where(total > 0, total, 1)
     mean = np.where(total > 0, (mag * f).sum(1) / safe, 0)
     spread = np.where(total > 0, np.sqrt(np.maximum((mag * (f - mean[:, None]) ** 2).sum(1) / safe, 0)), 0)
     p = mag / (total[:, None] + TINY)
     before = np.vstack([np.zeros_like(p[:1]), p[:-1]])
-    power = mag**2
-    run = power.cumsum(1)
+    energy, run = raw**2, mag.cumsum(1)
     out = {
         "ZCR": np.abs(np.diff(np.sign(raw), axis=1)).sum(1) / (2 * width),
-        "Energy": (raw**2).sum(1) / width,
-        "EnergyEntropy": entropy(raw**2),
+        "Energy": energy.sum(1) / width,
+        "EnergyEntropy": entropy(energy / (energy.sum(1, keepdims=True) + TINY)),
         "SpectralCentroid": mean / (sr / 2),
         "SpectralSpread": spread / (sr / 2),
-        "SpectralEntropy": entropy(power),
+        "SpectralEntropy": entropy(mag / safe[:, None]),
         "SpectralFlux": ((p - before) ** 2).sum(1),
         "SpectralRolloff": (run >= 0.9 * run[:, -1:]).argmax(1) / mag.shape[1],
     }
+    power = mag**2
     mel = power @ mel_filters(sr, mag.shape[1], 26).T
-    db = 10 * np.log10(np.maximum(mel, TINY) / max(mel.max(), TINY))
-    coefficients = cosine_transform(db, 13)
+    db = 10 * np.log10(np.maximum(mel, TINY) / np.maximum(mel.max(1, keepdims=True), TINY))
+    coefficients = cosine_transform(np.maximum(db, db.max(1, keepdims=True) - DECIBELS), 13)
     out |= {f"MFCCs{i + 1}": coefficients[:, i] for i in range(13)}
     with np.errstate(divide="ignore"):
         pitch = np.where(f > 20, np.round(12 * np.log2(np.maximum(f, 1e-9) / 440)) % 12, -1).astype(int)
     chroma = np.stack([power[:, pitch == c].sum(1) for c in range(12)], 1)
-    chroma = chroma / (chroma.sum(1, keepdims=True) + TINY)
+    most = chroma.max(1, keepdims=True)
+    chroma = np.where(most > 0, chroma / np.where(most > 0, most, 1), 0)
     out |= {f"ChromaVector{i + 1}": chroma[:, i] for i in range(12)}
     out["ChromaDeviation"] = chroma.std(1)
     return out
 
 
-def autocorrelation(x: np.ndarray) -> np.ndarray:
+def autocorrelation(x: np.ndarray, centred: bool = True) -> np.ndarray:
     """Over lags from 0, by a transform of twice the length; 1 at lag 0."""
-    x = x - x.mean() if len(x) else x
+    x = x - x.mean() if len(x) and centred else x
     n = 1 << int(2 * max(len(x), 1) - 1).bit_length()
     r = np.fft.irfft(np.abs(np.fft.rfft(x, n)) ** 2)[: len(x)]
     return r / (r[0] + TINY) if len(r) else r
@@ -113,41 +117,67 @@ def onset_envelope(mag: np.ndarray) -> np.ndarray:
     return rise.mean(1)
 
 
-def peaks(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1 if len(x) > 2 else np.zeros(0, int)
+def peaks(x: np.ndarray, least: float = -np.inf) -> np.ndarray:
+    """Places that are higher than what is on both sides, the middle of flat tops, at `least` or above."""
+    if len(x) < 3:
+        return np.zeros(0, int)
+    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    end = np.append(begin[1:], len(x)) - 1
+    level = x[begin]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    at = (begin[top] + end[top]) // 2
+    return at[x[at] >= least]
+
+
+def _lags(n: int, rate: float, low: float, high: float) -> tuple[int, int]:
+    """First and last lag of the tempi from low to high."""
+    return max(1, int(round(60 / high * rate))), min(int(round(60 / low * rate)), n - 1)
 
 
 def tempo(env: np.ndarray, rate: float, low: float = 40.0, high: float = 250.0) -> dict[str, float]:
-    """Tempo, its confidence, danceability, and the two tallest peaks of the tempo histogram."""
-    zero = {"69-BPM": 0.0, "70-BPMconf": 0.0, "71-bpm": 0.0, "72-bpm_histogram_first_peak_bpm": 0.0, "73-bpm_histogram_first_peak_weight": 0.0, "74-bpm_histogram_second_peak_bpm": 0.0, "75-bpm_histogram_second_peak_spread": 0.0, "76-bpm_histogram_second_peak_weight": 0.0, "77-danceability": 0.0}
-    r = autocorrelation(env)
-    lags = np.arange(len(r))
-    inside = np.flatnonzero((lags > 0) & (lags >= 60 * rate / high) & (lags <= 60 * rate / low))
-    if not len(inside) or not np.any(r[inside] > 0):
-        return zero
-    h, bpm = r[inside], 60 * rate / inside
-    at = peaks(h)
-    at = at if len(at) else np.array([int(h.argmax())])
-    order = at[np.argsort(-h[at], kind="stable")]
-    total = np.maximum(h, 0).sum() + TINY
-    first, second = order[0], order[min(1, len(order) - 1)]
-    above = np.flatnonzero(h >= h[second] / 2)
-    dance = h[at][(bpm[at] >= 60) & (bpm[at] <= 200)]
-    return zero | {
-        "69-BPM": float(bpm[first]), "71-bpm": float(bpm[first]), "70-BPMconf": float(h[first]),
-        "72-bpm_histogram_first_peak_bpm": float(bpm[first]), "73-bpm_histogram_first_peak_weight": float(max(h[first], 0) / total),
-        "74-bpm_histogram_second_peak_bpm": float(bpm[second]), "75-bpm_histogram_second_peak_spread": float(np.ptp(bpm[above])) if len(above) else 0.0, "76-bpm_histogram_second_peak_weight": float(max(h[second], 0) / total),
-        "77-danceability": float(dance.mean()) if len(dance) else float(h.max()),
-    }
+    """Tempo, its confidence, danceability, and the two tallest peaks of the tempo histogram (the onset envelope's autocorrelation).
+
+    The tempo is that of the tallest peak, a stand-in for a library's estimate.
+    """
+    names = ("69-BPM", "70-BPMconf", "71-bpm", "72-bpm_histogram_first_peak_bpm", "73-bpm_histogram_first_peak_weight", "74-bpm_histogram_second_peak_bpm", "75-bpm_histogram_second_peak_spread", "76-bpm_histogram_second_peak_weight", "77-danceability")
+    out = dict.fromkeys(names, 0.0)
+    r = autocorrelation(env, centred=False)
+    if not len(r) or r[0] <= 0:
+        return out
+    first, last = _lags(len(r), rate, 60, 200)
+    last = min(last, len(r) // 2 - 1)
+    if last > first:
+        part = r[first : last + 1]
+        at = peaks(part, 0)
+        out["77-danceability"] = float(part[at].mean() if len(at) else part.max())
+    first, last = _lags(len(r), rate, low, high)
+    if last <= first:
+        return out
+    h, bpm = r[first : last + 1], 60 * rate / np.arange(first, last + 1)
+    at = peaks(h, 0)
+    order = at[np.argsort(-h[at], kind="stable")] if len(at) else np.array([int(h.argmax())])
+    top = order[0]
+    beat = int(round(60 / bpm[top] * rate))
+    out |= {"69-BPM": float(bpm[top]), "70-BPMconf": float(r[beat]) if 0 < beat < len(r) else 0.0, "71-bpm": float(bpm[top]), names[3]: float(bpm[top]), names[4]: float(h[top])}
+    if len(at) > 1:
+        second = order[1]
+        low_side = np.flatnonzero(h[: second + 1] <= h[second] / 2)
+        high_side = np.flatnonzero(h[second:] <= h[second] / 2)
+        left, right = (low_side[-1] if len(low_side) else 0), (second + high_side[0] if len(high_side) else len(h) - 1)
+        out |= {names[5]: float(bpm[second]), names[6]: float(bpm[left] - bpm[right]) if right > left else 0.0, names[7]: float(h[second])}
+    return out
 
 
 def beat_features(mag: np.ndarray, env: np.ndarray, sr: float, rate: float, seconds: float) -> dict[str, float]:
+    """Loudness at the beats and its shares in six bands; beats are the envelope's peaks above its mean, a stand-in for a library's tracker."""
     at = peaks(env)
     at = at[env[at] > env.mean()] if len(at) else at
     f = np.linspace(0, sr / 2, mag.shape[1])
-    loud = np.sqrt((mag[at] ** 2).sum(1)) if len(at) else np.zeros(1)
-    bands = np.stack([np.sqrt((mag[at][:, (f >= lo) & (f < hi)] ** 2).sum(1)) for lo, hi in zip(BEAT_BANDS, BEAT_BANDS[1:])], 1) if len(at) else np.zeros((1, 6))
-    share = bands / (bands.sum(1, keepdims=True) + TINY)
+    edges = [*BEAT_BANDS[:-1], min(BEAT_BANDS[-1], int(sr) // 2)]
+    power = mag[at] ** 2 if len(at) else np.zeros((1, mag.shape[1]))
+    total = power.sum(1, keepdims=True) + TINY * bool(len(at))
+    share = np.stack([power[:, (f >= lo) & (f < hi)].sum(1) for lo, hi in zip(edges, edges[1:])], 1) / np.where(total > 0, total, 1)
+    loud = np.sqrt(total[:, 0])
     out = {"78-beats_loudness.mean": loud.mean(), "79-beats_loudness.stdev": loud.std(), "80-onset_rate": len(at) / (seconds + TINY)}
     out |= {f"{81 + i}-beats_loudness_band_ratio.mean{i + 1}": share[:, i].mean() for i in range(6)}
     out |= {f"{87 + i}-beats_loudness_band_ratio.stdev{i + 1}": share[:, i].std() for i in range(6)}
@@ -204,49 +234,59 @@ def texture(mag: np.ndarray, sr: float) -> dict[str, float]:
     return out | {"spectral_flatness_mean": float(flat.mean()), "spectral_flatness_std": float(flat.std()), "spectral_bandwidth_mean": float(width.mean()), "spectral_bandwidth_std": float(width.std())}
 
 
-def production(y: np.ndarray, mag: np.ndarray, env: np.ndarray, sr: float, rate: float, bpm: float) -> dict[str, float]:
-    """15 features of bass, bands, modulation, regularity and level."""
+def level(y: np.ndarray, width: int, hop: int) -> np.ndarray:
+    """Root mean square of the samples of each frame; frames are centred, with zeros beyond the ends."""
+    return np.sqrt((frames(np.pad(y, width // 2), width, hop) ** 2).mean(1))
+
+
+def parted(mag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Harmonic and percussive parts of a spectrum: soft masks of medians of 31 along time and along frequency, mirrored at the edges."""
+    def median(a: np.ndarray, axis: int) -> np.ndarray:
+        half = MEDIAN // 2
+        view = np.lib.stride_tricks.sliding_window_view(np.pad(a, [(half, half) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric"), MEDIAN, axis)
+        step = max(1, 2_000_000 // (MEDIAN * a.shape[1]))
+        return np.concatenate([np.median(view[lo : lo + step], -1) for lo in range(0, len(view), step)])
+
+    h, p = median(mag, 0) ** 2, median(mag, 1) ** 2
+    soft = h / (h + p + TINY)
+    return mag * soft, mag * (1 - soft)
+
+
+def production(y: np.ndarray, mag: np.ndarray, percussive: np.ndarray, rms: np.ndarray, env: np.ndarray, sr: float, rate: float, bpm: float) -> dict[str, float]:
+    """15 features of bass, bands, modulation, regularity and level. percussive: that part of mag; rms: see level."""
     f = np.linspace(0, sr / 2, mag.shape[1])
-    power = mag**2
-    total = power.sum() + TINY
-    share = lambda lo, hi, closed: float(power[:, (f >= lo) & ((f <= hi) if closed else (f < hi))].sum() / total)
-    beat = int(round(60 * rate / bpm)) if bpm > 0 else 0
-    at_beat = lambda x: float(r[beat]) if 0 < beat < len(r := autocorrelation(x)) else 0.0
-    rms = np.sqrt(power.sum(1))
-    w = 32 * beat
+
+    def share(m: np.ndarray, lo: float, hi: float, closed: bool) -> float:
+        return float((m[:, (f >= lo) & ((f <= hi) if closed else (f < hi))] ** 2).sum() / ((m**2).sum() + TINY))
+
+    beat = int(round(60 / bpm * rate)) if bpm > 0 else 0
+    at_beat = lambda r: float(r[beat]) if 0 < beat < len(r) else 0.0
+    w = max(1, int(round(60 / bpm * 32 * rate))) if bpm > 0 else 0
     means = rms[: len(rms) // w * w].reshape(-1, w).mean(1) if w and len(rms) >= w else np.zeros(0)
     centre = (mag * f).sum(1) / (mag.sum(1) + TINY)
     wave = np.abs(np.fft.rfft(centre - centre.mean())) if len(centre) else np.zeros(1)
     speed = np.fft.rfftfreq(max(len(centre), 1), 1 / rate)
     lfo = np.flatnonzero((speed >= 0.5) & (speed <= 20))
     top = lfo[wave[lfo].argmax()] if len(lfo) else None
-    percussive = mag * (mag > np.median(mag, axis=0, keepdims=True))
     hits = peaks(onset_envelope(percussive))
-    sd = rms.std()
+    sd, pumped = rms.std(), bpm > 0 and len(rms) > 1
     return {
-        "sub_bass_ratio": share(20, 60, True), "beat_regularity": at_beat(env), "energy_variance_8bar": float(means.var()) if len(means) > 1 else 0.0,
+        "sub_bass_ratio": share(mag, 20, 60, True), "beat_regularity": at_beat(autocorrelation(env, centred=False)), "energy_variance_8bar": float(means.var()) if len(means) > 1 else 0.0,
         "spectral_mod_rate": float(speed[top]) if top is not None else 0.0, "spectral_mod_strength": float(wave[top] / (wave.sum() + TINY)) if top is not None else 0.0,
-        "energy_ratio_low": share(*BANDS["low"], False), "energy_ratio_mid": share(*BANDS["mid"], False), "energy_ratio_high": share(*BANDS["high"], True),
-        "percussive_onset_density": len(hits) / (len(y) / sr + TINY), "kick_prominence": share(40, 100, True),
-        "sidechain_mod_depth": at_beat(rms), "sidechain_mod_rate": float(sd / (rms.mean() + TINY)),
+        "energy_ratio_low": share(mag, *BANDS["low"], False), "energy_ratio_mid": share(mag, *BANDS["mid"], False), "energy_ratio_high": share(mag, *BANDS["high"], True),
+        "percussive_onset_density": len(hits) / (len(y) / sr + TINY), "kick_prominence": share(percussive, 40, 100, True),
+        "sidechain_mod_depth": at_beat(autocorrelation(rms)) if pumped else 0.0, "sidechain_mod_rate": float(sd / (rms.mean() + TINY)) if pumped else 0.0,
         "rms_mean": float(rms.mean()), "rms_std": float(sd), "rms_skew": float(((rms - rms.mean()) ** 3).mean() / sd**3) if sd > 0 else 0.0,
     }
 
 
-def harmonic_dynamic(y: np.ndarray, mag: np.ndarray) -> dict[str, float]:
-    """Harmonic against percussive level by medians along time and frequency, and the level's shape."""
-    def median(a: np.ndarray, axis: int, size: int = 9) -> np.ndarray:
-        pad = [(size // 2, size // 2) if i == axis else (0, 0) for i in (0, 1)]
-        return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(a, pad, mode="edge"), size, axis), -1)
-
-    h, p = median(mag, 0), median(mag, 1)
-    soft = h**2 / (h**2 + p**2 + TINY)
-    rh, rp = np.sqrt(((mag * soft) ** 2).mean(1)), np.sqrt(((mag * (1 - soft)) ** 2).mean(1))
+def harmonic_dynamic(y: np.ndarray, harmonic: np.ndarray, percussive: np.ndarray, rms: np.ndarray) -> dict[str, float]:
+    """Harmonic against percussive level of each frame, and the level's shape."""
+    rh, rp = np.sqrt((harmonic**2).mean(1)), np.sqrt((percussive**2).mean(1))
     ratio = rh / (rp + TINY)
-    rms = np.sqrt((mag**2).sum(1))
     sd = rms.std()
-    peak, level = np.abs(y).max() if len(y) else 0.0, np.sqrt((y**2).mean()) if len(y) else 0.0
-    return {"hp_ratio_mean": float(ratio.mean()), "hp_ratio_std": float(ratio.std()), "dynamic_range_db": float(20 * np.log10((peak + TINY) / (level + TINY))), "rms_kurtosis": float(((rms - rms.mean()) ** 4).mean() / sd**4 - 3) if sd > 0 else 0.0, "crest_factor": float(peak / (level + TINY))}
+    peak, whole = np.abs(y).max() if len(y) else 0.0, np.sqrt((y**2).mean()) if len(y) else 0.0
+    return {"hp_ratio_mean": float(ratio.mean()), "hp_ratio_std": float(ratio.std()), "dynamic_range_db": float(20 * np.log10((peak + TINY) / (whole + TINY))), "rms_kurtosis": float(((rms - rms.mean()) ** 4).mean() / sd**4 - 3) if sd > 0 else 0.0, "crest_factor": float(peak / (whole + TINY))}
 
 
 def extract(y: np.ndarray, sr: float = 44100.0, hop: int = 512) -> dict[str, float]:
@@ -254,15 +294,15 @@ def extract(y: np.ndarray, sr: float = 44100.0, hop: int = 512) -> dict[str, flo
     y = np.nan_to_num(np.asarray(y, float), posinf=0.0, neginf=0.0)
     if not len(y):
         y = np.zeros(1)
-    width = max(int(0.05 * sr), 16)
+    width = max(int(round(0.05 * sr)), 16)
     out: dict[str, float] = {}
-    series = short_term(y, sr, width, max(width // 2, 1))
+    series = short_term(y, sr, width, width)
     for part, (offset, suffix) in {"mean": (1, "m"), "std": (35, "std")}.items():
         out |= {f"{offset + i}-{n}{suffix}": float(getattr(v, part)()) for i, (n, v) in enumerate(series.items())}
     big = 2048 if len(y) >= 2048 else max(16, len(y))
     step = min(hop, max(big // 4, 1))
-    mag, rate = spectrum(y, big, step), sr / step
-    env = onset_envelope(mag)
+    mag, rate, rms = spectrum(y, big, step), sr / step, level(y, big, step)
+    env, (harmonic, percussive) = onset_envelope(mag), parted(mag)
     beats = tempo(env, rate)
     out |= beats | beat_features(mag, env, sr, rate, len(y) / sr) | tempogram(env, rate) | texture(mag, sr)
-    return out | production(y, mag, env, sr, rate, beats["69-BPM"]) | harmonic_dynamic(y, mag)
+    return out | production(y, mag, percussive, rms, env, sr, rate, beats["69-BPM"]) | harmonic_dynamic(y, harmonic, percussive, rms)

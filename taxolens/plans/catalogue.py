@@ -1050,22 +1050,22 @@ def _(s, d):
 
 #: Frames of 50 samples every 25, as a signal of 1000 Hz has them; magnitudes of its 26 bins by plain sums of cosines and sines.
 SHORT = """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL),
-u AS (SELECT user_id, unnest(range(0, CAST(greatest(1, 1 + (count(*) - 50) // 25) AS BIGINT))) AS t FROM s GROUP BY user_id),
-fr AS (SELECT u.user_id, t, j, coalesce(s.x, 0) AS x FROM u CROSS JOIN range(0, 50) r(j) LEFT JOIN s ON s.user_id = u.user_id AND s.i = 25 * t + j),
-ft AS (SELECT user_id, t, k, k * 20.0 AS f, sqrt(sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 49)) * cos(2 * pi() * j * k / 50)) ** 2 + sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 49)) * sin(2 * pi() * j * k / 50)) ** 2) / 50 AS m FROM fr CROSS JOIN range(0, 26) r(k) GROUP BY ALL),
+u AS (SELECT user_id, unnest(range(0, CAST(greatest(1, 1 + (count(*) - 50) // 50) AS BIGINT))) AS t FROM s GROUP BY user_id),
+fr AS (SELECT u.user_id, t, j, coalesce(s.x, 0) AS x FROM u CROSS JOIN range(0, 50) r(j) LEFT JOIN s ON s.user_id = u.user_id AND s.i = 50 * t + j),
+ft AS (SELECT user_id, t, k, k * 20.0 AS f, sqrt(sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 49)) * cos(2 * pi() * j * k / 50)) ** 2 + sum(x * (0.54 - 0.46 * cos(2 * pi() * j / 49)) * sin(2 * pi() * j * k / 50)) ** 2) / (26 + 1e-10) AS m FROM fr CROSS JOIN range(0, 26) r(k) GROUP BY ALL),
 zc AS (SELECT user_id, t, sum(abs(g)) / 100.0 AS v FROM (SELECT user_id, t, sign(x) - lag(sign(x)) OVER (PARTITION BY user_id, t ORDER BY j) AS g FROM fr) GROUP BY ALL),
 en AS (SELECT user_id, t, sum(x * x) / 50 AS v FROM fr GROUP BY ALL),
 ee AS (SELECT user_id, t, -sum(CASE WHEN p > 0 THEN p * log2(p + 1e-10) ELSE 0 END) AS v FROM (SELECT user_id, t, e / (sum(e) OVER (PARTITION BY user_id, t) + 1e-10) AS p FROM (SELECT user_id, t, j // 5 AS b, sum(x * x) AS e FROM fr GROUP BY ALL)) GROUP BY ALL),
-se AS (SELECT user_id, t, -sum(CASE WHEN p > 0 THEN p * log2(p + 1e-10) ELSE 0 END) AS v FROM (SELECT user_id, t, e / (sum(e) OVER (PARTITION BY user_id, t) + 1e-10) AS p FROM (SELECT user_id, t, k // 2 AS b, sum(m * m) AS e FROM ft WHERE k < 20 GROUP BY ALL)) GROUP BY ALL),
+se AS (SELECT user_id, t, -sum(CASE WHEN p > 0 THEN p * log2(p + 1e-10) ELSE 0 END) AS v FROM (SELECT user_id, t, k // 2 AS b, sum(p) AS p FROM (SELECT user_id, t, k, m / sum(m) OVER (PARTITION BY user_id, t) AS p FROM ft) WHERE k < 20 GROUP BY ALL) GROUP BY ALL),
 ce AS (SELECT user_id, t, sum(m * f) / sum(m) AS c FROM ft GROUP BY ALL),
 sp AS (SELECT user_id, t, sqrt(greatest(sum(m * (f - c) ** 2) / sum(m), 0)) / 500 AS v FROM ft JOIN ce USING (user_id, t) GROUP BY ALL),
 fl AS (SELECT user_id, t, sum(d * d) AS v FROM (SELECT user_id, t, p - coalesce(lag(p) OVER (PARTITION BY user_id, k ORDER BY t), 0) AS d FROM (SELECT user_id, t, k, m / (sum(m) OVER (PARTITION BY user_id, t) + 1e-10) AS p FROM ft)) GROUP BY ALL),
-ro AS (SELECT user_id, t, min(k) / 26.0 AS v FROM (SELECT user_id, t, k, sum(m * m) OVER (PARTITION BY user_id, t ORDER BY k) AS r, sum(m * m) OVER (PARTITION BY user_id, t) AS z FROM ft) WHERE r >= 0.9 * z GROUP BY ALL),
+ro AS (SELECT user_id, t, min(k) / 26.0 AS v FROM (SELECT user_id, t, k, sum(m) OVER (PARTITION BY user_id, t ORDER BY k) AS r, sum(m) OVER (PARTITION BY user_id, t) AS z FROM ft) WHERE r >= 0.9 * z GROUP BY ALL),
 ed AS (SELECT q, 700 * (10 ** (2595 * log10(1 + 500.0 / 700) * q / 27 / 2595) - 1) AS h FROM range(0, 28) r(q)),
 me AS (SELECT user_id, t, a.q AS b, sum(m * m * greatest(0, least((f - a.h) / (c.h - a.h), (d.h - f) / (d.h - c.h)))) AS e FROM ft CROSS JOIN ed a JOIN ed c ON c.q = a.q + 1 JOIN ed d ON d.q = a.q + 2 GROUP BY ALL),
-db AS (SELECT user_id, t, b, 10 * log10(greatest(e, 1e-10) / greatest(max(e) OVER (PARTITION BY user_id), 1e-10)) AS v FROM me),
+db AS (SELECT user_id, t, b, greatest(v, max(v) OVER (PARTITION BY user_id, t) - 80) AS v FROM (SELECT user_id, t, b, 10 * log10(greatest(e, 1e-10) / greatest(max(e) OVER (PARTITION BY user_id, t), 1e-10)) AS v FROM me)),
 mf AS (SELECT user_id, t, c, sum(v * cos(pi() * c * (2 * b + 1) / 52)) * sqrt(2 / 26.0) / CASE WHEN c = 0 THEN sqrt(2) ELSE 1 END AS v FROM db CROSS JOIN range(0, 13) r(c) GROUP BY user_id, t, c),
-ch AS (SELECT user_id, t, c, e / (sum(e) OVER (PARTITION BY user_id, t) + 1e-10) AS v FROM (SELECT user_id, t, c, sum(CASE WHEN f > 20 AND (CAST(round(12 * log2(greatest(f, 1e-9) / 440)) AS BIGINT) % 12 + 12) % 12 = c THEN m * m ELSE 0 END) AS e FROM ft CROSS JOIN range(0, 12) r(c) GROUP BY ALL)),
+ch AS (SELECT user_id, t, c, coalesce(e / nullif(max(e) OVER (PARTITION BY user_id, t), 0), 0) AS v FROM (SELECT user_id, t, c, sum(CASE WHEN f > 20 AND (CAST(round(12 * log2(greatest(f, 1e-9) / 440)) AS BIGINT) % 12 + 12) % 12 = c THEN m * m ELSE 0 END) AS e FROM ft CROSS JOIN range(0, 12) r(c) GROUP BY ALL)),
 al AS (SELECT user_id, t, 0 AS o, 'ZCR' AS name, v FROM zc UNION ALL SELECT user_id, t, 1, 'Energy', v FROM en UNION ALL SELECT user_id, t, 2, 'EnergyEntropy', v FROM ee UNION ALL SELECT user_id, t, 3, 'SpectralCentroid', c / 500 FROM ce UNION ALL SELECT user_id, t, 4, 'SpectralSpread', v FROM sp UNION ALL SELECT user_id, t, 5, 'SpectralEntropy', v FROM se UNION ALL SELECT user_id, t, 6, 'SpectralFlux', v FROM fl UNION ALL SELECT user_id, t, 7, 'SpectralRolloff', v FROM ro
  UNION ALL SELECT user_id, t, 8 + c, 'MFCCs' || (c + 1), v FROM mf UNION ALL SELECT user_id, t, 21 + c, 'ChromaVector' || (c + 1), v FROM ch UNION ALL SELECT user_id, t, 33, 'ChromaDeviation', stddev_pop(v) FROM ch GROUP BY user_id, t)
 SELECT user_id, (o + 1) || '-' || name || 'm' AS feature, avg(v) AS value FROM al GROUP BY user_id, o, name UNION ALL SELECT user_id, (o + 35) || '-' || name || 'std', stddev_pop(v) FROM al GROUP BY user_id, o, name"""
@@ -1095,13 +1095,19 @@ w AS (SELECT user_id, j, x, greatest(16, c) AS n FROM s),
 ft AS (SELECT user_id, k, k * (CAST(500 AS DOUBLE) / (n // 2)) AS f, sqrt(sum(x * (0.54 - 0.46 * cos(2 * pi() * j / (n - 1))) * cos(2 * pi() * j * k / n)) ** 2 + sum(x * (0.54 - 0.46 * cos(2 * pi() * j / (n - 1))) * sin(2 * pi() * j * k / n)) ** 2) / n AS m FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM w) GROUP BY user_id, k, n),
 b AS (SELECT * FROM (VALUES (1, 0, 50), (2, 50, 100), (3, 100, 200), (4, 200, 400), (5, 400, 800), (6, 800, 1600), (7, 1600, 500)) t(band, lo, hi)),
 co AS (SELECT user_id, band, 10 * log10((max(m) FILTER (f >= lo AND f < hi) + 1e-10) / (min(m) FILTER (f >= lo AND f < hi) + 1e-10)) AS v FROM ft CROSS JOIN b GROUP BY user_id, band),
-ce AS (SELECT user_id, sum(m * f) / (sum(m) + 1e-10) AS c, sum(m) + 1e-10 AS z, sum(m * m) + 1e-10 AS e FROM ft GROUP BY user_id)
+ce AS (SELECT user_id, sum(m * f) / (sum(m) + 1e-10) AS c, sum(m) + 1e-10 AS z, sum(m * m) + 1e-10 AS e FROM ft GROUP BY user_id),
+nb AS (SELECT *, (k + o + 64 * (n // 2 + 1)) % (2 * (n // 2 + 1)) AS q FROM (SELECT user_id, k, f, m, CAST(z.n AS BIGINT) AS n FROM ft JOIN (SELECT user_id, max(n) AS n FROM w GROUP BY user_id) z USING (user_id)), range(-15, 16) r(o)),
+pe AS (SELECT nb.user_id, nb.k, any_value(nb.f) AS f, any_value(nb.m) * (1 - any_value(nb.m) ** 2 / (any_value(nb.m) ** 2 + quantile_cont(o.m, 0.5) ** 2 + 1e-10)) AS g FROM nb JOIN ft o ON o.user_id = nb.user_id AND o.k = CASE WHEN q > n // 2 THEN 2 * (n // 2) + 1 - q ELSE q END GROUP BY nb.user_id, nb.k),
+rs AS (SELECT user_id, n, c, greatest(n // 4, 1) AS step, unnest(range(0, CAST(1 + (c + 2 * (n // 2) - n) // greatest(n // 4, 1) AS BIGINT))) AS i FROM (SELECT user_id, CAST(max(n) AS BIGINT) AS n, count(*) AS c FROM w GROUP BY user_id)),
+rm AS (SELECT rs.user_id, rs.i, sqrt(coalesce(sum(w.x * w.x), 0) / any_value(rs.n)) AS r FROM rs LEFT JOIN w ON w.user_id = rs.user_id AND w.j >= rs.i * rs.step - rs.n // 2 AND w.j < rs.i * rs.step - rs.n // 2 + rs.n GROUP BY rs.user_id, rs.i)
 SELECT user_id, 'spectral_contrast_band' || band || '_mean' AS feature, coalesce(v, 0) AS value FROM co
 UNION ALL SELECT user_id, 'spectral_flatness_mean', exp(avg(ln(greatest(m * m, 1e-10)))) / avg(greatest(m * m, 1e-10)) FROM ft GROUP BY user_id
 UNION ALL SELECT user_id, 'spectral_bandwidth_mean', sqrt(sum(m / z * (f - c) ** 2)) FROM ft JOIN ce USING (user_id) GROUP BY user_id
-UNION ALL SELECT user_id, name, sum(CASE WHEN f >= lo AND (f < hi OR shut AND f = hi) THEN m * m ELSE 0 END) / max(e) FROM ft JOIN ce USING (user_id) CROSS JOIN (VALUES ('sub_bass_ratio', 20, 60, true), ('energy_ratio_low', 20, 250, false), ('energy_ratio_mid', 250, 4000, false), ('energy_ratio_high', 4000, 20000, true), ('kick_prominence', 40, 100, true)) t(name, lo, hi, shut) GROUP BY user_id, name
-UNION ALL SELECT user_id, 'rms_mean', sqrt(sum(m * m)) FROM ft GROUP BY user_id"""
-WHOLE_NAMES = [*[f"spectral_contrast_band{i}_mean" for i in range(1, 8)], "spectral_flatness_mean", "spectral_bandwidth_mean", "sub_bass_ratio", "energy_ratio_low", "energy_ratio_mid", "energy_ratio_high", "kick_prominence", "rms_mean"]
+UNION ALL SELECT user_id, name, sum(CASE WHEN f >= lo AND (f < hi OR shut AND f = hi) THEN m * m ELSE 0 END) / max(e) FROM ft JOIN ce USING (user_id) CROSS JOIN (VALUES ('sub_bass_ratio', 20, 60, true), ('energy_ratio_low', 20, 250, false), ('energy_ratio_mid', 250, 4000, false), ('energy_ratio_high', 4000, 20000, true)) t(name, lo, hi, shut) GROUP BY user_id, name
+UNION ALL SELECT user_id, 'kick_prominence', sum(CASE WHEN f >= 40 AND f <= 100 THEN g * g ELSE 0 END) / (sum(g * g) + 1e-10) FROM pe GROUP BY user_id
+UNION ALL SELECT user_id, 'rms_mean', avg(r) FROM rm GROUP BY user_id
+UNION ALL SELECT user_id, 'rms_std', stddev_pop(r) FROM rm GROUP BY user_id"""
+WHOLE_NAMES = [*[f"spectral_contrast_band{i}_mean" for i in range(1, 8)], "spectral_flatness_mean", "spectral_bandwidth_mean", "sub_bass_ratio", "energy_ratio_low", "energy_ratio_mid", "energy_ratio_high", "kick_prominence", "rms_mean", "rms_std"]
 
 
 @query("audio_texture", WHOLE, "value")
