@@ -5,7 +5,8 @@ import re
 import sys
 
 import pytest
-from test_text_operators import plain_base, plain_components, plain_fingerprint, plain_hits, plain_measures
+from test_jaccard import plain_group
+from test_text_operators import plain_base, plain_hits, plain_measures
 
 from taxolens.llm import op8_quality_rules, op10_secret_scan
 from taxolens.llm.queries import ORACLES, QUERIES
@@ -41,12 +42,8 @@ def test_pipeline_against_plain_stages(spark):
     kept = {r.doc_id for r in op8_quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
     assert not any(plain_measures(t)[5] for i, t in docs if i in kept)
     docs = [d for d in docs if d[0] in kept]
-    prints = {i: plain_fingerprint(t, c.SHINGLE) for i, t in docs}
-    group = plain_components(set(prints.values()), c.RADIUS)
-    first = {}
-    for i in sorted(prints):
-        first.setdefault(group[prints[i]], i)
-    docs = [d for d in docs if first[group[prints[d[0]]]] == d[0]]
+    group = plain_group(docs, c.RADIUS)
+    docs = [d for d in docs if group[d[0]] == d[0]]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [d for d in docs if not plain_hits(d[1], items)[4]]
     got = c.run(spark, SF)
