@@ -21,7 +21,7 @@ MATRIX_ROWS = 20_000
 TREE_BYTES = 4 << 30
 #: Rows from which first centres are drawn; all rows are clustered.
 INIT_ROWS = 20_000
-#: Rows of each table from which the first centres of the gap statistic are drawn.
+#: Rows of each table from which the first centres of the gap statistic and of greedy selection are drawn.
 GAP_INIT = 2_000
 #: K-means starts and rounds of the studied system.
 STARTS, ROUNDS = 50, 300
@@ -300,31 +300,46 @@ def class_tree(similarity: DataFrame, families: dict | None = None) -> DataFrame
     return similarity.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int, family string")
 
 
-def greedy_silhouette(df: DataFrame, key: str, vector: str, n: int = 20, k: int = 35, pool: int = 80, seed: int = 42) -> DataFrame:
-    """(ord, pos, silhouette): columns picked one by one so that the clusters' silhouette is largest; all candidates of a step run as tasks."""
-    spark = df.sparkSession
-    _, x = matrix(df, key, vector)
-    shared = spark.sparkContext.broadcast(x)
+def _tried(data: lloyd.Table, sample: np.ndarray, chosen: list[int], some: list[int], k: int, starts: int, rounds: int, seed: int) -> list[tuple[int, float]]:
+    """(column, mean silhouette) of k clusters on the chosen columns and each one of some, best first.
 
-    def tried(chosen: list[int], some: list[int], starts: int, rounds: int) -> list[tuple[int, float]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from taxolens.functions.estimators import kmeans, silhouette_mean
+    Every candidate's starts are models of the same scans; the best ones' silhouettes come from one pass over the distances.
+    """
+    models = []
+    for p in some:
+        own = np.array([*chosen, p])
+        spread = float(data.variances[0][own].mean())
+        models.append([lloyd.Model(c, 0, own, spread=spread) for c in lloyd.first_centres(sample[:, own], k, starts, seed)])
+    lloyd.advance(data, [m for each in models for m in each], rounds)
+    best = [min(each, key=lambda m: m.cost) for each in models]
+    sizes = [len(m.centres) for m in best]
+    rows = lloyd.labels(data, best).select(F.struct(F.lit(0).alias("row")).alias("keep"), "grp", "codes", "v")
+    got = geometry.silhouettes(rows, sizes, columns=(list(chosen), list(some)))
+    clusters = lloyd.labels(data, best).select(F.posexplode("codes").alias("pos", "code")).groupBy("pos").agg(F.count_distinct("code").alias("n"))
+    mean = got.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).join(clusters, "pos").collect()
+    return sorted(((some[r.pos], float(r.s) if r.n > 1 else -1.0) for r in mean), key=lambda r: (-r[1], r[0]))
 
-            for b in batches:
-                for p in b["pos"]:
-                    part = shared.value[:, [*chosen, int(p)]]
-                    yield pd.DataFrame({"pos": [int(p)], "s": [silhouette_mean(part, kmeans(part, k, seed, starts, rounds)[0])]})
 
-        jobs = spark.createDataFrame([(p,) for p in some], "pos int").repartition(min(len(some), 64))
-        return sorted(((r.pos, r.s) for r in jobs.mapInPandas(run, "pos int, s double").collect()), key=lambda r: (-r[1], r[0]))
+def greedy_silhouette(df: DataFrame, key: str, vector: str, n: int = 20, k: int = 35, pool: int = 80, seed: int = 42) -> DataFrame:
+    """(ord, pos, silhouette): columns picked one by one so that the clusters' silhouette is largest.
 
+    The pool is of the best single columns. All candidates of a step share its scans; no bound on rows. First centres are
+    drawn from GAP_INIT rows at most, those with the least hashes.
+    """
+    spark = df.sparkSession
+    shape = "ord int, pos int, silhouette double"
+    data = lloyd.table(df, vector)
+    if not data.spread:
+        return spark.createDataFrame([], shape)
+    sample = lloyd.matrix_of(data.rows.orderBy(F.xxhash64("v"), "v").limit(GAP_INIT).select("v").toArrow()["v"].combine_chunks()) - data.middle
     # fixed values: starts and rounds for single columns and for steps
-    alone = tried([], list(range(x.shape[1])), 5, 50)[:pool]
-    picked = [alone[0]] if alone else []
+    alone = _tried(data, sample, [], list(range(len(data.middle))), k, 5, 50, seed)[:pool]
+    picked = alone[:1]
     while len(picked) < min(n, len(alone)):
-        left = [p for p, _ in alone if p not in {q for q, _ in picked}]
-        picked.append(tried([p for p, _ in picked], left, 10, 100)[0])
-    return spark.createDataFrame([(i + 1, p, float(s)) for i, (p, s) in enumerate(picked)], "ord int, pos int, silhouette double")
+        taken = [p for p, _ in picked]
+        picked.append(_tried(data, sample, taken, [p for p, _ in alone if p not in taken], k, 10, 100, seed)[0])
+    data.unpersist()
+    return spark.createDataFrame([(i + 1, p, s) for i, (p, s) in enumerate(picked)], shape)
 
 
 def projection(df: DataFrame, vector: str, *keep: str) -> DataFrame:

@@ -135,11 +135,12 @@ def _silhouette(codes: np.ndarray, sums: np.ndarray, counts: np.ndarray, sizes:
     return out
 
 
-def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, strip: int | None = None) -> DataFrame:
+def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, strip: int | None = None, columns: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """(keep, silhouettes): exact Euclidean silhouettes of every row for several labellings at once.
 
     rows: keep (a struct), grp int, codes array<int> (its cluster in each labelling, from 0; -1: none), v array<double>;
-    sizes: clusters of each labelling.  Rows are compared inside their group.
+    sizes: clusters of each labelling.  Rows are compared inside their group.  columns: places of the columns that all labellings
+    measure by, and of one more for each labelling; squared distances add over columns, so the first ones' are worked out once. Else all columns count.
 
     All distances are needed: quadratic in time by definition.  Rows are packed into blocks, stored once.  A task
     takes some blocks and one strip of all rows; while a block meets the strip's blocks, each a matrix product, its distance sums by
@@ -203,10 +204,19 @@ def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, str
                 y = np.frombuffer(batch.column("points2")[i].as_buffer(), float).reshape(len(codes), -1)
                 member, middle = members(codes), y.mean(0)
                 a, b = x - middle, y - middle
-                d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+                if columns is not None:
+                    a, b = a[:, columns[0]], b[:, columns[0]]
+                d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
                 if batch.column("block2")[i].as_py() == now:
                     np.fill_diagonal(d, 0.0)
-                sums += np.sqrt(np.maximum(d, 0.0)) @ member
+                if columns is None:
+                    sums += np.sqrt(d) @ member
+                else:
+                    at = 0
+                    for k, c in zip(sizes, columns[1], strict=True):
+                        more = x[:, c][:, None] - y[:, c]
+                        sums[:, at : at + k] += np.sqrt(d + more * more) @ member[:, at : at + k]
+                        at += k
                 counts += member.sum(0)
         if held is not None:
             yield leaving(held, sums, counts)

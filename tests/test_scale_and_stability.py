@@ -146,6 +146,31 @@ def test_sweeps_of_odd_tables(spark):
     assert cluster.divisive(flat.limit(0), "id", "v", 3, 1).count() == 0 and cluster.gap_statistic(flat.limit(0), "id", "v", [2]).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_greedy_picks_against_every_candidate(spark, monkeypatch, block):
+    """Each step's pick is the column whose clusters, worked out by plain k-means, have the largest silhouette."""
+    monkeypatch.setattr(lloyd, "BLOCK", block)
+    x, _ = blobs(240, 3, 2)
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=240), x[:, 0], rng.normal(size=240) * 3, x[:, 1], np.ones(240)])
+    got = cluster.greedy_silhouette(vectors(spark, x), "id", "v", 3, 3, 4).collect()
+    assert [r.ord for r in got] == [1, 2, 3]
+    chosen = []
+    for r in got:
+        tried = {p: estimators.silhouette_mean(x[:, [*chosen, p]], estimators.kmeans(x[:, [*chosen, p]], 3, 1, 30)[0]) for p in range(4) if p not in chosen}
+        assert r.pos == max(tried, key=tried.get) and r.silhouette == pytest.approx(tried[r.pos], abs=0.02)
+        chosen.append(r.pos)
+
+
+def test_silhouettes_by_columns_of_each_labelling(spark):
+    rng = np.random.default_rng(6)
+    x, codes = rng.normal(size=(150, 4)), rng.integers(0, 3, (150, 2))
+    rows = spark.createDataFrame([(int(i), 0, [int(c) for c in codes[i]], x[i].tolist()) for i in range(150)], "i int, grp int, codes array<int>, v array<double>")
+    got = geometry.silhouettes(rows.select(F.struct("i").alias("keep"), "grp", "codes", "v"), [3, 3], 64, 70, ([0, 2], [1, 3])).toPandas()
+    both = np.array(got["silhouettes"].tolist())
+    assert both[:, 0].mean() == pytest.approx(estimators.silhouette_mean(x[:, [0, 2, 1]], codes[:, 0])) and both[:, 1].mean() == pytest.approx(estimators.silhouette_mean(x[:, [0, 2, 3]], codes[:, 1]))
+
+
 def divided(x, k, min_size):
     """The plain rule: every leaf judged again in every round by exhaustive starts, the best one split."""
     leaves = [np.arange(len(x))]
