@@ -132,6 +132,60 @@ def _with(df: DataFrame, aggregates: list[Column]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*aggregates)))
 
 
+#: Relative rank error of a pass is 1 / ACCURACY; so few values are taken exactly; so many columns share a pass.
+ACCURACY, EXACT, TOGETHER = 10_000, 10_000, 50
+
+
+def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column with straight lines between values; None for columns without values. Nulls, NaN and infinities are left out.
+
+    Mergeable summaries bound each quantile's values; the next pass summarises what lies between the bounds,
+    and so on until few values are left, which an exact aggregate takes. No task or aggregate holds a column's distinct values.
+    """
+    out: dict[str, list[float | None]] = {}
+    for lo in range(0, len(columns), TOGETHER):
+        out |= _quantiles(df, columns[lo : lo + TOGETHER], probabilities)
+    return out
+
+
+def _quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float | None]]:
+    values = df.select(*[clean(_q(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    row = values.agg(*[F.struct(F.count(f"c{i}").alias("n"), F.min(f"c{i}").alias("lo"), F.max(f"c{i}").alias("hi")).alias(f"c{i}") for i in range(len(columns))]).first()
+    # of each column and quantile: rank, and the bounds with the values below and within
+    open_ = {(i, j): (p * (row[f"c{i}"].n - 1), row[f"c{i}"].lo, row[f"c{i}"].hi, 0, row[f"c{i}"].n) for i in range(len(columns)) if row[f"c{i}"].n for j, p in enumerate(probabilities)}
+    found: dict[tuple[int, int], float | None] = {}
+    inside = lambda i, lo, hi: F.when(F.col(f"c{i}").between(lo, hi), F.col(f"c{i}"))
+
+    def close() -> dict:
+        """What is left to narrow: not single values, nor few values."""
+        return {k: b for k, b in open_.items() if k not in done and b[1] < b[2] and b[4] > EXACT}
+
+    done: set[tuple[int, int]] = set()
+    while some := close():
+        summaries = []
+        for (i, j), (rank, lo, hi, below, m) in some.items():
+            first, last = (math.floor(rank) - below) / m - 2 / ACCURACY, (math.floor(rank) + 2 - below) / m + 2 / ACCURACY
+            summaries.append(F.percentile_approx(inside(i, lo, hi), [max(0.0, first), min(1.0, last)], ACCURACY).alias(f"s{i}_{j}"))
+        got = values.agg(*summaries).first()
+        bounds = {(i, j): got[f"s{i}_{j}"] for i, j in some}
+        counts = values.agg(*[F.struct(F.count_if(F.col(f"c{i}") < a).alias("below"), F.count(inside(i, a, b)).alias("m")).alias(f"s{i}_{j}") for (i, j), (a, b) in bounds.items()]).first()
+        for k, (rank, lo, hi, below, m) in some.items():
+            (a, b), c = bounds[k], counts[f"s{k[0]}_{k[1]}"]
+            holds = c.below <= math.floor(rank) and c.below + c.m >= min(math.floor(rank) + 2, row[f"c{k[0]}"].n)
+            if not holds or c.m > m / 2:  # what is left is a few values of very many rows
+                done.add(k)
+            if holds:
+                open_[k] = rank, a, b, c.below, c.m
+    if open_:
+        exact = []
+        for (i, j), (rank, lo, hi, below, m) in open_.items():
+            share = (rank - below) / (m - 1) if m > 1 else 0.0
+            exact.append(F.percentile(inside(i, lo, hi), min(max(share, 0.0), 1.0)).alias(f"s{i}_{j}"))
+        got = values.agg(*exact).first()
+        found = {(i, j): got[f"s{i}_{j}"] for i, j in open_}
+    return {c: [found.get((i, j)) for j in range(len(probabilities))] for i, c in enumerate(columns)}
+
+
 def scale_standard(df: DataFrame, c: str) -> DataFrame:
     out = _with(df, [F.avg(clean(_q(c))).alias("_m"), F.stddev_pop(clean(_q(c))).alias("_s")])
     return out.withColumn("scaled", (clean(_q(c)) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
@@ -143,9 +197,8 @@ def scale_sample(df: DataFrame, c: str) -> DataFrame:
 
 
 def scale_robust(df: DataFrame, c: str) -> DataFrame:
-    q = F.percentile(clean(_q(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    spread = F.col("_q")[2] - F.col("_q")[0]
-    return _with(df, [q]).withColumn("scaled", (clean(_q(c)) - F.col("_q")[1]) / F.when(spread > 0, spread).otherwise(1.0)).drop("_q")
+    low, middle, high = (F.lit(q).cast("double") for q in quantiles(df, [c], [0.25, 0.5, 0.75])[c])
+    return df.withColumn("scaled", (clean(_q(c)) - middle) / F.when(high - low > 0, high - low).otherwise(1.0))
 
 
 def scale_minmax(df: DataFrame, c: str) -> DataFrame:
@@ -154,8 +207,8 @@ def scale_minmax(df: DataFrame, c: str) -> DataFrame:
 
 
 def scale_percent(df: DataFrame, c: str) -> DataFrame:
-    q = F.percentile(clean(_q(c)), F.array(F.lit(0.05), F.lit(0.95))).alias("_q")
-    return _with(df, [q]).withColumn("scaled", percent_band(clean(_q(c)), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    low, high = (F.lit(q).cast("double") for q in quantiles(df, [c], [0.05, 0.95])[c])
+    return df.withColumn("scaled", percent_band(clean(_q(c)), low, high))
 
 
 def fit_exponents(df: DataFrame, columns: list[str], low: float = -4.0, high: float = 4.0, precision: float = 1e-6) -> dict[str, float]:

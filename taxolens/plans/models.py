@@ -36,11 +36,10 @@ class Scaler:
             if power:
                 y = yeo_johnson(x, exponents[c])
                 parts |= {"pm": F.avg(y), "ps": F.stddev_pop(y)}
-            if self.method in ("robust", "ensemble"):
-                parts |= {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}
             made.append(F.struct(*[v.alias(k) for k, v in parts.items()]).alias(f"c{i}"))
         row = df.agg(*made).first()
-        self.facts = {c: row[f"c{i}"].asDict() | ({"exponent": exponents[c]} if power else {}) for i, c in enumerate(columns)}
+        quartiles = engineer.quantiles(df, columns, [0.25, 0.5, 0.75]) if self.method in ("robust", "ensemble") else {}
+        self.facts = {c: row[f"c{i}"].asDict() | ({"exponent": exponents[c]} if power else {}) | ({"q": quartiles[c]} if quartiles else {}) for i, c in enumerate(columns)}
         return self
 
     def scaled(self, c: str) -> Column:
@@ -48,7 +47,7 @@ class Scaler:
             raise NotFitted("fit comes first")
         f, x = self.facts[c], clean(F.col(f"`{c}`"))
         standard = lambda v, m, s: (v - F.lit(m)) / F.lit(s or 1.0)
-        robust = lambda: (x - F.lit(f["q"][1])) / F.lit((f["q"][2] - f["q"][0]) or 1.0) if f["q"] else F.lit(None).cast("double")
+        robust = lambda: (x - F.lit(f["q"][1])) / F.lit((f["q"][2] - f["q"][0]) or 1.0) if f["q"][0] is not None else F.lit(None).cast("double")
         power = lambda: standard(yeo_johnson(x, f["exponent"]), f["pm"], f["ps"])
         if self.method == "power":
             return power()

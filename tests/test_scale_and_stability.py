@@ -146,6 +146,23 @@ def test_sweeps_of_odd_tables(spark):
     assert cluster.divisive(flat.limit(0), "id", "v", 3, 1).count() == 0 and cluster.gap_statistic(flat.limit(0), "id", "v", [2]).count() == 0
 
 
+@pytest.mark.parametrize(("exact", "accuracy"), [(10_000, 10_000), (40, 50)])
+def test_quantiles_against_numpy(spark, monkeypatch, exact, accuracy):
+    """By one exact aggregate, and by bounds that close in; with ties, half of all rows equal, and lost values."""
+    monkeypatch.setattr(engineer, "EXACT", exact)
+    monkeypatch.setattr(engineer, "ACCURACY", accuracy)
+    monkeypatch.setattr(engineer, "TOGETHER", 2)
+    rng = np.random.default_rng(3)
+    n = 1500
+    columns = {"even": rng.normal(size=n), "ties": rng.integers(0, 9, n).astype(float), "half": np.where(np.arange(n) % 2 == 0, 5.0, rng.normal(size=n) * 100), "flat": np.full(n, 2.5), "holes": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n))}
+    df = spark.createDataFrame([(i, *(float(v[i]) for v in columns.values())) for i in range(n)], "id int, " + ", ".join(f"`{c}` double" for c in columns)).withColumn("none", F.lit(None).cast("double")).repartition(3)
+    at = [0.0, 0.05, 0.5, 1.0]
+    got = engineer.quantiles(df, [*columns, "none"], at)
+    for c, v in columns.items():
+        assert got[c] == pytest.approx(np.quantile(v[~np.isnan(v)], at).tolist()), c
+    assert got["none"] == [None] * len(at)
+
+
 @pytest.mark.parametrize("block", [4096, 64])
 def test_greedy_picks_against_every_candidate(spark, monkeypatch, block):
     """Each step's pick is the column whose clusters, worked out by plain k-means, have the largest silhouette."""
