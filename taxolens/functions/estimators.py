@@ -228,7 +228,12 @@ def partition_measures(x: np.ndarray, labels: np.ndarray) -> tuple[float, float]
 def agreement(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """Normalised mutual information (arithmetic) and adjusted Rand index of two labellings."""
     one, two = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
-    t = np.bincount(one * (two.max() + 1) + two, minlength=(one.max() + 1) * (two.max() + 1)).reshape(one.max() + 1, -1).astype(float)
+    return table_agreement(np.bincount(one * (two.max() + 1) + two, minlength=(one.max() + 1) * (two.max() + 1)).reshape(one.max() + 1, -1))
+
+
+def table_agreement(t: np.ndarray) -> tuple[float, float]:
+    """The same from the counts of each pair of labels."""
+    t = t.astype(float)
     n, rows, columns = t.sum(), t.sum(1), t.sum(0)
     some = t > 0
     mi = (t[some] / n * np.log(n * t[some] / np.outer(rows, columns)[some])).sum()

@@ -110,10 +110,10 @@ def _distances(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
     return keys, np.sqrt(d, out=d)
 
 
-def _moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], ...]:
+def moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: list[np.ndarray] | None = None, columns: list[list[int]] | None = None) -> tuple[list[np.ndarray], ...]:
     """Of each labelling's clusters: sizes and mean vectors; or, given centres, sums of distances and of their squares. One pass for all labellings.
 
-    rows: codes array<int> and v; what reaches the driver is one row a cluster.
+    rows: codes array<int> and v; columns: places of those that each labelling's distances take, all if not given. What reaches the driver is one row a cluster.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -132,7 +132,8 @@ def _moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: lis
                 there = codes[:, i] >= 0
                 code, part = codes[there, i], x[there]
                 if shared.value is not None:
-                    d = ((part - shared.value[i][code]) ** 2).sum(1)
+                    own = slice(None) if columns is None else columns[i]
+                    d = ((part[:, own] - shared.value[i][code][:, own]) ** 2).sum(1)
                     part = np.column_stack([np.sqrt(d), d])
                 member = np.zeros((len(part), k))
                 member[np.arange(len(part)), code] = 1
@@ -151,6 +152,19 @@ def _moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: lis
     return n, sums
 
 
+def spread_measures(n: np.ndarray, centres: np.ndarray, away: np.ndarray) -> tuple[float, float, float] | None:
+    """Calinski-Harabasz, Davies-Bouldin and inertia from clusters' sizes, centres and sums of distances and squares; None for fewer than two."""
+    j = np.flatnonzero(n)
+    if len(j) < 2:
+        return None
+    c, size, total = centres[j], n[j], n.sum()
+    spread, within = away[j, 0] / size, away[j, 1].sum()
+    gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
+    np.fill_diagonal(gap, np.inf)
+    between = (size * ((c - (size[:, None] * c).sum(0) / total) ** 2).sum(1)).sum()
+    return float(between / (len(j) - 1) / max(within / max(total - len(j), 1), 1e-12)), float(((spread[:, None] + spread[None]) / gap).max(1).mean()), float(within)
+
+
 def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = STARTS, seed: int = 42) -> DataFrame:
     """(k, silhouette, calinski, davies_bouldin, inertia) of the best of several starts for each k; (-1, 0, inf, inf) for fewer than two clusters.
 
@@ -167,24 +181,15 @@ def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = STA
     models = _fitted(data, ks, starts, ROUNDS, seed)
     sizes = [len(m.centres) for m in models]
     rows = lloyd.labels(data, models).persist()
-    n, sums = _moments(rows, sizes, data.middle)
+    n, sums = moments(rows, sizes, data.middle)
     centres = [s / np.maximum(c, 1)[:, None] for s, c in zip(sums, n, strict=True)]
-    _, away = _moments(rows, sizes, data.middle, centres)
+    _, away = moments(rows, sizes, data.middle, centres)
     values = geometry.silhouettes(rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), F.lit(0).alias("grp"), "codes", "v"), sizes)
     near = {r.pos: r.s for r in values.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()}
     out = []
     for i, k in enumerate(ks):
-        j = np.flatnonzero(n[i])
-        if len(j) < 2:
-            out.append((k, -1.0, 0.0, math.inf, math.inf))
-            continue
-        c, size, spread, within = centres[i][j], n[i][j], away[i][j, 0] / n[i][j], away[i][j, 1].sum()
-        gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
-        np.fill_diagonal(gap, np.inf)
-        middle = (size[:, None] * c).sum(0) / total
-        between = (size * ((c - middle) ** 2).sum(1)).sum()
-        calinski = between / (len(j) - 1) / max(within / max(total - len(j), 1), 1e-12)
-        out.append((k, float(near[i]), float(calinski), float(((spread[:, None] + spread[None]) / gap).max(1).mean()), float(within)))
+        measured = spread_measures(n[i], centres[i], away[i])
+        out.append((k, -1.0, 0.0, math.inf, math.inf) if measured is None else (k, float(near[i]), *measured))
     rows.unpersist()
     data.unpersist()
     return spark.createDataFrame(out, shape)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolens.functions.estimators import table_agreement
 from taxolens.functions.numeric import eps_range
-from taxolens.operators import cluster, contingency, engineer, geometry, select
+from taxolens.operators import cluster, contingency, engineer, geometry, lloyd, select
 from taxolens.plans.models import FeatureEngineer
 from taxolens.sources import sinks
 
@@ -54,14 +54,13 @@ def feature_count_grid(
     df: DataFrame, key: str, label: str, vector: str, greedy: list[int], ranked: list[int],
     totals: tuple[int, ...] = GRID_TOTALS, extras: tuple[int, ...] = GRID_EXTRAS, greedy_range: tuple[int, int] = GRID_GREEDY, ks: tuple[int, ...] = GRID_KS, seed: int = 42,
 ) -> DataFrame:
-    """(total, n_greedy, extra, k, silhouette, davies_bouldin, calinski, nmi, ari, composite): every feature count, one task a configuration.
+    """(total, n_greedy, extra, k, silhouette, davies_bouldin, calinski, nmi, ari, composite): every feature count.
 
-    A configuration takes the first n_greedy of one list and the best `extra` of the other that it lacks.
-    composite: the sum of the five measures, each to its unit range, Davies-Bouldin turned round.
+    A configuration takes the first n_greedy of one list and the best `extra` of the other that it lacks. The starts of
+    all configurations advance in the same scans, and sums by cluster come from two; configurations of equal columns share a pass over the distances.
+    composite: the sum of the five measures, each to its unit range, Davies-Bouldin turned round. No bound on rows.
     """
-    keys, x = cluster.matrix(df, key, vector)
-    y = pd.factorize(np.array(df.select(F.col(key).alias("k"), F.col(label).alias("y")).orderBy("k").toArrow()["y"].to_pylist(), object), sort=True)[0]
-    shared = df.sparkSession.sparkContext.broadcast((x, y))
+    spark = df.sparkSession
     configs = []
     for total in totals:
         for extra in extras:
@@ -69,22 +68,34 @@ def feature_count_grid(
             if greedy_range[0] <= n <= greedy_range[1]:
                 first = greedy[:n]
                 configs += [(total, n, extra, k, [*first, *[p for p in ranked if p not in first][:extra]]) for k in ks]
-    shape = "total int, n_greedy int, extra int, k int, silhouette double, davies_bouldin double, calinski double, nmi double, ari double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from taxolens.functions.estimators import agreement, kmeans, partition_measures, silhouette_mean
-
-        x, y = shared.value
-        for b in batches:
-            for r in b.itertuples(index=False):
-                part = x[:, list(r.features)]
-                label, _ = kmeans(part, int(r.k), seed, 10, 100)
-                davies, calinski = partition_measures(part, label)
-                nmi, ari = agreement(y, label)
-                yield pd.DataFrame([(r.total, r.n_greedy, r.extra, r.k, silhouette_mean(part, label), davies, calinski, nmi, ari)], columns=[c.split()[0] for c in shape.split(", ")])
-
-    jobs = df.sparkSession.createDataFrame(configs, "total int, n_greedy int, extra int, k int, features array<int>").repartition(len(configs))
-    got = jobs.mapInPandas(run, shape)
+    data = lloyd.table(df.select(F.col(label).cast("string").alias("y"), F.col(vector).alias("v")), "v", ("y",))
+    sample = lloyd.matrix_of(data.rows.orderBy(F.xxhash64("v"), "v").limit(cluster.GAP_INIT).select("v").toArrow()["v"].combine_chunks()) - data.middle
+    models = [[lloyd.Model(c, 0, np.array(p), spread=float(data.variances[0][p].mean())) for c in lloyd.first_centres(sample[:, p], k, 10, seed)] for _, _, _, k, p in configs]
+    lloyd.advance(data, [m for each in models for m in each], 100)
+    best = [min(each, key=lambda m: m.cost) for each in models]
+    sizes, columns = [len(m.centres) for m in best], [c[-1] for c in configs]
+    rows = lloyd.labels(data, best, "y").persist()
+    n, sums = cluster.moments(rows, sizes, data.middle)
+    centres = [s / np.maximum(c, 1)[:, None] for s, c in zip(sums, n, strict=True)]
+    _, away = cluster.moments(rows, sizes, data.middle, centres, columns)
+    names = {r.y: i for i, r in enumerate(rows.select("y").distinct().orderBy("y").collect())}
+    counts = [np.zeros((size, len(names))) for size in sizes]
+    for r in rows.select("y", F.posexplode("codes").alias("pos", "code")).groupBy("pos", "code", "y").agg(F.count("*").alias("n")).collect():
+        counts[r.pos][r.code, names[r.y]] = r.n
+    near: dict[int, float] = {}
+    for own in {tuple(c): None for c in columns}:
+        at = [i for i, c in enumerate(columns) if tuple(c) == own]
+        some = rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), "grp", F.array(*[F.col("codes")[i] for i in at]).alias("codes"), F.array(*[F.col("v")[c] for c in own]).alias("v"))
+        got = geometry.silhouettes(some, [sizes[i] for i in at]).select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()
+        near |= {at[r.pos]: float(r.s) for r in got}
+    out = []
+    for i, (total, first, extra, k, own) in enumerate(configs):
+        measured = cluster.spread_measures(n[i], centres[i][:, own], away[i])
+        calinski, davies, _ = measured or (0.0, math.inf, 0.0)
+        out.append((total, first, extra, k, near[i] if measured else -1.0, davies, calinski, *table_agreement(counts[i])))
+    rows.unpersist()
+    data.unpersist()
+    got = spark.createDataFrame(out, "total int, n_greedy int, extra int, k int, silhouette double, davies_bouldin double, calinski double, nmi double, ari double")
     w = Window.partitionBy()
     unit = lambda c, turned=False: eps_range(F.col(c), F.min(c).over(w), F.max(c).over(w), turned)
     return got.withColumn("composite", unit("silhouette") + unit("calinski") + unit("nmi") + unit("ari") + unit("davies_bouldin", True))

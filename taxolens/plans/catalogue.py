@@ -1037,7 +1037,7 @@ def _(s, d):
     from taxolens.plans.analysis import feature_count_grid
 
     e = embeddings(s, d)
-    greedy = [r.pos for r in cluster.greedy_silhouette(e, "track_id", "v", 35, pool=40).orderBy("ord").collect()]
+    greedy = [r.pos for r in cluster.greedy_silhouette(e, "track_id", "v", 35, pool=60).orderBy("ord").collect()]
     ranked = [int(r.feature[1:]) for r in ensemble_scores(s, d).orderBy("rank").collect()]
     return feature_count_grid(e, "track_id", "genre", "v", greedy, ranked)
 

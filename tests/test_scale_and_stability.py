@@ -351,6 +351,12 @@ def test_grid_has_all_configurations(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(80, 50))
     got = feature_count_grid(vectors(spark, x, y=np.arange(80) % 4), "id", "y", "v", list(range(35)), list(range(49, -1, -1)), ks=(3, 5)).toPandas()
+    one = got[(got["total"] == 20) & (got["extra"] == 5) & (got["k"] == 3)].iloc[0]
+    own = x[:, [*range(15), *range(49, 44, -1)]]
+    label, _ = estimators.kmeans(own, 3, 1, 40)
+    davies, calinski = estimators.partition_measures(own, label)
+    for name, want in (("silhouette", estimators.silhouette_mean(own, label)), ("davies_bouldin", davies), ("calinski", calinski)):
+        assert one[name] == pytest.approx(want, rel=0.25), name
     assert len(got) == 28 and got["composite"].between(0, 5 + 1e-9).all() and (got["n_greedy"] + got["extra"] == got["total"]).all()
 
 
