@@ -184,7 +184,7 @@ def sweep(df: DataFrame, key: str, vector: str, ks: list[int], starts: int = STA
     n, sums = moments(rows, sizes, data.middle)
     centres = [s / np.maximum(c, 1)[:, None] for s, c in zip(sums, n, strict=True)]
     _, away = moments(rows, sizes, data.middle, centres)
-    values = geometry.silhouettes(rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), F.lit(0).alias("grp"), "codes", "v"), sizes)
+    values = geometry.silhouettes(rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), F.lit(0).alias("grp"), "codes", "v"), sizes, n=total)
     near = {r.pos: r.s for r in values.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()}
     out = []
     for i, k in enumerate(ks):
@@ -319,10 +319,12 @@ def _tried(data: lloyd.Table, sample: np.ndarray, chosen: list[int], some: list[
     best = [min(each, key=lambda m: m.cost) for each in models]
     sizes = [len(m.centres) for m in best]
     rows = lloyd.labels(data, best).select(F.struct(F.lit(0).alias("row")).alias("keep"), "grp", "codes", "v")
-    got = geometry.silhouettes(rows, sizes, columns=(list(chosen), list(some)))
-    clusters = lloyd.labels(data, best).select(F.posexplode("codes").alias("pos", "code")).groupBy("pos").agg(F.count_distinct("code").alias("n"))
-    mean = got.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).join(clusters, "pos").collect()
-    return sorted(((some[r.pos], float(r.s) if r.n > 1 else -1.0) for r in mean), key=lambda r: (-r[1], r[0]))
+    got = geometry.silhouettes(rows, sizes, columns=(list(chosen), list(some)), n=data.spread[0][0])
+    mean = {r.pos: float(r.s) for r in got.select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()}
+    if any(s == 0 for s in mean.values()):  # one cluster, or a rare draw
+        kinds = rows.select(F.posexplode("codes").alias("pos", "code")).groupBy("pos").agg(F.count_distinct("code").alias("n")).collect()
+        mean |= {r.pos: -1.0 for r in kinds if r.n < 2}
+    return sorted(((some[pos], s) for pos, s in mean.items()), key=lambda r: (-r[1], r[0]))
 
 
 def greedy_silhouette(df: DataFrame, key: str, vector: str, n: int = 20, k: int = 35, pool: int = 80, seed: int = 42) -> DataFrame:

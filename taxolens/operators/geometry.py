@@ -135,12 +135,12 @@ def _silhouette(codes: np.ndarray, sums: np.ndarray, counts: np.ndarray, sizes:
     return out
 
 
-def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, strip: int | None = None, columns: tuple[list[int], list[int]] | None = None) -> DataFrame:
+def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, strip: int | None = None, columns: tuple[list[int], list[int]] | None = None, n: int | None = None) -> DataFrame:
     """(keep, silhouettes): exact Euclidean silhouettes of every row for several labellings at once.
 
     rows: keep (a struct), grp int, codes array<int> (its cluster in each labelling, from 0; -1: none), v array<double>;
     sizes: clusters of each labelling.  Rows are compared inside their group.  columns: places of the columns that all labellings
-    measure by, and of one more for each labelling; squared distances add over columns, so the first ones' are worked out once. Else all columns count.
+    measure by, and of one more for each labelling; squared distances add over columns, so the first ones' are worked out once. Else all columns count.  n: how many rows there are, if known.
 
     All distances are needed: quadratic in time by definition.  Rows are packed into blocks, stored once.  A task
     takes some blocks and one strip of all rows; while a block meets the strip's blocks, each a matrix product, its distance sums by
@@ -151,7 +151,7 @@ def silhouettes(rows: DataFrame, sizes: list[int], block: int | None = None, str
 
     spark = rows.sparkSession
     kinds = sum(sizes)
-    n = rows.count()
+    n = rows.count() if n is None else n
     cores = spark.sparkContext.defaultParallelism
     block = max(64, min(block or BLOCK, -(-n // cores), SUM_BYTES // (8 * max(kinds, 1))))
     keep = rows.schema["keep"].dataType.simpleString()

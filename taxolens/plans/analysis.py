@@ -86,7 +86,7 @@ def feature_count_grid(
     for own in {tuple(c): None for c in columns}:
         at = [i for i, c in enumerate(columns) if tuple(c) == own]
         some = rows.select(F.struct(F.lit(0).alias("row")).alias("keep"), "grp", F.array(*[F.col("codes")[i] for i in at]).alias("codes"), F.array(*[F.col("v")[c] for c in own]).alias("v"))
-        got = geometry.silhouettes(some, [sizes[i] for i in at]).select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()
+        got = geometry.silhouettes(some, [sizes[i] for i in at], n=data.spread[0][0]).select(F.posexplode("silhouettes").alias("pos", "s")).groupBy("pos").agg(F.avg("s").alias("s")).collect()
         near |= {at[r.pos]: float(r.s) for r in got}
     out = []
     for i, (total, first, extra, k, own) in enumerate(configs):
