@@ -3,12 +3,13 @@
 Two sets with a similarity of SHARE (4/5) or more hold a common member among the
 first s - ceil(4s/5) + 1 of each, in any order that is the same for all (prefix
 filter).  The order here is rarest first: shingles that many texts of some chunk
-hold come last, by their count; all others come first, by hash.  Counts only speed
-things up: links don't depend on them.
+hold come last, by their count; all others come first, by hash.  Prefixes are dealt by member, and
+members that more than LARGE sets turn out to share, over all tasks, are moved back by that count and prefixes
+taken anew, ORDERS times at most.  Counts only speed things up: links don't depend on them.
 
-Texts that share a prefix member are candidates if sizes and bitmaps of parities (a
-lower bound of the symmetric difference) allow the overlap; then both texts' sets are
-intersected.  Where more than `hot` texts share a member, pairs aren't formed at once:
+Texts that share a prefix member are candidates if sizes, its places in both orders (what comes before the first
+shared member isn't shared) and bitmaps of parities (a lower bound of the symmetric difference) allow the overlap;
+then both texts' sets are intersected.  Where more than `hot` texts share a member, pairs aren't formed at once:
 in rounds, every text is compared with one other that it shares a member with and isn't
 joined to yet, and members whose texts have all come together are closed.  That goes on
 while it finds links (and ROUNDS times at most).  Afterwards pairs are formed of those
@@ -17,6 +18,10 @@ copies costs no square, and no link between groups is lost.
 
 Sets hold 64-bit hashes; equal sets are one node, named by a 64-bit hash.  Of a node
 one text stands for all.
+
+Null, blank and empty texts have the empty set and are one node, so of them one row stays. Rows with a null id
+stay and never stand for others. Ties go to the least id, then the least hash of the text; of rows equal in id and text one stays. Texts
+are read whole, a long one alone in its piece. An empty table gives none; further columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ from taxolens.llm.textkit import text_chunks
 SHARE = 4, 5
 #: Members that more texts than this share go through rounds of single comparisons first.
 HOT, ROUNDS = 1, 2
+#: Members that more sets than LARGE share go back in the order; prefixes are taken ORDERS times at most.
+LARGE, ORDERS = 24, 3
 #: Shingles of so many texts' sets are counted together; those in fewer than COMMON texts and a thousandth aren't frequent.
 COUNTED, COMMON, MOST_FREQUENT = 1 << 18, 4, 200_000
 #: Bytes of text that a worker takes at a time.
@@ -134,7 +141,7 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, shingle: int, often: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """(token, node, size): the prefix of every set, members that no other set shares left out; dealt once, by member."""
+    """(token, node, size, place): the prefix of every set in order, members that no other set shares left out; dealt once, by member."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +160,11 @@ def prefixes(docs: DataFrame, shingle: int, often: tuple[np.ndarray, np.ndarray]
                         sizes.append(len(members))
                 if nodes:
                     each = np.array([len(x) for x in firsts])
-                    columns = np.concatenate(firsts).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), each), np.repeat(np.array(sizes, np.int32), each)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size"])
+                    places = np.concatenate([np.arange(n, dtype=np.int32) for n in each])
+                    columns = np.concatenate(firsts).view(np.int64), np.repeat(np.array(nodes, np.uint64).view(np.int64), each), np.repeat(np.array(sizes, np.int32), each), places
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "size", "place"])
 
-    dealt = docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, node bigint, size int").repartition("token")
+    dealt = docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, node bigint, size int, place int").repartition("token")
     many = dealt.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     return dealt.join(many.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"])
 
@@ -165,6 +173,33 @@ def _sizes_fit(a: str, b: str) -> Column:
     return SHARE[1] * F.least(a, b) >= SHARE[0] * F.greatest(a, b)
 
 
+def _places_fit() -> Column:
+    """Whether two sets whose first shared member this is can overlap in 4/9 of both sizes together."""
+    left = F.least(*[F.col(f"{s}_size") - F.col(f"{s}_place") for s in "ab"])
+    return (SHARE[0] + SHARE[1]) * left >= SHARE[0] * (F.col("a_size") + F.col("b_size"))
+
+
+def _ordered(docs: DataFrame, shingle: int, often: tuple[np.ndarray, np.ndarray], text: str) -> tuple[DataFrame, str]:
+    """Prefixes, stored, in an order that has put the members that many sets share last; and their path."""
+    spark = docs.sparkSession
+    for turn in range(ORDERS):
+        rows, at = store(prefixes(docs, shingle, often, text), "shared")
+        if turn + 1 == ORDERS:
+            break
+        large = rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+        token, n = large["token"].to_numpy(np.int64).view(np.uint64), large["n"].to_numpy(np.int64)
+        if np.isin(token, often[0]).all():
+            break
+        every = np.concatenate([often[0], token])
+        most = np.concatenate([often[1], n])
+        order = np.lexsort((-most, every))
+        every, most = every[order], most[order]
+        first = np.concatenate(([True], every[1:] != every[:-1]))
+        often = every[first], most[first]
+        remove_path(spark, at)
+    return rows, at
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Those pairs whose sizes and parities allow similar sets, which overlap in 4/9 of both sizes together at least."""
     p, q = SHARE
@@ -213,10 +248,10 @@ def linked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, do
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, node, size, root) of members whose texts aren't all joined."""
-    rows = rows.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(token, node, size, place, root) of members whose texts aren't all joined."""
+    rows = rows.select("token", "node", "size", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    return rows.join(apart, "token").select("token", "node", "size", "root")
+    return rows.join(apart, "token").select("token", "node", "size", "place", "root")
 
 
 def _singles(rows: DataFrame, turn: int, hot: int) -> DataFrame:
@@ -235,7 +270,8 @@ def _singles(rows: DataFrame, turn: int, hot: int) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, often: tuple[np.ndarray, np.ndarray], shingle: int, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(a, b): joins all nodes whose sets are similar, directly or through others that are."""
     spark = docs.sparkSession
-    rows, at = store(prefixes(docs, shingle, often, text).withColumn("root", F.col("node")), "shared")
+    rows, at = _ordered(docs, shingle, often, text)
+    rows = rows.withColumn("root", F.col("node"))
     found = None
     for turn in range(ROUNDS):
         one = linked(docs, _singles(rows, turn, hot), nodes, shingle, doc_id, text)
@@ -244,8 +280,8 @@ def links(docs: DataFrame, nodes: DataFrame, often: tuple[np.ndarray, np.ndarray
             break
         before, (rows, at) = at, store(_open(rows, components(found).select("node", "root")), "open")
         remove_path(spark, before)
-    one, two = (rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "root")]) for s in "ab")
-    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_fit("a_size", "b_size")
+    one, two = (rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", "place", "root")]) for s in "ab")
+    fit = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_fit("a_size", "b_size") & _places_fit()
     pairs, pairs_at = store(one.join(two, "token").where(fit).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
     found = found.union(linked(docs, pairs, nodes, shingle, doc_id, text))
     for path in (at, pairs_at):

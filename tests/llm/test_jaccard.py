@@ -59,6 +59,42 @@ def test_groups_against_all_pairs(spark, hot):
     assert got == plain_group(docs, 2)
 
 
+def test_shingles_that_few_texts_of_each_task_share(spark):
+    """One line in three texts of each of 40 tasks: no task sees it often, but it must not make all of them pairs."""
+    rng = random.Random(3)
+    line = " ".join(f"l{i}" for i in range(12))
+    rows = []
+    for task in range(40):
+        for i in range(6):
+            body = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+            rows.append((task * 6 + i, " ".join(body[:20]) + " " + (line if i < 3 else "other") + " " + " ".join(body[20:])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(40, "doc_id")
+    none = (jaccard.np.zeros(0, jaccard.np.uint64), jaccard.np.zeros(0, jaccard.np.int64))
+    before = jaccard.prefixes(docs, 5, none)
+    after, _ = jaccard._ordered(docs, 5, none, "text")
+    pairs = lambda r: sum(n * (n - 1) // 2 for (n,) in r.groupBy("token").count().select("count").collect())
+    assert pairs(before) > 5000 and pairs(after) <= len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.group(docs, 5, 2).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
+@pytest.mark.parametrize("large", [0, 3])
+def test_any_order_gives_all_links(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    docs = near_copies()
+    got = {r.doc_id: r.component_id for r in jaccard.group(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 5, 2).collect()}
+    assert got == plain_group(docs, 2)
+
+
+def test_odd_rows(spark):
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [(1, None, "a"), (2, "", "b"), (3, "  ", "c"), (4, long, "d"), (5, long, "e"), (6, "one word", "f"), (6, "one word", "g"), (None, "one word", "h"), (7, "é", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
+    kept = jaccard.first_of_groups(docs, 5, 2)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0 for r in kept.collect())) == [0, 1, 4, 6, 7]
+    assert jaccard.first_of_groups(docs.limit(0), 5, 2).count() == 0
+
+
 def test_stage_drops_a_copy_with_a_changed_word(spark):
     import corpus_pipeline
 
