@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from taxolens.operators import curves, geometry, lloyd
-from taxolens.operators.divisive import divisive as divisive
+from taxolens.operators.divisive import divisive as divisive  # part of this module's surface
 
-#: Rows that operators on one matrix (greedy selection) accept.
+#: Rows that `matrix` gives unless its caller allows another number.
 MATRIX_ROWS = 20_000
 #: Bytes that a tree of rows may take on the driver: three square matrices of doubles.
 TREE_BYTES = 4 << 30
