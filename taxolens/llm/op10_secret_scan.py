@@ -13,7 +13,7 @@ of a match follows from the lengths of the matches and of what lies between them
 Null texts are empty.  Repeated rows, ties and copies share one blob and one
 scan, and each row gets the findings.  Null ids stay null.  Columns other than
 the id and the text are not read, so clashing names do no harm.  Copies of one
-text are reduced on the map side before the shuffle.  A text with very many matches
+text are reduced on the map side before the shuffle, and spread when findings are joined back.  A text with very many matches
 takes time in proportion to them, but for copies of short arrays (see `_spans`).
 """
 
@@ -27,7 +27,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolens.llm.common import new_path
+from taxolens.llm.common import HOT_KEYS, new_path
+
+#: Rows of one text that lie together when its findings are joined back; more are spread.
+COPIES = 1000
 
 
 @dataclass(frozen=True)
@@ -153,16 +156,31 @@ def update_ledger(versions: DataFrame, text: str, ledger: str, rules: tuple[Secr
     return read_ledger(spark, ledger).where(F.col("rules") == version)
 
 
+def spread(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (row, _key) with _part, found (_blob, _spans) with _own: the rows of a frequent blob lie in parts of some COPIES rows.
+
+    All executors get the digests of the HOT_KEYS most frequent blobs and their numbers of parts, some 40 bytes
+    each; findings are repeated for every part, at most a COPIES-th of the rows.
+    """
+    copies = rows.groupBy(F.col("_key").alias("_hot")).agg(F.count("*").alias("n")).where(F.col("n") > COPIES)
+    hot = F.broadcast(copies.orderBy(F.desc("n"), "_hot").limit(HOT_KEYS).select("_hot", F.ceil(F.col("n") / COPIES).alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("row", F.spark_partition_id()), F.col("_parts")), F.lit(0))
+    rows = rows.join(hot, F.col("_key") == F.col("_hot"), "left").select("row", "_key", part.alias("_part"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint") - 1)
+    return rows, found.join(hot, F.col("_blob") == F.col("_hot"), "left").select("_blob", "_spans", F.explode(parts).alias("_own"))
+
+
 def findings(versions: DataFrame, text: str, carry: tuple[str, ...], ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES, label: str = "rules") -> DataFrame:
     """row (a struct of carry) and spans of every version; without a ledger, a new one in the shared folder is used.
 
-    Only blobs with findings are joined; the rest get an empty list.
+    Only blobs with findings are joined; the rest get an empty list.  Copies of one text are spread (`spread`).
     """
     spark = versions.sparkSession
     held = update_ledger(versions, text, ledger or new_path(spark, "ledger"), rules, label)
     found = held.where("size(spans) > 0").groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
     rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), blob_of(text).alias("_key"))
-    joined = rows.join(found, F.col("_key") == F.col("_blob"), "left")
+    rows, found = spread(rows, found)
+    joined = rows.join(found, (F.col("_key") == F.col("_blob")) & (F.col("_part") == F.col("_own")), "left")
     return joined.select("row", F.coalesce("_spans", _no(SPAN)).alias("spans"))
 
 

@@ -3,6 +3,7 @@
 import re
 import time
 
+from pyspark.sql import functions as F
 from test_text_operators import frame, plain_base
 
 from taxolens.llm import op10_secret_scan
@@ -43,6 +44,18 @@ def test_doubled_ledger_rows_change_nothing(spark, tmp_path):
     assert sorted((r.row.path, len(r.spans)) for r in got) == [("a", 1), ("b", 1), ("c", 0)]
 
 
+def test_copies_of_one_text_are_spread(spark):
+    """10,000 copies of a text with a secret, and as many of a plain one, never lie together, and each gets its findings."""
+    some = spark.range(10_000).repartition(8).selectExpr("id AS doc_id", "explode(array('x token=abcdefgh y', 'plain')) AS text").union(spark.sql("SELECT 10000L, 'key token=other0123'"))
+    rows = some.select(F.struct("doc_id").alias("row"), op10_secret_scan.blob_of("text").alias("_key"))
+    found = rows.select(F.col("_key").alias("_blob")).distinct().withColumn("_spans", F.array())
+    parted, facts = op10_secret_scan.spread(rows, found)
+    sizes = [r["count"] for r in parted.groupBy("_key", "_part").count().collect()]
+    assert sum(sizes) == 20_001 and max(sizes) < 2 * op10_secret_scan.COPIES and facts.count() == 21
+    got = op10_secret_scan.findings(some, "text", ("doc_id", "text"))
+    assert {(r.text, r.n, r["count"]) for r in got.groupBy("row.text", F.size("spans").alias("n")).count().collect()} == {("x token=abcdefgh y", 1, 10_000), ("plain", 0, 10_000), ("key token=other0123", 1, 1)}
+
+
 def test_many_matches(spark):
     def run(n):
         text = "é " + "".join(f"token=abc{i:05d}; " for i in range(n))
