@@ -10,18 +10,21 @@ or more, 2 REACH + 1 on average, whatever the length of the words, and an insert
 moves those within REACH words of it.  Chunks are compared by a 128-bit digest of
 their bytes.
 
-A chunk is a repeat if documents with different ids hold it.  Neighbouring repeats
-form a run; runs of MIN_SPAN_WORDS words or more are reported, with the id of the
-first document that holds them.  A passage of over 50 words loses about REACH words
+A chunk is a repeat if it lies in two places: in documents with different ids, in two
+texts of one id, or twice in one text.  Its first place is in the document with the
+least id, there where the text first has it.  (Several texts of one id: if no other id
+holds the chunk, the first is the text with the least hash; else each of the least id's
+texts has a first place.)  Neighbouring repeats form a run; runs of MIN_SPAN_WORDS words
+or more are reported, with the id of the first document that holds them.  A passage of over 50 words loses about REACH words
 and 16 bytes at either end and the chunks that its ends cut, which leaves more than
 MIN_SPAN_WORDS (over 0.99 of such passages for words of any length; tests measure
 it).  Spans are whole chunks: a little less than the passage, never more.  Parts of
-a run that an earlier document holds are reported apart from those that are first
-here.  A passage that is itself periodic for over MAX_CHUNK bytes lines up only if
+a run that have an earlier place are reported apart from those that are first here.  A passage that is itself periodic for over MAX_CHUNK bytes lines up only if
 its beginning is shared too.
 
-Shuffles carry digests and places, never texts; the ids per digest are combined on
-the map side, and digests that very many chunks share are joined by broadcast.
+Every text is chunked once; digests and places are stored.  Shuffles carry these, never
+texts; what tells a digest's places apart is combined on the map side, and digests that
+very many chunks share are joined by broadcast.
 
 Null and empty texts have no chunk.  Rows with a null id can't be named and are
 left out; rows with one id and one text count once, and never repeat each other.
@@ -122,7 +125,10 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 pair = np.frombuffer(keys, "<i8").reshape(-1, 2)
                 row = np.repeat(np.arange(hi - lo), np.diff(ptr))
                 n_words = np.searchsorted(words, ends) - np.searchsorted(words, starts)
-                place = (starts - offsets[:-1][row]) << 20 | (ends - starts) << 10 | n_words
+                order = np.lexsort((pair[:, 1], pair[:, 0], row))
+                again = np.zeros(len(row), np.int64)
+                again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (pair[order[1:]] == pair[order[:-1]]).all(1)
+                place = (starts - offsets[:-1][row]) << 21 | again << 20 | (ends - starts) << 10 | n_words
                 of = pa.array(row)
                 ids, whole = (batch.column(c).slice(lo, hi - lo).take(of) for c in ("doc_id", "text_key"))
                 yield pa.RecordBatch.from_arrays([ids, whole, pa.array(place), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["doc_id", "text_key", "place", "d1", "d2"])
@@ -133,7 +139,12 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def _start() -> Column:
-    return F.shiftright("place", 20)
+    return F.shiftright("place", 21)
+
+
+def _again() -> Column:
+    """Whether the chunk has an earlier place in the same text."""
+    return F.shiftright("place", 20).bitwiseAND(1) == 1
 
 
 def _stop() -> Column:
@@ -145,36 +156,42 @@ def _words() -> Column:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span_words: int = MIN_SPAN_WORDS) -> DataFrame:
-    """doc_id, text_key, start, stop (bytes), n_chunks, n_words, first_doc_id of every repeated span.
+    """doc_id, text_key, start, stop (bytes), n_chunks, n_words, first_doc_id, first_here of every repeated span.
 
-    A run of repeats of min_span_words or more is reported in parts: those whose chunks an earlier document
-    holds, and those that are first here.  first_doc_id: the first document with the part's most particular
-    chunk, which is the largest of its chunks' least ids; it equals doc_id in the parts that are first here.
+    A run of repeats of min_span_words or more is reported in parts: those whose chunks have an earlier place,
+    and those that are first here.  first_doc_id: the first document with the part's most particular
+    chunk, which is the largest of its chunks' least ids; it equals doc_id in the parts that are first here, and in
+    those whose earlier place is in the same text or id.
     """
-    every = chunks(docs, doc_id, text)
-    held = every.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    held = stored(held.where("least != most").select("d1", "d2", "least", "n"), "held")
-    found = spread_join(every, held, ["d1", "d2"], hint="shuffle_hash").select("doc_id", "text_key", "place", "least")
+    every = stored(chunks(docs, doc_id, text), "chunks")
+    held = every.groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("text_key").alias("key"), F.max("text_key").alias("last_key"), F.max(_again()).alias("again"), F.count("*").alias("n")
+    )
+    one_id = F.col("least") == F.col("most")
+    held = held.where(~one_id | (F.col("key") != F.col("last_key")) | F.col("again"))
+    held = stored(held.select("d1", "d2", "least", F.when(one_id, F.col("key")).alias("key"), "n"), "held")
+    found = spread_join(every, held, ["d1", "d2"], hint="shuffle_hash").select("doc_id", "text_key", "place", "least", "key")
     found = found.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "place"])
-    found = found.select("doc_id", "text_key", _start().alias("start"), _stop().alias("stop"), _words().alias("words"), (F.col("least") == F.col("doc_id")).alias("first_here"), "least")
+    first = (F.col("least") == F.col("doc_id")) & ~_again() & (F.col("key").isNull() | (F.col("key") == F.col("text_key")))
+    found = found.select("doc_id", "text_key", _start().alias("start"), _stop().alias("stop"), _words().alias("words"), first.alias("first_here"), "least")
     own = Window.partitionBy("doc_id", "text_key").orderBy("start")
     fresh = lambda c: F.coalesce(c, F.lit(True)).cast("int")
     marked = found.withColumn("apart", fresh(F.lag("stop").over(own) != F.col("start"))).withColumn("part", F.greatest("apart", fresh(F.lag("first_here").over(own) != F.col("first_here"))))
     numbered = marked.withColumns({"run": F.sum("apart").over(own), "part": F.sum("part").over(own)})
     parts = numbered.groupBy("doc_id", "text_key", "run", "part").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.max("least").alias("first_doc_id")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.sum("words").alias("n_words"), F.max("least").alias("first_doc_id"), F.first("first_here").alias("first_here")
     )
     whole = F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "run"))
-    return parts.withColumn("_run_words", whole).where(F.col("_run_words") >= min_span_words).select("doc_id", "text_key", "start", "stop", "n_chunks", "n_words", "first_doc_id")
+    return parts.withColumn("_run_words", whole).where(F.col("_run_words") >= min_span_words).select("doc_id", "text_key", "start", "stop", "n_chunks", "n_words", "first_doc_id", "first_here")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_span_words: int = MIN_SPAN_WORDS) -> DataFrame:
-    """The rows with their own columns, every chunk of a repeated span left only in the first document that holds it.
+    """The rows with their own columns, every chunk of a repeated span left only in its first place.
 
     Rows with a null id are kept as they are.  A text that a cut would leave with broken UTF-8 at an
     end loses the broken bytes.  Texts are shuffled once, by id and text, to meet their spans.
     """
-    drop = repeats(docs, doc_id, text, min_span_words).where("doc_id != first_doc_id")
+    drop = repeats(docs, doc_id, text, min_span_words).where("not first_here")
     drop = drop.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"), F.xxhash64(F.col(f"`{text}`")).alias("key"))
     joined = rows.join(drop, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left").select("row", "body", "cut")

@@ -23,45 +23,104 @@ def test_passages_of_short_and_long_words(spark):
         assert sum(size * 1000 + 2 * i in got and size * 1000 + 2 * i + 1 in got for i in range(n)) >= 0.99 * n
 
 
-def plain_chunk_repeats(docs):
-    """Spans by a plain walk over the operator's chunks of each text: dictionaries in place of joins and windows."""
+def plain_ends(data):
+    """Chunk ends of one text, byte by byte: words, the gear hash at their beginnings, local minima, 256 bytes at most."""
     import numpy as np
 
+    op, space = op1_substring_dedup, b" \t\n\v\f\r"
+    begins, since = [], 0
+    for i, c in enumerate(data):
+        if c in space:
+            continue
+        if i == 0 or data[i - 1] in space:
+            begins.append(i)
+            since = i
+        elif i - since > op.LONG_RUN and c & 0xC0 != 0x80:
+            begins.append(i)
+    begins = [p for p in begins if p > 0]
+
+    def hashed(p):
+        low = sum(int(op.GEAR[data[p - 1 - j]]) << j for j in range(min(32, p))) & 0xFFFF
+        return int(op.mix(np.array([low], np.uint64))[0]) >> 1
+
+    v, ends, last = [hashed(p) for p in begins], [], 0
+    for i, p in enumerate(begins):
+        if all(v[i] < x for x in v[max(i - op.REACH, 0) : i]) and all(v[i] <= x for x in v[i + 1 : i + 1 + op.REACH]):
+            ends.append(p)
+    out = []
+    for end in [*ends, len(data)] if data else []:
+        while end - last > op.MAX_CHUNK:
+            last += op.MAX_CHUNK
+            out.append(last)
+        out.append(end)
+        last = end
+    return out
+
+
+def plain_chunk_repeats(docs):
+    """Spans by a plain walk over each text's chunks: dictionaries in place of joins and windows."""
     op = op1_substring_dedup
-    held, own = {}, {}
+    places, own = {}, {}
     for i, text in docs:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        ends, _ = op.cuts(data, np.array([0, len(data)]))
-        parts = [(a, b, bytes(data[a:b])) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        own[i, text] = parts
-        for *_, body in parts:
-            held.setdefault(body, set()).add(i)
+        data = (text or "").encode()
+        ends = plain_ends(data)
+        own[i, text] = [(a, b, data[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        for a, _, body in own[i, text]:
+            places.setdefault(body, set()).add((i, text, a))
     out = set()
     for (i, text), parts in own.items():
         run = []
         for a, b, body in [*parts, (0, 0, None)]:
-            if body is not None and len(held[body]) > 1:
-                run.append((a, b, min(held[body])))
+            if body is not None and len(places[body]) > 1:
+                least = min(p[0] for p in places[body])
+                run.append((a, b, least, least == i and a == min(p[2] for p in places[body] if p[:2] == (i, text)), body))
                 continue
             if run and len(text.encode()[run[0][0] : run[-1][1]].split()) >= op.MIN_SPAN_WORDS:
                 first = None
-                for x, y, least in run:
-                    if first is not None and (least == i) == first[3]:
-                        first = (first[0], y, max(first[2], least), first[3])
+                for x, y, least, here, _ in run:
+                    if first is not None and here == first[3]:
+                        first = (first[0], y, max(first[2], least), here)
                     else:
-                        out |= {(i, *first[:3])} if first else set()
-                        first = (x, y, least, least == i)
-                out.add((i, *first[:3]))
+                        out |= {(i, *first)} if first else set()
+                        first = (x, y, least, here)
+                out.add((i, *first))
             run = []
     return out
 
 
+def test_boundaries_against_a_plain_walk():
+    import numpy as np
+
+    op = op1_substring_dedup
+    texts = [words(400, 5), "", " ", "a", "x" * 900, "é" * 300 + " end", " \n lead " + words(40, 6), "ab " * 300, words(30, 7) + " " + "y" * 700 + " " + words(30, 8)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ends, ptr = op.cuts(data, offsets)
+    assert [(ends[ptr[i] : ptr[i + 1]] - offsets[i]).tolist() for i in range(len(raw))] == [plain_ends(r) for r in raw]
+
+
+def test_a_passage_twice_in_one_text_and_in_two_texts_of_one_id(spark):
+    passage = words(80, 31, 3000)
+    inside = f"{words(30, 32, 3000)} {passage} {words(40, 33, 3000)} {passage} {words(20, 34, 3000)}"
+    one, two = f"{words(30, 35, 3000)} {words(80, 36, 3000)}", f"{words(25, 37, 3000)} {words(80, 36, 3000)} {words(9, 38, 3000)}"
+    df = spark.createDataFrame([(1, inside), (1, inside), (2, one), (2, two), (3, words(200, 39, 3000))], "doc_id bigint, text string")
+    got = op1_substring_dedup.repeats(df).collect()
+    assert {r.doc_id for r in got} == {1, 2} and all(r.first_doc_id == r.doc_id for r in got)
+    spans = sorted((r.start, r.first_here, r.n_words) for r in got if r.doc_id == 1)
+    assert [here for _, here, _ in spans] == [True, False] and min(n for *_, n in spans) > 60
+    assert sorted(r.first_here for r in got if r.doc_id == 2) == [False, True] and len({r.text_key for r in got if r.doc_id == 2}) == 2
+    left = [(r.doc_id, len(r.text.split())) for r in op1_substring_dedup.without_repeats(df).collect()]
+    assert [n < len(inside.split()) - 60 for i, n in left if i == 1] == [True, True]
+    assert sum(n for i, n in left if i == 2) < len(one.split()) + len(two.split()) - 60
+
+
 def test_spans_against_a_plain_walk(spark):
     x, y = words(70, 11, 3000), words(70, 12, 3000)
     docs = [(1, x), (2, f"{x} {y}"), (3, f"{x} {y}"), (4, words(50, 13, 3000)), (5, f"{words(30, 14, 3000)} {y}"), (5, f"{words(30, 15, 3000)} {x}"), (6, None), (7, "")]
+    docs += [(8, f"{words(20, 16, 3000)} {y} {words(20, 17, 3000)} {y}"), (9, f"{words(60, 18, 3000)} {words(60, 18, 3000)}")]
     docs += [(20 + i, f"{words(25, 100 + i, 3000)} {x[: 40 * i]} {words(25, 200 + i, 3000)}") for i in range(8)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = {(r.doc_id, r.start, r.stop, r.first_doc_id) for r in op1_substring_dedup.repeats(df).collect()}
+    got = {(r.doc_id, r.start, r.stop, r.first_doc_id, r.first_here) for r in op1_substring_dedup.repeats(df).collect()}
     assert got == plain_chunk_repeats([d for d in docs if d[1] is not None])
     left = {(r.doc_id, r.text) for r in op1_substring_dedup.without_repeats(df).collect() if r.doc_id in (1, 2, 3)}
     kept = {i: t for i, t in left}

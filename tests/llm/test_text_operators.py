@@ -118,7 +118,7 @@ def test_repeated_passages_are_caught(spark):
 
 def test_substring_dedup_odd_rows(odd, nothing):
     assert op1_substring_dedup.repeats(nothing).count() == 0
-    assert op1_substring_dedup.repeats(odd).count() == 0  # copies share an id
+    assert all(r.doc_id == r.first_doc_id for r in op1_substring_dedup.repeats(odd).collect())  # copies share an id; a text may repeat itself
     assert op1_substring_dedup.without_repeats(odd).count() == odd.count()
 
 
