@@ -1,4 +1,4 @@
-"""Clustering: forced, natural and divisive, and the trees of agglomeration."""
+"""Clustering: forced, natural and divisive, Ward's tree of rows and the average-linkage tree of classes."""
 
 from __future__ import annotations
 
@@ -12,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from taxolens.operators import curves, geometry, lloyd
+from taxolens.operators import curves, geometry, lloyd, ward
 from taxolens.operators.divisive import divisive as divisive  # part of this module's surface
 
-#: Rows that `matrix` gives unless its caller allows another number.
-MATRIX_ROWS = 20_000
-#: Bytes that a tree of rows may take on the driver: three square matrices of doubles.
-TREE_BYTES = 4 << 30
 #: Rows from which first centres are drawn; all rows are clustered.
 INIT_ROWS = 20_000
 #: Rows of each table from which the first centres of the gap statistic and of greedy selection are drawn.
@@ -33,12 +29,6 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
 
 
-def _rows_of(column: pa.Array) -> np.ndarray:
-    """The vectors of an Arrow list column as one matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), len(flat) // max(len(column), 1))
-
-
 def _starts(data: lloyd.Table, ks: list[int], starts: int, seed: int) -> list[list[lloyd.Model]]:
     """Models of every k and start; first centres are drawn from INIT_ROWS rows at most, those with the least hashes.
 
@@ -87,29 +77,6 @@ def natural(df: DataFrame, key: str, vector: str, low: int = 15, high: int = 40,
     return forced(df, vector, k, starts, seed=seed, out=out)
 
 
-def matrix(df: DataFrame, key: str, vector: str, rows: int | None = None) -> tuple[list, np.ndarray]:
-    """Keys and values in order of the key; refuses tables that no single matrix should hold."""
-    most = MATRIX_ROWS if rows is None else rows
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: fit on a sample or use the distributed operators")
-    got = df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy("k").toArrow()
-    return got["k"].to_pylist(), _rows_of(got["v"].combine_chunks()) if len(got) else np.zeros((0, 0))
-
-
-def _distances(df: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
-    """Keys and all distances, by one matrix product; refuses what TREE_BYTES don't hold."""
-    keys, x = matrix(df, key, vector, math.isqrt(TREE_BYTES // 24))
-    x = x - x.mean(0) if len(x) else x
-    x2 = (x * x).sum(1)
-    d = x @ x.T
-    d *= -2
-    d += x2[:, None]
-    d += x2
-    np.maximum(d, 0, out=d)
-    np.fill_diagonal(d, 0)
-    return keys, np.sqrt(d, out=d)
-
-
 def moments(rows: DataFrame, sizes: list[int], middle: np.ndarray, centres: list[np.ndarray] | None = None, columns: list[list[int]] | None = None) -> tuple[list[np.ndarray], ...]:
     """Of each labelling's clusters: sizes and mean vectors; or, given centres, sums of distances and of their squares. One pass for all labellings.
 
@@ -251,35 +218,20 @@ def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], reference
     return spark.createDataFrame(out, shape)
 
 
-def tree(df: DataFrame, key: str, vector: str, method: str = "ward") -> DataFrame:
-    """(step, left, right, distance, size): merges of rows by Euclidean distance."""
-    from taxolens.functions.estimators import linkage
-
-    _, d = _distances(df, key, vector)
-    z = linkage(d, method) if len(d) > 1 else np.zeros((0, 4))
-    rows = [(i, int(a), int(b), float(h), int(n)) for i, (a, b, h, n) in enumerate(z)]
-    return df.sparkSession.createDataFrame(rows, "step int, left int, right int, distance double, size int")
-
+def tree(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(step, kept, gone, distance, size): merges of the Ward tree in order of height; rows are named by their place in order of the key."""
+    found = ward.tree(df, key, vector)[1]
+    return found.select(F.col("step").cast("int").alias("step"), "kept", "gone", F.sqrt("d").alias("distance"), "size")
 
-def tree_labels(df: DataFrame, key: str, vector: str, k: int, method: str = "ward") -> DataFrame:
-    """(key, cluster): the tree cut into k parts."""
-    from taxolens.functions.estimators import linkage
-
-    keys, d = _distances(df, key, vector)
-    group = {i: [i] for i in range(len(d))}
-    z = linkage(d, method)
-    for i, (a, b, _, _) in enumerate(z[: max(len(d) - k, 0)]):
-        group[len(d) + i] = group.pop(int(a)) + group.pop(int(b))
-    rows = [(keys[m], c) for c, part in enumerate(sorted(group.values(), key=min)) for m in part]
-    return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, cluster int")
 
+def tree_labels(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(key, cluster): the Ward tree cut into k parts."""
+    return ward.labels(df, key, vector, k)
 
-def cophenetic(df: DataFrame, key: str, vector: str, method: str = "ward") -> DataFrame:
-    from taxolens.functions.estimators import cophenetic as measure
-    from taxolens.functions.estimators import linkage
 
-    _, d = _distances(df, key, vector)
-    return df.sparkSession.createDataFrame([(measure(linkage(d, method), d),)], "cophenetic double")
+def cophenetic(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(cophenetic): correlation of distances and heights of the Ward tree."""
+    return ward.cophenetic(df, key, vector)
 
 
 def class_tree(similarity: DataFrame, families: dict | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from taxolens.sources import sinks
 def evaluate(df: DataFrame, key: str, label: str, cluster_col: str, vector: str, trees: bool = False) -> DataFrame:
     """One row of internal and external measures; the internal ones are null for one cluster.
 
-    trees: with the cophenetic correlation of the rows' Ward tree, which one matrix has to hold.
+    trees: with the cophenetic correlation of the rows' Ward tree, whose time is quadratic in rows.
     """
     out = geometry.silhouette(df, key, cluster_col, vector)
     parts = [

@@ -241,13 +241,10 @@ def test_gap_against_a_closed_form(spark):
     assert got.loc[1, "s"] == pytest.approx(np.std(logs) * np.sqrt(1.25), rel=1e-6) and got.loc[2, "gap"] > got.loc[1, "gap"]
 
 
-def test_refusals_by_size(spark, monkeypatch):
+def test_tree_of_rows(spark):
     x, label = blobs(60)
-    df = vectors(spark, x, y=label)
-    assert cluster.tree(df, "id", "v").count() == 59
-    monkeypatch.setattr(cluster, "TREE_BYTES", 24 * 50 * 50)
-    with pytest.raises(ValueError):
-        cluster.tree(df, "id", "v")
+    got = cluster.tree(vectors(spark, x, y=label), "id", "v").toPandas().sort_values("step")
+    assert len(got) == 59 and (np.diff(got.distance) >= -1e-12).all() and got["size"].iloc[-1] == 60 and got.gone.is_unique
 
 
 def plain_trees(x, y, trees, depth, seed):
